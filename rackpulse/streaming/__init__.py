@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The analysed workload is a set of batch reports over daily full snapshots (``pt`` partitions); it has
+no stream, watermark, window-over-time or state logic, so nothing is built here. A daily run of the
+reports over the newest ``pt`` is a batch job (see ``rackpulse.sources.catalog.snapshot``).
+"""

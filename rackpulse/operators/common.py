@@ -44,3 +44,29 @@ def with_keys(df: DataFrame, month_fmt: str | None = None) -> DataFrame:
 
 def racks_at(cat: Catalog, as_of: str) -> DataFrame:
     return snapshot(cat.table("rack"), as_of)
+
+
+def on_days(df: DataFrame, days, column: str = "pay_complete_time") -> DataFrame:
+    """Rows whose timestamp falls on one of ``days`` (``yyyyMMdd``): an OR of day ranges on the raw
+    timestamp, which the parquet reader can push down (a formatted-string filter could not)."""
+    import datetime as dt
+    cond = None
+    for d in days:
+        start = dt.date(int(d[0:4]), int(d[4:6]), int(d[6:8]))
+        lo = ts_bound(df, column, f"{start} 00:00:00")
+        hi = ts_bound(df, column, f"{start + dt.timedelta(days=1)} 00:00:00")
+        c = (F.col(column) >= lo) & (F.col(column) < hi)
+        cond = c if cond is None else cond | c
+    return df.where(cond)
+
+
+def first_per_key(df: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
+    """The first row per ``key`` by ``order`` (ties broken by the later ``order`` columns).
+
+    A ``min`` over a struct instead of ``row_number() = 1``: the aggregate combines map-side, so a key
+    holding a large share of the rows sends one row per task to the shuffle instead of all of them
+    to one sorting task.
+    """
+    fields = list(dict.fromkeys(order + keep))
+    first = df.groupBy(key).agg(F.min(F.struct(*fields)).alias("_first"))
+    return first.select(key, *[F.col(f"_first.{c}").alias(c) for c in fields])

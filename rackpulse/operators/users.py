@@ -45,7 +45,8 @@ def month_users_and_new(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT,
     return users.join(new, "month").select("month", "user_qyt", "new_user")
 
 
-def _running_first_seen(firsts: DataFrame, periods: DataFrame, period: str, out: str) -> DataFrame:
+def _running_first_seen(firsts: DataFrame, periods: DataFrame, period: str, out: str,
+                        keep_empty: bool = True) -> DataFrame:
     """Cumulative distinct ids per period: ids counted at their first period, then a running sum
     over the (few) periods. Equal to joining every period with every earlier (period, id) pair and
     counting distinct ids, but linear instead of quadratic. The window has no partition key; it runs
@@ -55,7 +56,8 @@ def _running_first_seen(firsts: DataFrame, periods: DataFrame, period: str, out:
     w = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = (keys.join(new, period, "left")
            .withColumn(out, F.sum(F.coalesce("_new", F.lit(0))).over(w).cast("bigint")))
-    return run.join(periods, period, "left_semi").select(period, out)
+    run = run.join(periods, period, "left_semi").select(period, out)
+    return run if keep_empty else run.where(F.col(out) > 0)
 
 
 def cumulative_buyers(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
@@ -77,7 +79,8 @@ def cumulative_buyers_range(cat: Catalog, as_of: str, year: int | None = None,
     if year is not None:
         cal = cal.where(F.col("year_id") == year)
     periods = cal.select("month_id").distinct()
-    return _running_first_seen(firsts, periods, "month_id", "user_qty")
+    # an inner range join: a month before the first sale has no partner row and no output row
+    return _running_first_seen(firsts, periods, "month_id", "user_qty", keep_empty=False)
 
 
 def buyer_count(cat: Catalog, as_of: str, status: int = PAID) -> DataFrame:

@@ -48,8 +48,11 @@ def category_sales(cat: Catalog, as_of: str, months_of_year=(11, 12), month_fmt:
     """Orders and units per top category (``div_name``) in the given months of the year."""
     i = paid_items(cat, as_of, status).where(F.month("pay_complete_time").isin(list(months_of_year)))
     i = i.withColumn("month", month_key("pay_complete_time", month_fmt))
-    a = i.groupBy("month", "sku_id").agg(F.countDistinct("order_id").alias("order_qyt"),
-                                         F.sum("quantity").alias("qyt"))
+    # orders per (month, SKU): de-duplicate (month, SKU, order) first (shuffled on all three, so a
+    # best-selling SKU spreads over many tasks), then count rows (combined map-side)
+    per_order = i.groupBy("month", "sku_id", "order_id").agg(F.sum("quantity").alias("qyt"))
+    a = per_order.groupBy("month", "sku_id").agg(F.count("order_id").alias("order_qyt"),
+                                                F.sum("qyt").alias("qyt"))
     c = snapshot(cat.table("commodity"), as_of).select("sku_id", "div_name")
     return (a.join(c, "sku_id").groupBy("month", "div_name")
             .agg(F.sum("order_qyt").alias("order_qyt"), F.sum("qyt").alias("qyt")))

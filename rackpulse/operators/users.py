@@ -60,6 +60,20 @@ def _running_first_seen(firsts: DataFrame, periods: DataFrame, period: str, out:
     return run if keep_empty else run.where(F.col(out) > 0)
 
 
+def cumulative_distinct(df: DataFrame, period: str, id_col: str, periods: DataFrame | None = None,
+                        out: str = "cumulative", keep_empty: bool = True) -> DataFrame:
+    """Distinct ``id_col`` values seen up to and including each period (B15).
+
+    ``periods`` lists the periods to report (default: the periods present in ``df``); periods before
+    an id's first one do not count it. Linear: first period per id, count per period, running sum.
+    """
+    d = df.select(period, id_col).where(F.col(id_col).isNotNull())
+    firsts = d.groupBy(id_col).agg(F.min(period).alias(period))
+    if periods is None:
+        periods = df.select(period).distinct()
+    return _running_first_seen(firsts, periods.select(period), period, out, keep_empty)
+
+
 def cumulative_buyers(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
     """Per month with sales: distinct buyers up to and including that month."""
     um = with_keys(paid_orders(cat, as_of, status), month_fmt).select("month", "user_id")
@@ -138,15 +152,22 @@ APP_NAME, PAGE_NAME, LOG_TYPE = "app-openrack-h5", "commodity_list", "pv"
 # ---- end of fixed values ----
 
 
-def cumulative_viewers(cat: Catalog, period_fmt: str = "yyyy-MM", app_name: str = APP_NAME,
-                       page_name: str = PAGE_NAME, log_type: str = LOG_TYPE) -> DataFrame:
-    """Cumulative first-time page viewers per period: page views bridged to account users by
-    token, each account user counted in the period of its first view."""
+def event_first_touch(cat: Catalog, app_name: str = APP_NAME, page_name: str = PAGE_NAME,
+                      log_type: str = LOG_TYPE) -> DataFrame:
+    """First matching page view per account user (B45): events filtered on app, page and log type,
+    bridged to account users by token. ``min(create_time)`` per user combines map-side."""
     ev = cat.table("user_event").where((F.col("app_name") == app_name) & (F.col("page_name") == page_name)
                                        & (F.col("log_type") == log_type))
     tok = cat.table("account_token").select("token", F.col("user_id").alias("account_user"))
     views = ev.select("token", "create_time").join(tok, "token")
-    first = views.groupBy("account_user").agg(F.min("create_time").alias("first_view"))
+    return views.groupBy("account_user").agg(F.min("create_time").alias("first_view"))
+
+
+def cumulative_viewers(cat: Catalog, period_fmt: str = "yyyy-MM", app_name: str = APP_NAME,
+                       page_name: str = PAGE_NAME, log_type: str = LOG_TYPE) -> DataFrame:
+    """Cumulative first-time page viewers per period: page views bridged to account users by
+    token, each account user counted in the period of its first view."""
+    first = event_first_touch(cat, app_name, page_name, log_type)
     per = first.select(F.date_format("first_view", period_fmt).alias("mon"))
     periods = per.distinct()
     firsts = per

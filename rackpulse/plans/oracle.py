@@ -1,646 +1,504 @@
 """DuckDB oracle SQL, one statement per registered report.
 
-Written from the report definitions in their original shape (triangular joins, conditional distinct
-counts, ``row_number`` for first rows, self joins), so that they check the Spark rewrites rather than
-repeat them. Fixture parameters are inlined (see ``registry``); money leaves as DOUBLE, integer sums as
-BIGINT, like the Spark side.
+Each statement is written from the report's definition as plain DuckDB SQL over the fixture CTEs
+(``oracle_tables``): one CTE per step, ``GROUP BY ALL``, ``FILTER`` for conditional aggregates,
+``QUALIFY`` for first / top-N rows, range joins for cumulative counts. The shapes deliberately differ
+from the Spark operators (which pre-aggregate, use first-seen running sums, min-struct first rows, ...),
+so the two check each other. Fixture parameters are inlined (see ``registry``); money leaves as DOUBLE,
+integer sums as BIGINT, like the Spark side.
 """
 
+from rackpulse.functions.headcount import (
+    BANDS_COARSE, BANDS_DETAIL, BANDS_FINE, IMPUTE_COARSE, IMPUTE_FINE, BandSpec,
+)
 from rackpulse.plans.oracle_tables import with_tables
 
 AS_OF = "'20011231'"
-
-# building blocks (text macros over the fixture CTEs)
-PAID = f"pt = {AS_OF} AND pay_status = 64"
-DAY = "strftime(pay_complete_time, '%Y%m%d')"
-MON = "strftime(pay_complete_time, '%Y%m')"
-LENG = ("CAST((3 * length(replace(total_people, '+', '')) - length(replace(total_people, '+', ''))) / 2 "
-        "AS BIGINT)")
-PARSED = f"""
-gcf_test1 AS (SELECT customer_id, {LENG} AS leng FROM company_raw),
-parsed AS (
-  SELECT cd.customer_id, regexp_extract(substr(cd.total_people, 1, t.leng), '([0-9]+)', 1) AS total_people
-  FROM company_raw cd JOIN gcf_test1 t ON cd.customer_id = t.customer_id AND t.leng > 0
-  UNION ALL
-  SELECT cd.customer_id, '' AS total_people
-  FROM company_raw cd JOIN (SELECT * FROM gcf_test1 WHERE leng = 0 OR leng IS NULL) t
-    ON cd.customer_id = t.customer_id
+WORKDAY = "'工作日'"
+
+
+def sql_band(x: str, spec: BandSpec) -> str:
+    """CASE expression of a band spec (text that is not a number compares as NULL)."""
+    n = f"TRY_CAST({x} AS DOUBLE)"
+    arms = []
+    if spec.empty is not None:
+        arms.append(f"WHEN {x} IS NULL OR {x} = '' THEN '{spec.empty}'")
+    edges, labels = spec.edges, spec.labels
+    arms.append(f"WHEN {n} < {edges[0]} THEN '{labels[0]}'")
+    for lo, hi, lab in zip(edges, edges[1:], labels[1:]):
+        arms.append(f"WHEN {n} >= {lo} AND {n} < {hi} THEN '{lab}'")
+    arms.append(f"WHEN {n} >= {edges[-1]} THEN '{labels[-1]}'")
+    other = f"'{spec.other}'" if spec.other is not None else x
+    return "CASE " + " ".join(arms) + f" ELSE {other} END"
+
+
+def sql_impute(tp: str, racks: str, rules) -> str:
+    """Missing headcount from the rack count: NULL takes the first rule, '' the matching range."""
+    arms = [f"WHEN {tp} IS NULL THEN '{rules[0].label}'"]
+    for r in rules:
+        cond = [f"{tp} = ''"]
+        if r.lo is not None:
+            cond.append(f"{racks} >= {r.lo}")
+        if r.hi is not None:
+            cond.append(f"{racks} <= {r.hi}")
+        arms.append(f"WHEN {' AND '.join(cond)} THEN '{r.label}'")
+    return "CASE " + " ".join(arms) + f" ELSE {tp} END"
+
+
+# helper CTEs shared by the statements (DuckDB drops the unused ones)
+BASE = f"""
+po AS (
+  SELECT *, strftime(pay_complete_time, '%Y%m%d') AS d_key, strftime(pay_complete_time, '%Y%m') AS m_key
+  FROM rack_order WHERE pt = {AS_OF} AND pay_status = 64
+),
+pi AS (
+  SELECT *, strftime(pay_complete_time, '%Y%m%d') AS d_key, strftime(pay_complete_time, '%Y%m') AS m_key
+  FROM order_item WHERE pt = {AS_OF} AND pay_status = 64
+),
+rk AS (SELECT * FROM rack WHERE pt = {AS_OF}),
+co AS (SELECT * FROM company WHERE pt = {AS_OF}),
+workdays AS (SELECT day_id FROM calendar WHERE day_type = {WORKDAY}),
+hc_text AS (
+  SELECT customer_id, total_people AS raw_text, kept,
+         CASE WHEN kept > 0 THEN regexp_extract(substr(total_people, 1, CAST(kept AS INTEGER)), '([0-9]+)', 1)
+              ELSE '' END AS parsed
+  FROM (SELECT *, CAST(length(replace(total_people, '+', '')) AS BIGINT) AS kept FROM company_raw)
+),
+city_racks AS (
+  SELECT customer_id, count(DISTINCT machine_id) AS machine_qyt FROM rk WHERE city_name IS NOT NULL GROUP BY ALL
+),
+size_own AS (
+  SELECT customer_id, co.corp_name, coalesce(co.total_people, h.parsed) AS tp, cr.machine_qyt
+  FROM co JOIN hc_text h USING (customer_id) JOIN city_racks cr USING (customer_id)
+),
+size_parsed AS (
+  SELECT customer_id, coalesce(h.parsed, co.total_people) AS tp, cr.machine_qyt
+  FROM co JOIN hc_text h USING (customer_id) JOIN city_racks cr USING (customer_id)
 ),
-parsed_digits AS (
-  SELECT cd.customer_id, regexp_extract(substr(cd.total_people, 1, t.leng), '([0-9]+)', 1) AS total_people
-  FROM company_raw cd JOIN gcf_test1 t ON cd.customer_id = t.customer_id AND t.leng > 0
-)"""
-
-
-def num(x):
-    return f"TRY_CAST({x} AS DOUBLE)"
-
-
-def band_coarse(x):
-    n = num(x)
-    return (f"CASE WHEN {x} IS NULL THEN 'empty' WHEN {x} = '' THEN 'empty' WHEN {n} < 30 THEN '30-' "
-            f"WHEN {n} >= 30 AND {n} < 50 THEN '30-50' WHEN {n} >= 50 AND {n} < 100 THEN '50-100' "
-            f"WHEN {n} >= 100 AND {n} < 300 THEN '100-300' WHEN {n} >= 300 THEN '300+' ELSE 'other' END")
-
-
-def band_fine(x):
-    n = num(x)
-    return (f"CASE WHEN {n} < 25 THEN '1~24' WHEN {n} >= 25 AND {n} < 50 THEN '25~49' "
-            f"WHEN {n} >= 50 AND {n} < 100 THEN '50~99' WHEN {n} >= 100 AND {n} < 300 THEN '100~299' "
-            f"WHEN {n} >= 300 AND {n} < 500 THEN '300~499' WHEN {n} >= 500 THEN '500+' ELSE {x} END")
-
-
-def band_detail(x):
-    n = num(x)
-    return (f"CASE WHEN {n} < 30 THEN '30-' WHEN {n} >= 30 AND {n} < 50 THEN '30~49' "
-            f"WHEN {n} >= 50 AND {n} < 100 THEN '50~99' WHEN {n} >= 100 AND {n} < 300 THEN '100~299' "
-            f"WHEN {n} >= 300 THEN '300+' ELSE {x} END")
-
-
-def sized(first, second):
-    return f"""
-  SELECT a.customer_id, a.corp_name, coalesce(a.{first}, a.{second}, NULL) AS total_people,
-         count(DISTINCT m.machine_id) AS machine_qyt
-  FROM (SELECT c.customer_id, c.corp_name, c.total_people AS t1, t.total_people AS t2
-        FROM company c JOIN parsed t ON c.customer_id = t.customer_id AND c.pt = {AS_OF}) a
-  JOIN rack m ON a.customer_id = m.customer_id AND m.pt = {AS_OF} AND m.city_name IS NOT NULL
-  GROUP BY a.customer_id, a.corp_name, coalesce(a.{first}, a.{second}, NULL)"""
-
-
-IMPUTE_COARSE = """CASE WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt < 4 THEN '30~50'
-    WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt > 3 AND b.machine_qyt < 11 THEN '100~300'
-    WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt > 10 THEN '300+'
-    ELSE b.total_people END"""
-IMPUTE_FINE = """CASE WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt <= 2 THEN '30'
-    WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt = 3 THEN '50'
-    WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt > 3 AND b.machine_qyt < 11 THEN '100'
-    WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt > 10 AND b.machine_qyt < 17 THEN '300'
-    WHEN b.total_people IS NULL OR b.total_people = '' AND b.machine_qyt > 16 THEN '500'
-    ELSE b.total_people END"""
-
-COMPANY_SIZE = f"""
 company_size AS (
-  SELECT b.customer_id, b.corp_name, {IMPUTE_COARSE} AS total_people, b.machine_qyt
-  FROM ({sized('t1', 't2')}) b
-)"""
-MINGXI = f"""
-mingxi AS (
-  SELECT b.customer_id, {IMPUTE_FINE} AS total_people, b.machine_qyt
-  FROM ({sized('t2', 't1')}) b
+  SELECT customer_id, corp_name, {sql_impute('tp', 'machine_qyt', IMPUTE_COARSE)} AS total_people, machine_qyt
+  FROM size_own
+),
+headcount_detail AS (
+  SELECT customer_id, {sql_impute('tp', 'machine_qyt', IMPUTE_FINE)} AS total_people, machine_qyt FROM size_parsed
 ),
 company_band AS (
-  SELECT c.customer_id, {band_fine('c.total_people')} AS total_people, c.machine_qyt FROM mingxi c
+  SELECT customer_id, {sql_band('total_people', BANDS_FINE)} AS total_people, machine_qyt FROM headcount_detail
 ),
-detail_band AS (SELECT customer_id, {band_detail('c.total_people')} AS total_people FROM mingxi c)"""
-
-SMALL = f"""
+detail_band AS (SELECT customer_id, {sql_band('total_people', BANDS_DETAIL)} AS total_people FROM headcount_detail),
+active AS (SELECT machine_id, customer_id FROM rk WHERE release_status IN (2, 3)),
 small_companies AS (
-  SELECT c.customer_id, c.corp_name, d.total_people, count(r.machine_id) AS machine_qyt
-  FROM (SELECT machine_id, customer_id FROM rack WHERE pt = {AS_OF} AND release_status IN (2, 3)) r
-  JOIN company c ON r.customer_id = c.customer_id AND c.pt = {AS_OF}
-  JOIN parsed_digits d ON d.customer_id = c.customer_id
-  WHERE {num('d.total_people')} < 50
-  GROUP BY c.customer_id, c.corp_name, d.total_people
+  SELECT customer_id, co.corp_name, h.parsed AS total_people, count(*) AS machine_qyt
+  FROM active JOIN co USING (customer_id) JOIN hc_text h USING (customer_id)
+  WHERE h.kept > 0 AND TRY_CAST(h.parsed AS DOUBLE) < 50
+  GROUP BY ALL
   UNION ALL
-  SELECT c.customer_id, c.corp_name, cd.total_people, count(r.machine_id) AS machine_qyt
-  FROM company_raw cd
-  JOIN company c ON cd.customer_id = c.customer_id AND c.pt = {AS_OF}
-  JOIN (SELECT machine_id, customer_id FROM rack WHERE pt = {AS_OF} AND release_status IN (2, 3)) r
-    ON r.customer_id = c.customer_id
-  WHERE cd.total_people IS NULL OR cd.total_people = ' '
-  GROUP BY c.customer_id, c.corp_name, cd.total_people
-)"""
-
-WEEKNO = "CAST(isoyear(pay_complete_time) * 100 + week(pay_complete_time) AS INTEGER)"
-
-USER_FIRST = f"(SELECT substr(rack_first_order, 1, 6) AS first_month, user_id FROM user_info WHERE pt = {AS_OF})"
-
-
-def user_month(measures):
-    return f"""(SELECT {MON} AS month, user_id, {measures}
-         FROM rack_order WHERE {PAID} GROUP BY {MON}, user_id)"""
-
-
-ORACLE: dict[str, str] = {}
-
-# ---------------- headcount chain ----------------
-ORACLE["headcount_length"] = f"SELECT customer_id, {LENG} AS leng FROM company_raw"
-
-ORACLE["headcount_parsed"] = f"WITH {PARSED.strip()} SELECT customer_id, total_people FROM parsed"
-
-ORACLE["size_distribution"] = f"""WITH {PARSED.strip()}
-SELECT b.total_people, CAST(sum(machine_qyt) AS BIGINT) AS machine_qyt, count(DISTINCT b.customer_id) AS customer_qyt
-FROM (
-  SELECT c.customer_id, c.corp_name, {band_coarse('d.total_people')} AS total_people,
-         count(r.machine_id) AS machine_qyt
-  FROM (SELECT machine_id, customer_id FROM rack
-        WHERE pt = {AS_OF} AND strftime(online_time, '%Y%m%d') >= '19950101'
-          AND strftime(online_time, '%Y%m%d') < '20020101') r
-  JOIN company c ON r.customer_id = c.customer_id AND c.pt = {AS_OF}
-  JOIN parsed_digits d ON d.customer_id = c.customer_id
-  GROUP BY c.customer_id, c.corp_name, {band_coarse('d.total_people')}
-) b
-GROUP BY b.total_people"""
-
-ORACLE["small_companies"] = f"WITH {PARSED.strip()}, {SMALL.strip()} SELECT * FROM small_companies"
-
-ORACLE["company_weekly_sales"] = f"""WITH {PARSED.strip()}, {SMALL.strip()}
-SELECT o.city_name, a.customer_id, a.corp_name, a.total_people, m.machine_name, m.machine_type_name,
-       m.machine_sub_type_name, o.weekno, o.order_qyt
-FROM small_companies a
-JOIN company c ON a.customer_id = c.customer_id AND c.pt = {AS_OF}
-JOIN rack m ON c.customer_id = m.customer_id AND m.pt = {AS_OF}
-JOIN (SELECT city_name, machine_id, {WEEKNO} AS weekno, count(DISTINCT order_id) AS order_qyt,
-             sum(origin_amount) AS ori
-      FROM rack_order WHERE {PAID} GROUP BY city_name, machine_id, {WEEKNO}) o
-  ON o.machine_id = m.machine_id"""
-
-ORACLE["rack_grade_detail"] = f"""WITH {PARSED.strip()}
-SELECT o.city_name, {band_coarse('d.total_people')} AS total_people, m.machine_id, g.machine_grading,
-       m.machine_sub_type_name, o.order_qyt
-FROM parsed d
-JOIN company c ON d.customer_id = c.customer_id AND c.pt = {AS_OF}
-JOIN rack m ON c.customer_id = m.customer_id AND m.pt = {AS_OF}
-JOIN rack_grade g ON g.machine_id = m.machine_id AND g.pt = {AS_OF}
-JOIN (SELECT a.city_name, a.machine_id, avg(order_qyt) AS order_qyt
-      FROM (SELECT city_name, machine_id, {WEEKNO} AS weekno, count(DISTINCT order_id) AS order_qyt
-            FROM rack_order WHERE {PAID} GROUP BY city_name, machine_id, {WEEKNO}) a
-      GROUP BY a.city_name, a.machine_id) o ON o.machine_id = m.machine_id"""
-
-ORACLE["company_size"] = f"WITH {PARSED.strip()}, {COMPANY_SIZE.strip()} " \
-                         "SELECT customer_id, total_people, machine_qyt FROM company_size"
-
-ORACLE["company_band"] = f"WITH {PARSED.strip()}, {MINGXI.strip()} SELECT * FROM company_band"
-
-ORACLE["racks_by_band"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT d.total_people, count(DISTINCT m.machine_id) AS machine_qyt
-FROM rack m JOIN company_band d ON m.customer_id = d.customer_id AND m.pt = {AS_OF}
-  AND m.release_status IN (2, 3)
-GROUP BY d.total_people"""
-
-ORACLE["active_racks_by_band"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT b.total_people, count(DISTINCT b.machine_id) AS machine_qyt
-FROM (SELECT m.machine_id, a.customer_id, a.total_people FROM detail_band a
-      JOIN rack m ON m.customer_id = a.customer_id AND m.pt = {AS_OF} AND m.release_status IN (2, 3)) b
-GROUP BY b.total_people"""
-
-ORACLE["racks_by_band_two_snapshots"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT b.total_people, count(DISTINCT b.machine_id) AS machine_qyt
-FROM (SELECT m.machine_id, a.customer_id, a.total_people FROM detail_band a
-      JOIN (SELECT a.machine_id, r.customer_id
-            FROM (SELECT machine_id FROM rack WHERE pt = '19970731' AND release_status IN (2, 3)) a
-            JOIN rack r ON a.machine_id = r.machine_id AND r.pt = {AS_OF}) m
-        ON a.customer_id = m.customer_id) b
-GROUP BY b.total_people"""
-
-ORACLE["band_monthly_sales"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT a.month, a.total_people, count(DISTINCT a.payday) AS days, count(a.machine_id) AS machine_days,
-       CAST(sum(order_qyt) AS BIGINT) AS order_qyt, CAST(sum(ori) AS DOUBLE) AS ori,
-       CAST(sum(ori) AS DOUBLE) / NULLIF(CAST(count(a.machine_id) AS DOUBLE), 0) AS ori_per_machine
-FROM (
-  SELECT strftime(o.pay_complete_time, '%Y%m') AS month, strftime(o.pay_complete_time, '%Y%m%d') AS payday,
-         o.machine_id, t.total_people, count(DISTINCT o.order_id) AS order_qyt, sum(o.origin_amount) AS ori
-  FROM rack_order o
-  JOIN rack m ON o.machine_id = m.machine_id AND o.pt = {AS_OF} AND m.pt = {AS_OF} AND pay_status = 64
-  LEFT JOIN company_band t ON t.customer_id = m.customer_id
-  GROUP BY 1, 2, 3, 4
-) a
-GROUP BY a.month, a.total_people"""
-
-BAND_RACKS = f"""(SELECT m.machine_id, a.customer_id, a.total_people FROM detail_band a
-      JOIN rack m ON m.customer_id = a.customer_id AND m.pt = {AS_OF})"""
-
-ORACLE["band_orders_gmv"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT c.month, c.total_people, CAST(sum(c.order_qyt) AS BIGINT) AS order_qyt, CAST(sum(c.GMV) AS DOUBLE) AS GMV
-FROM (
-  SELECT strftime(o.pay_complete_time, '%Y%m') AS month, o.machine_id, b.total_people,
-         count(DISTINCT o.order_id) AS order_qyt, sum(o.origin_amount) AS GMV
-  FROM rack_order o LEFT JOIN {BAND_RACKS} b ON o.machine_id = b.machine_id AND o.pt = {AS_OF} AND o.pay_status = 64
-  WHERE b.machine_id IS NOT NULL
-  GROUP BY 1, 2, 3
-) c
-GROUP BY c.month, c.total_people"""
-
-ORACLE["band_users"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT c.month, c.total_people, CAST(sum(c.user_qyt) AS BIGINT) AS user_qyt
-FROM (
-  SELECT strftime(o.pay_complete_time, '%Y%m') AS month, b.customer_id, b.total_people,
-         count(DISTINCT o.user_id) AS user_qyt
-  FROM rack_order o LEFT JOIN {BAND_RACKS} b ON o.machine_id = b.machine_id AND o.pt = {AS_OF} AND o.pay_status = 64
-  WHERE b.machine_id IS NOT NULL
-  GROUP BY 1, 2, 3
-) c
-GROUP BY c.month, c.total_people"""
-
-ORACLE["band_users_total"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT b.total_people, count(DISTINCT o.user_id) AS user_qyt
-FROM rack_order o LEFT JOIN {BAND_RACKS} b ON o.machine_id = b.machine_id AND o.pt = {AS_OF} AND o.pay_status = 64
-WHERE b.machine_id IS NOT NULL
-GROUP BY b.total_people"""
+  SELECT customer_id, co.corp_name, h.raw_text AS total_people, count(*) AS machine_qyt
+  FROM active JOIN co USING (customer_id) JOIN hc_text h USING (customer_id)
+  WHERE h.raw_text IS NULL OR h.raw_text = ' '
+  GROUP BY ALL
+),
+weekly_rack AS (
+  SELECT city_name, machine_id, CAST(isoyear(pay_complete_time) * 100 + week(pay_complete_time) AS INTEGER) AS weekno,
+         count(DISTINCT order_id) AS order_qyt
+  FROM po GROUP BY ALL
+),
+rack_band AS (SELECT machine_id, customer_id, b.total_people FROM rk JOIN detail_band b USING (customer_id)),
+user_first AS (SELECT user_id, left(rack_first_order, 6) AS first_month FROM user_info WHERE pt = {AS_OF}),
+user_month AS (
+  SELECT m_key AS month, user_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g FROM po GROUP BY ALL
+),
+cohort AS (
+  SELECT CAST(t.year AS VARCHAR) || '年' || CAST(t.week_of_year AS VARCHAR) || '周' AS week,
+         CAST(f.year AS VARCHAR) || '年' || CAST(f.week_of_year AS VARCHAR) || '周' AS week_first,
+         CAST(datediff('day', f.monday_date, t.monday_date) // 7 AS INTEGER) AS cut,
+         count(DISTINCT t.user_id) AS user_num
+  FROM trade_detail t LEFT JOIN user_first_day f USING (user_id)
+  GROUP BY ALL
+),
+day_rack_user AS (
+  SELECT d_key, machine_id, user_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g,
+         sum(actual_amount) AS a
+  FROM po GROUP BY ALL
+),
+rack_pivot AS (
+  SELECT d.machine_id,
+{{PIVOT}}
+  FROM day_rack_user d JOIN calendar c ON c.day_id = d.d_key
+  GROUP BY d.machine_id
+),
+since_1995 AS (
+  SELECT m_key AS month, d_key, machine_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g
+  FROM po WHERE pay_complete_time >= TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+),
+units AS (
+  SELECT machine_id, d_key, sum(quantity) AS q FROM pi
+  WHERE pay_complete_time > TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+),
+capacity AS (SELECT machine_id, sum(max_inventory) AS cap FROM stock WHERE is_valid = 1 GROUP BY ALL)
+"""
 
-# ---------------- racks ----------------
-ORACLE["city_count"] = f"""
-SELECT count(DISTINCT city_name) AS city_qyt FROM rack WHERE release_status IN (2, 3) AND pt = {AS_OF}"""
+PIVOT_MONTHS = range(6, 13)
+BASE = BASE.replace("{PIVOT}", ",\n".join(
+    f"    CAST(coalesce(sum(d.n) FILTER (WHERE c.month_short_id = {m}), 0) AS BIGINT) AS order_qyt{m},\n"
+    f"    count(DISTINCT d.user_id) FILTER (WHERE c.month_short_id = {m}) AS user_qyt{m},\n"
+    f"    CAST(coalesce(sum(d.g) FILTER (WHERE c.month_short_id = {m}), 0) AS DOUBLE) AS ori{m},\n"
+    f"    CAST(coalesce(sum(d.a) FILTER (WHERE c.month_short_id = {m}), 0) AS DOUBLE) AS act{m}"
+    for m in PIVOT_MONTHS))
 
 RACK_LIST = """machine_id, machine_name, customer_id, machine_type_name, machine_sub_type_name, address,
-       strftime(online_time, '%Y%m%d') AS online_date,
-       CASE WHEN release_status = -1 AND online_time IS NOT NULL THEN strftime(update_time, '%Y%m%d')
-            ELSE '无' END AS offline_date,
-       city_name"""
-
-ORACLE["rack_list"] = f"""
-SELECT {RACK_LIST}
-FROM rack WHERE pt = {AS_OF} AND release_status IN (2, 3, -1) AND city_name IS NOT NULL"""
+  strftime(online_time, '%Y%m%d') AS online_date,
+  CASE WHEN release_status = -1 AND online_time IS NOT NULL THEN strftime(update_time, '%Y%m%d') ELSE '无' END
+    AS offline_date,
+  city_name"""
 
-ORACLE["daily_online_vs_active"] = f"""
-SELECT b.pt AS daykey, a.order_qyt, a.ori, a.deal_cnt, b.online_cnt
-FROM (SELECT {DAY} AS payday, count(DISTINCT order_id) AS order_qyt, CAST(sum(origin_amount) AS DOUBLE) AS ori,
-             count(DISTINCT machine_id) AS deal_cnt
-      FROM rack_order WHERE {PAID} GROUP BY {DAY}) a
-JOIN (SELECT pt, count(DISTINCT machine_id) AS online_cnt FROM rack
-      WHERE release_status IN (2, 3) AND machine_type IN (10, 20) GROUP BY pt) b
-  ON a.payday = b.pt"""
+NAMES = ", ".join(f"'Supplier#{i:09d}'" for i in range(1, 13))
 
-ORACLE["grade_counts"] = """
+ORACLE: dict[str, str] = {
+    # ---------------- headcount chain ----------------
+    "headcount_length": "SELECT customer_id, kept AS leng FROM hc_text",
+    "headcount_parsed": "SELECT customer_id, parsed AS total_people FROM hc_text",
+    "size_distribution": f"""
+WITH new_racks AS (
+  SELECT machine_id, customer_id FROM rk
+  WHERE online_time >= TIMESTAMP '1995-01-01 00:00:00' AND online_time < TIMESTAMP '2002-01-01 00:00:00'
+), per_company AS (
+  SELECT customer_id, co.corp_name, {sql_band('h.parsed', BANDS_COARSE)} AS total_people, count(*) AS racks
+  FROM new_racks JOIN co USING (customer_id) JOIN hc_text h USING (customer_id)
+  WHERE h.kept > 0
+  GROUP BY ALL
+)
+SELECT total_people, CAST(sum(racks) AS BIGINT) AS machine_qyt, count(DISTINCT customer_id) AS customer_qyt
+FROM per_company GROUP BY ALL""",
+    "small_companies": "SELECT customer_id, corp_name, total_people, machine_qyt FROM small_companies",
+    "company_weekly_sales": """
+SELECT w.city_name, s.customer_id, s.corp_name, s.total_people, r.machine_name, r.machine_type_name,
+       r.machine_sub_type_name, w.weekno, w.order_qyt
+FROM small_companies s JOIN co ON co.customer_id = s.customer_id
+JOIN rk r ON r.customer_id = s.customer_id
+JOIN weekly_rack w ON w.machine_id = r.machine_id""",
+    "rack_grade_detail": f"""
+WITH avg_week AS (SELECT city_name, machine_id, avg(order_qyt) AS order_qyt FROM weekly_rack GROUP BY ALL)
+SELECT w.city_name, {sql_band('h.parsed', BANDS_COARSE)} AS total_people, r.machine_id, g.machine_grading,
+       r.machine_sub_type_name, w.order_qyt
+FROM hc_text h JOIN co ON co.customer_id = h.customer_id
+JOIN rk r ON r.customer_id = h.customer_id
+JOIN rack_grade g ON g.machine_id = r.machine_id AND g.pt = {AS_OF}
+JOIN avg_week w ON w.machine_id = r.machine_id""",
+    "company_size": "SELECT customer_id, total_people, machine_qyt FROM company_size",
+    "company_band": "SELECT customer_id, total_people, machine_qyt FROM company_band",
+    "racks_by_band": """
+SELECT b.total_people, count(DISTINCT a.machine_id) AS machine_qyt
+FROM active a JOIN company_band b USING (customer_id) GROUP BY ALL""",
+    "active_racks_by_band": """
+SELECT b.total_people, count(DISTINCT a.machine_id) AS machine_qyt
+FROM active a JOIN detail_band b USING (customer_id) GROUP BY ALL""",
+    "racks_by_band_two_snapshots": """
+WITH earlier AS (SELECT DISTINCT machine_id FROM rack WHERE pt = '19970731' AND release_status IN (2, 3)),
+     placed AS (SELECT machine_id, rk.customer_id FROM earlier JOIN rk USING (machine_id))
+SELECT b.total_people, count(DISTINCT p.machine_id) AS machine_qyt
+FROM placed p JOIN detail_band b USING (customer_id) GROUP BY ALL""",
+    "band_monthly_sales": """
+WITH day_rack AS (
+  SELECT m_key AS month, d_key, machine_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g
+  FROM po GROUP BY ALL
+), banded AS (
+  SELECT d.*, b.total_people FROM day_rack d JOIN rk ON rk.machine_id = d.machine_id
+  LEFT JOIN company_band b ON b.customer_id = rk.customer_id
+)
+SELECT month, total_people, count(DISTINCT d_key) AS days, count(*) AS machine_days,
+       CAST(sum(n) AS BIGINT) AS order_qyt, CAST(sum(g) AS DOUBLE) AS ori,
+       CAST(sum(g) AS DOUBLE) / count(*) AS ori_per_machine
+FROM banded GROUP BY ALL""",
+    "band_orders_gmv": """
+WITH per_rack AS (
+  SELECT po.m_key AS month, po.machine_id, b.total_people, count(DISTINCT po.order_id) AS n,
+         sum(po.origin_amount) AS g
+  FROM po JOIN rack_band b ON b.machine_id = po.machine_id GROUP BY ALL
+)
+SELECT month, total_people, CAST(sum(n) AS BIGINT) AS order_qyt, CAST(sum(g) AS DOUBLE) AS GMV
+FROM per_rack GROUP BY ALL""",
+    "band_users": """
+WITH per_company AS (
+  SELECT po.m_key AS month, b.customer_id, b.total_people, count(DISTINCT po.user_id) AS u
+  FROM po JOIN rack_band b ON b.machine_id = po.machine_id GROUP BY ALL
+)
+SELECT month, total_people, CAST(sum(u) AS BIGINT) AS user_qyt FROM per_company GROUP BY ALL""",
+    "band_users_total": """
+SELECT b.total_people, count(DISTINCT po.user_id) AS user_qyt
+FROM po JOIN rack_band b ON b.machine_id = po.machine_id GROUP BY ALL""",
+    # ---------------- racks ----------------
+    "city_count": "SELECT count(DISTINCT city_name) AS city_qyt FROM active JOIN rk USING (machine_id)",
+    "rack_list": f"SELECT {RACK_LIST} FROM rk WHERE release_status IN (2, 3, -1) AND city_name IS NOT NULL",
+    "daily_online_vs_active": """
+WITH sold AS (
+  SELECT d_key, count(DISTINCT order_id) AS order_qyt, CAST(sum(origin_amount) AS DOUBLE) AS ori,
+         count(DISTINCT machine_id) AS deal_cnt
+  FROM po GROUP BY ALL
+), online AS (
+  SELECT pt, count(DISTINCT machine_id) AS online_cnt FROM rack
+  WHERE release_status IN (2, 3) AND machine_type IN (10, 20) GROUP BY ALL
+)
+SELECT online.pt AS daykey, order_qyt, ori, deal_cnt, online_cnt FROM sold JOIN online ON online.pt = sold.d_key""",
+    "grade_counts": """
 SELECT pt, machine_grading, count(DISTINCT machine_id) AS machine_qyt
-FROM rack_grade WHERE pt IN ('19971130', '19971228') GROUP BY pt, machine_grading"""
-
-# ---------------- sales ----------------
-ORACLE["daily_kpis"] = f"""
-SELECT {DAY.replace('pay_complete_time', 'o.pay_complete_time')} AS payday,
-       count(DISTINCT o.order_id) AS order_qyt,
-       CAST(sum(o.origin_amount) AS DOUBLE) AS ori,
-       count(DISTINCT o.machine_id) AS machine_qyt,
-       count(DISTINCT m.customer_id) AS customer_qyt
-FROM rack_order o JOIN rack m ON o.machine_id = m.machine_id AND o.pt = {AS_OF} AND m.pt = {AS_OF}
-WHERE o.pay_status = 64 AND o.pay_complete_time > TIMESTAMP '1995-01-01 00:00:00'
-GROUP BY 1"""
-
-ORACLE["rack_type_orders"] = f"""
-SELECT strftime(o.pay_complete_time, '%Y%m%d') AS payday, count(DISTINCT o.order_id) AS order_qyt
-FROM rack_order o JOIN rack m ON o.machine_id = m.machine_id AND o.pt = {AS_OF} AND m.pt = {AS_OF}
-WHERE o.pay_status = 64 AND m.machine_sub_type = 90
-  AND strftime(o.pay_complete_time, '%Y%m%d') IN ('19971129', '19971130')
-GROUP BY 1"""
-
-ORACLE["weekly_kpis"] = f"""
+FROM rack_grade WHERE pt IN ('19971130', '19971228') GROUP BY ALL""",
+    # ---------------- sales ----------------
+    "daily_kpis": """
+SELECT po.d_key AS payday, count(DISTINCT po.order_id) AS order_qyt, CAST(sum(po.origin_amount) AS DOUBLE) AS ori,
+       count(DISTINCT po.machine_id) AS machine_qyt, count(DISTINCT rk.customer_id) AS customer_qyt
+FROM po JOIN rk ON rk.machine_id = po.machine_id
+WHERE po.pay_complete_time > TIMESTAMP '1995-01-01 00:00:00'
+GROUP BY ALL""",
+    "rack_type_orders": """
+SELECT po.d_key AS payday, count(DISTINCT po.order_id) AS order_qyt
+FROM po JOIN rk ON rk.machine_id = po.machine_id
+WHERE rk.machine_sub_type = 90 AND po.d_key IN ('19971129', '19971130')
+GROUP BY ALL""",
+    "weekly_kpis": """
+WITH per_day AS (SELECT d_key, count(DISTINCT order_id) AS n, sum(origin_amount) AS g FROM po GROUP BY ALL)
 SELECT strftime(c.monday_date, '%Y%m%d') AS monday_date,
        c.year_name_cn || CAST(c.week_of_year AS VARCHAR) || '周' AS week,
-       CAST(sum(a.order_qyt) AS BIGINT) AS order_qyt, CAST(sum(a.ori) AS DOUBLE) AS ori,
-       CAST(sum(a.ori) AS DOUBLE) / NULLIF(CAST(sum(a.order_qyt) AS DOUBLE), 0) AS aov
-FROM (SELECT {DAY} AS payday, count(DISTINCT order_id) AS order_qyt, sum(origin_amount) AS ori
-      FROM rack_order WHERE {PAID} GROUP BY {DAY}) a
-JOIN calendar c ON a.payday = c.day_id
-GROUP BY 1, 2"""
-
-SINCE_DAYS = f"""(SELECT {DAY} AS payday, count(DISTINCT order_id) AS order_qyt,
-             count(DISTINCT machine_id) AS machine_qyt,
-             count(DISTINCT order_id) / count(DISTINCT machine_id) AS order_mac
-      FROM rack_order WHERE {PAID} AND pay_complete_time > TIMESTAMP '1995-01-01 00:00:00'
-      GROUP BY {DAY})"""
-
-ORACLE["workday_orders"] = f"""
-SELECT CAST(sum(a.order_qyt) AS BIGINT) AS order_qyt
-FROM {SINCE_DAYS} a JOIN calendar c ON a.payday = c.day_id AND c.day_type = '工作日'"""
-
-ORACLE["workday_orders_per_rack"] = f"""
-SELECT round(avg(a.order_mac), 6) AS order_mac
-FROM {SINCE_DAYS} a JOIN calendar c ON a.payday = c.day_id AND c.day_type = '工作日'"""
-
-ORACLE["workday_month"] = f"""
-SELECT a.month, count(DISTINCT a.user_id) AS user_qyt, CAST(sum(a.order_qyt) AS BIGINT) AS order_qyt,
-       CAST(sum(a.ori) AS DOUBLE) AS ori, CAST(sum(a.act) AS DOUBLE) AS act
-FROM (SELECT {MON} AS month, {DAY} AS payday, user_id, count(DISTINCT order_id) AS order_qyt,
-             sum(origin_amount) AS ori, sum(actual_amount) AS act
-      FROM rack_order WHERE {PAID} GROUP BY 1, 2, 3) a
-JOIN calendar c ON a.payday = c.day_id AND c.day_type = '工作日'
-GROUP BY a.month"""
-
-ORACLE["workday_active_racks"] = f"""
-SELECT a.month, avg(a.machine_qyt) AS machine_qyt
-FROM (SELECT {MON} AS month, {DAY} AS payday, count(DISTINCT order_id) AS order_qyt,
-             count(DISTINCT machine_id) AS machine_qyt
-      FROM rack_order WHERE {PAID} GROUP BY 1, 2) a
-JOIN calendar c ON a.payday = c.day_id AND c.day_type = '工作日'
-GROUP BY a.month"""
-
-ORACLE["period_total"] = f"""
+       CAST(sum(n) AS BIGINT) AS order_qyt, CAST(sum(g) AS DOUBLE) AS ori,
+       CAST(sum(g) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS aov
+FROM per_day JOIN calendar c ON c.day_id = per_day.d_key
+GROUP BY ALL""",
+    "workday_orders": """
+WITH per_day AS (
+  SELECT d_key, count(DISTINCT order_id) AS n FROM po
+  WHERE pay_complete_time > TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+)
+SELECT CAST(sum(n) AS BIGINT) AS order_qyt FROM per_day WHERE d_key IN (SELECT day_id FROM workdays)""",
+    "workday_orders_per_rack": """
+WITH per_day AS (
+  SELECT d_key, count(DISTINCT order_id) AS n, count(DISTINCT machine_id) AS m FROM po
+  WHERE pay_complete_time > TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+)
+SELECT round(avg(n / m), 6) AS order_mac FROM per_day WHERE d_key IN (SELECT day_id FROM workdays)""",
+    "workday_month": """
+SELECT m_key AS month, count(DISTINCT user_id) AS user_qyt, count(DISTINCT order_id) AS order_qyt,
+       CAST(sum(origin_amount) AS DOUBLE) AS ori, CAST(sum(actual_amount) AS DOUBLE) AS act
+FROM po WHERE d_key IN (SELECT day_id FROM workdays) GROUP BY ALL""",
+    "workday_active_racks": """
+WITH per_day AS (
+  SELECT m_key AS month, d_key, count(DISTINCT machine_id) AS racks FROM po
+  WHERE d_key IN (SELECT day_id FROM workdays) GROUP BY ALL
+)
+SELECT month, avg(racks) AS machine_qyt FROM per_day GROUP BY ALL""",
+    "period_total": """
 SELECT CAST(sum(origin_amount) AS DOUBLE) AS ori, count(DISTINCT order_id) AS order_qyt
-FROM rack_order WHERE {PAID} AND {DAY} >= '20000101'"""
-
-# ---------------- users ----------------
-ORACLE["new_users_in_month"] = f"""
-SELECT count(DISTINCT a.user_id) AS user_qyt
-FROM (SELECT user_id, month(min(pay_complete_time)) AS min_mon FROM rack_order WHERE {PAID}
-      GROUP BY user_id HAVING month(min(pay_complete_time)) = 12) a"""
-
-ORACLE["month_users_and_new"] = f"""
-SELECT a.month, a.user_qyt, b.new_user
-FROM (SELECT {MON} AS month, count(DISTINCT user_id) AS user_qyt FROM rack_order WHERE {PAID} GROUP BY 1) a
-JOIN (SELECT substr(rack_first_order, 1, 6) AS month, count(DISTINCT user_id) AS new_user
-      FROM user_info WHERE pt = {AS_OF} GROUP BY 1) b ON a.month = b.month"""
-
-ORACLE["cumulative_buyers"] = f"""
-WITH um AS (SELECT {MON} AS month, user_id, 1 AS key FROM rack_order WHERE {PAID} GROUP BY 1, 2)
-SELECT a.month, count(DISTINCT b.user_id) AS user_qyt
-FROM um a LEFT JOIN um b ON a.key = b.key
-WHERE a.month >= b.month
-GROUP BY a.month"""
-
-ORACLE["buyer_count"] = f"SELECT count(DISTINCT user_id) AS user_qyt FROM rack_order WHERE {PAID}"
-
-ORACLE["new_user_frequency"] = f"""
-SELECT a.first_month, avg(b.order_qyt) AS avg_order
-FROM {USER_FIRST} a JOIN {user_month('count(DISTINCT order_id) AS order_qyt')} b ON a.user_id = b.user_id
-WHERE a.first_month = b.month
-GROUP BY a.first_month"""
-
-ORACLE["old_user_frequency"] = f"""
-SELECT b.month, avg(b.order_qyt) AS avg_order
-FROM {USER_FIRST} a JOIN {user_month('count(DISTINCT order_id) AS order_qyt')} b ON a.user_id = b.user_id
-WHERE a.first_month < b.month
-GROUP BY b.month"""
-
-ORACLE["cumulative_buyers_range"] = f"""
-SELECT a.month_id, count(DISTINCT b.user_id) AS user_qty
-FROM (SELECT month_id FROM calendar GROUP BY month_id) a
-JOIN (SELECT {MON} AS month_id, user_id FROM order_item WHERE {PAID} GROUP BY 1, 2) b
-  ON a.month_id >= b.month_id
-GROUP BY a.month_id"""
-
-ORACLE["new_user_spend"] = f"""
-SELECT b.month, CAST(sum(b.ori) AS DOUBLE) / count(b.ori) AS avg_order
-FROM {USER_FIRST} a JOIN {user_month('sum(origin_amount) AS ori')} b ON a.user_id = b.user_id
-WHERE a.first_month = b.month
-GROUP BY b.month"""
-
-ORACLE["new_user_orders"] = f"""
-SELECT b.month, CAST(sum(b.order_qyt) AS BIGINT) AS order_qyt
-FROM {USER_FIRST} a JOIN {user_month('count(DISTINCT order_id) AS order_qyt')} b ON a.user_id = b.user_id
-WHERE a.first_month = b.month
-GROUP BY b.month"""
-
-ORACLE["old_user_ticket"] = f"""
-SELECT b.month, round(avg(b.avg_ori), 6) AS avg_ori
-FROM {USER_FIRST} a
-JOIN {user_month('CAST(sum(origin_amount) AS DOUBLE) / count(origin_amount) AS avg_ori')} b
-  ON a.user_id = b.user_id
-WHERE a.first_month < b.month
-GROUP BY b.month"""
-
-ORACLE["new_user_ticket"] = f"""
-SELECT b.month, CAST(sum(b.ori) AS DOUBLE) / NULLIF(CAST(sum(b.order_qyt) AS DOUBLE), 0) AS ticket
-FROM {USER_FIRST} a
-JOIN {user_month('sum(origin_amount) AS ori, count(DISTINCT order_id) AS order_qyt')} b ON a.user_id = b.user_id
-WHERE a.first_month = b.month
-GROUP BY b.month"""
-
-ORACLE["cumulative_viewers"] = """
-SELECT b.mon, CAST(sum(b.user_qyt) OVER (ORDER BY b.mon ASC) AS BIGINT) AS sum_user
-FROM (SELECT strftime(a.create_time, '%Y-%m-%d') AS mon, count(DISTINCT a.user_id) AS user_qyt
-      FROM (SELECT dd.create_time, tk.user_id,
-                   row_number() OVER (PARTITION BY tk.user_id ORDER BY dd.create_time ASC) AS rn
-            FROM user_event dd JOIN account_token tk ON dd.token = tk.token
-            WHERE app_name = 'app-openrack-h5' AND page_name = 'commodity_list' AND log_type = 'pv') a
-      WHERE a.rn = 1
-      GROUP BY 1) b"""
-
-COHORT = """
-cohort AS (
-  SELECT week, week_first, cut, count(DISTINCT user_id) AS user_num
-  FROM (SELECT CAST(a.year AS VARCHAR) || '年' || CAST(a.week_of_year AS VARCHAR) || '周' AS week,
-               CAST(b.year AS VARCHAR) || '年' || CAST(b.week_of_year AS VARCHAR) || '周' AS week_first,
-               CAST(datediff('day', b.monday_date, a.monday_date) / 7 AS INTEGER) AS cut,
-               a.user_id, count(a.order_id) AS order_num, sum(a.origin_amount) AS ori
-        FROM trade_detail a LEFT JOIN user_first_day b ON a.user_id = b.user_id
-        GROUP BY 1, 2, 3, 4) t1
-  GROUP BY week, week_first, cut
-)"""
-
-ORACLE["weekly_cohort"] = f"WITH {COHORT.strip()} SELECT * FROM cohort"
-
-ORACLE["repeat_rate"] = f"""WITH {COHORT.strip()}
-SELECT a.week_first, a.user_num AS new_user, b.cut, b.user_num,
-       CAST(b.user_num AS DOUBLE) / NULLIF(CAST(a.user_num AS DOUBLE), 0) AS buy_rate
-FROM (SELECT week_first, user_num FROM cohort WHERE week = week_first) a
-JOIN (SELECT week_first, cut, user_num FROM cohort WHERE cut > 0) b ON a.week_first = b.week_first"""
-
-# ---------------- marketing ----------------
-ORACLE["coupon_vs_gmv"] = f"""
-SELECT a.month, a.cut_1, a.cut_2, b.GMV, b.act
-FROM (SELECT strftime(o.pay_complete_time, '%Y%m') AS month,
-             CAST(sum(CASE WHEN coupon_type = 1 THEN discount_amount ELSE 0 END) AS DOUBLE) AS cut_1,
-             CAST(sum(CASE WHEN coupon_type = 2 THEN discount_amount ELSE 0 END) AS DOUBLE) AS cut_2
-      FROM rack_order o JOIN coupon c ON o.order_id = c.order_id AND o.pt = {AS_OF} AND o.pay_status = 64
-        AND c.coupon_type IN (1, 2) AND o.city_name IS NOT NULL
-      GROUP BY 1) a
-JOIN (SELECT {MON} AS month, CAST(sum(origin_amount) AS DOUBLE) AS GMV, CAST(sum(actual_amount) AS DOUBLE) AS act
-      FROM rack_order WHERE {PAID} GROUP BY 1) b ON a.month = b.month"""
-
-FIRST_ORDERS = f"""(SELECT user_id, order_id, origin_amount, actual_amount, pay_complete_time,
-             row_number() OVER (PARTITION BY user_id ORDER BY pay_complete_time ASC, order_id ASC) AS rn
-      FROM rack_order WHERE {PAID})"""
-
-ORACLE["acquisition_cost"] = f"""
-SELECT strftime(a.pay_complete_time, '%Y%m') AS month,
-       CAST(sum(origin_amount - actual_amount) AS DOUBLE) AS cut,
-       count(DISTINCT a.user_id) AS new_user,
-       CAST(sum(origin_amount - actual_amount) AS DOUBLE) / count(DISTINCT a.user_id) AS CAC
-FROM {FIRST_ORDERS} a
-WHERE a.rn = 1 AND a.origin_amount > a.actual_amount
-GROUP BY 1"""
-
-ORACLE["acquisition_cost_final"] = f"""
-SELECT strftime(a.pay_complete_time, '%Y%m') AS month,
-       CAST(sum(origin_amount - actual_amount) AS DOUBLE) / count(DISTINCT user_id) AS CAC
-FROM {FIRST_ORDERS} a
-WHERE a.rn = 1 AND origin_amount > actual_amount
-GROUP BY 1"""
-
-ORACLE["discount_roi"] = f"""
-SELECT {MON} AS month, CAST(sum(origin_amount) AS DOUBLE) AS ori, CAST(sum(actual_amount) AS DOUBLE) AS act,
+FROM po WHERE pay_complete_time >= TIMESTAMP '2000-01-01 00:00:00'""",
+    # ---------------- users ----------------
+    "new_users_in_month": """
+SELECT count(*) AS user_qyt
+FROM (SELECT user_id FROM po GROUP BY user_id HAVING month(min(pay_complete_time)) = 12)""",
+    "month_users_and_new": """
+WITH buyers AS (SELECT m_key AS month, count(DISTINCT user_id) AS user_qyt FROM po GROUP BY ALL),
+     fresh AS (SELECT first_month AS month, count(DISTINCT user_id) AS new_user FROM user_first GROUP BY ALL)
+SELECT month, user_qyt, new_user FROM buyers JOIN fresh USING (month)""",
+    "cumulative_buyers": """
+WITH seen AS (SELECT DISTINCT m_key AS month, user_id FROM po),
+     months AS (SELECT DISTINCT month FROM seen)
+SELECT m.month, count(DISTINCT s.user_id) AS user_qyt
+FROM months m JOIN seen s ON s.month <= m.month GROUP BY ALL""",
+    "buyer_count": "SELECT count(DISTINCT user_id) AS user_qyt FROM po",
+    "new_user_frequency": """
+SELECT f.first_month, avg(u.n) AS avg_order
+FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month = u.month GROUP BY ALL""",
+    "old_user_frequency": """
+SELECT u.month, avg(u.n) AS avg_order
+FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month < u.month GROUP BY ALL""",
+    "cumulative_buyers_range": """
+WITH months AS (SELECT DISTINCT month_id FROM calendar),
+     seen AS (SELECT DISTINCT m_key AS month_id, user_id FROM pi)
+SELECT m.month_id, count(DISTINCT s.user_id) AS user_qty
+FROM months m JOIN seen s ON s.month_id <= m.month_id GROUP BY ALL""",
+    "new_user_spend": """
+SELECT u.month, CAST(sum(u.g) AS DOUBLE) / count(*) AS avg_order
+FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month = u.month GROUP BY ALL""",
+    "new_user_orders": """
+SELECT u.month, CAST(sum(u.n) AS BIGINT) AS order_qyt
+FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month = u.month GROUP BY ALL""",
+    "old_user_ticket": """
+SELECT u.month, round(avg(CAST(u.g AS DOUBLE) / u.n), 6) AS avg_ori
+FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month < u.month GROUP BY ALL""",
+    "new_user_ticket": """
+SELECT u.month, CAST(sum(u.g) AS DOUBLE) / CAST(sum(u.n) AS DOUBLE) AS ticket
+FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month = u.month GROUP BY ALL""",
+    "cumulative_viewers": """
+WITH views AS (
+  SELECT e.create_time, t.user_id
+  FROM user_event e JOIN account_token t ON t.token = e.token
+  WHERE e.app_name = 'app-openrack-h5' AND e.page_name = 'commodity_list' AND e.log_type = 'pv'
+), first_view AS (
+  SELECT * FROM views QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY create_time) = 1
+), per_day AS (
+  SELECT strftime(create_time, '%Y-%m-%d') AS mon, count(DISTINCT user_id) AS n FROM first_view GROUP BY ALL
+)
+SELECT mon, CAST(sum(n) OVER (ORDER BY mon) AS BIGINT) AS sum_user FROM per_day""",
+    "weekly_cohort": "SELECT week, week_first, cut, user_num FROM cohort",
+    "repeat_rate": """
+SELECT later.week_first, base.user_num AS new_user, later.cut, later.user_num,
+       CAST(later.user_num AS DOUBLE) / CAST(base.user_num AS DOUBLE) AS buy_rate
+FROM cohort later JOIN cohort base ON base.week_first = later.week_first AND base.week = base.week_first
+WHERE later.cut > 0""",
+    # ---------------- marketing ----------------
+    "coupon_vs_gmv": """
+WITH coupons AS (
+  SELECT po.m_key AS month,
+         coalesce(sum(c.discount_amount) FILTER (WHERE c.coupon_type = 1), 0) AS c1,
+         coalesce(sum(c.discount_amount) FILTER (WHERE c.coupon_type = 2), 0) AS c2
+  FROM po JOIN coupon c ON c.order_id = po.order_id
+  WHERE c.coupon_type IN (1, 2) AND po.city_name IS NOT NULL
+  GROUP BY ALL
+), totals AS (SELECT m_key AS month, sum(origin_amount) AS g, sum(actual_amount) AS a FROM po GROUP BY ALL)
+SELECT month, CAST(c1 AS DOUBLE) AS cut_1, CAST(c2 AS DOUBLE) AS cut_2, CAST(g AS DOUBLE) AS GMV,
+       CAST(a AS DOUBLE) AS act
+FROM coupons JOIN totals USING (month)""",
+    "acquisition_cost": """
+WITH first_order AS (
+  SELECT * FROM po QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pay_complete_time, order_id) = 1
+), discounted AS (
+  SELECT m_key AS month, sum(origin_amount - actual_amount) AS d, count(DISTINCT user_id) AS u
+  FROM first_order WHERE origin_amount > actual_amount GROUP BY ALL
+)
+SELECT month, CAST(d AS DOUBLE) AS cut, u AS new_user, CAST(d AS DOUBLE) / u AS CAC FROM discounted""",
+    "acquisition_cost_final": """
+WITH first_order AS (
+  SELECT * FROM po QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pay_complete_time, order_id) = 1
+)
+SELECT m_key AS month, CAST(sum(origin_amount - actual_amount) AS DOUBLE) / count(DISTINCT user_id) AS CAC
+FROM first_order WHERE origin_amount > actual_amount GROUP BY ALL""",
+    "discount_roi": """
+SELECT m_key AS month, CAST(sum(origin_amount) AS DOUBLE) AS ori, CAST(sum(actual_amount) AS DOUBLE) AS act,
        CAST(sum(origin_amount - actual_amount) AS DOUBLE) AS cut,
-       CAST(sum(actual_amount) AS DOUBLE) / NULLIF(CAST(sum(origin_amount - actual_amount) AS DOUBLE), 0) AS ROI
-FROM rack_order WHERE {PAID} AND origin_amount > actual_amount
-GROUP BY 1"""
-
-# ---------------- sku ----------------
-ORACLE["sku_share"] = f"""
-SELECT a.month, a.city_name, a.sku_id, c.commodity_name, div_name, dept_name, class_name, subclass_name,
-       a.qyt,
-       CAST(sum(qyt) OVER (PARTITION BY a.month, a.city_name) AS BIGINT) AS city_qyt,
-       CAST(a.qyt AS DOUBLE) / NULLIF(CAST(sum(qyt) OVER (PARTITION BY a.month, a.city_name) AS DOUBLE), 0)
-         AS qyt_percent,
-       CAST(a.ori AS DOUBLE) AS ori,
-       CAST(sum(a.ori) OVER (PARTITION BY a.month, a.city_name) AS DOUBLE) AS city_ori,
-       CAST(a.ori AS DOUBLE) / NULLIF(CAST(sum(a.ori) OVER (PARTITION BY a.month, a.city_name) AS DOUBLE), 0)
-         AS ori_percent
-FROM (SELECT {MON} AS month, city_name, sku_id, CAST(sum(quantity) AS BIGINT) AS qyt, sum(origin_line) AS ori
-      FROM order_item WHERE {PAID} GROUP BY 1, 2, 3) a
-JOIN commodity c ON a.sku_id = c.sku_id AND c.pt = {AS_OF}
-GROUP BY a.month, a.city_name, a.sku_id, c.commodity_name, div_name, dept_name, class_name, subclass_name,
-         a.qyt, a.ori"""
-
-ORACLE["sku_monthly"] = f"""
-SELECT {MON} AS month, sku_id, commodity_name, CAST(sum(quantity) AS BIGINT) AS qyt,
+       CAST(sum(actual_amount) AS DOUBLE) / CAST(sum(origin_amount - actual_amount) AS DOUBLE) AS ROI
+FROM po WHERE origin_amount > actual_amount GROUP BY ALL""",
+    # ---------------- sku ----------------
+    "sku_share": f"""
+WITH per_sku AS (
+  SELECT m_key AS month, city_name, sku_id, CAST(sum(quantity) AS BIGINT) AS qyt, sum(origin_line) AS ori
+  FROM pi GROUP BY ALL
+), named AS (
+  SELECT s.*, c.commodity_name, c.div_name, c.dept_name, c.class_name, c.subclass_name
+  FROM per_sku s JOIN commodity c ON c.sku_id = s.sku_id AND c.pt = {AS_OF}
+), totals AS (
+  SELECT month, city_name, CAST(sum(qyt) AS BIGINT) AS city_qyt, sum(ori) AS city_ori FROM named GROUP BY ALL
+)
+SELECT month, city_name, sku_id, commodity_name, div_name, dept_name, class_name, subclass_name, qyt, city_qyt,
+       CAST(qyt AS DOUBLE) / CAST(city_qyt AS DOUBLE) AS qyt_percent, CAST(ori AS DOUBLE) AS ori,
+       CAST(city_ori AS DOUBLE) AS city_ori, CAST(ori AS DOUBLE) / CAST(city_ori AS DOUBLE) AS ori_percent
+FROM named JOIN totals USING (month, city_name)""",
+    "sku_monthly": """
+SELECT m_key AS month, sku_id, commodity_name, CAST(sum(quantity) AS BIGINT) AS qyt,
        CAST(sum(origin_line) AS DOUBLE) AS ori, CAST(sum(sale_line) AS DOUBLE) AS act
-FROM order_item WHERE {PAID}
-GROUP BY 1, 2, 3"""
-
-ORACLE["sku_monthly_reach"] = f"""
-SELECT {MON} AS month, sku_id, commodity_name, CAST(sum(quantity) AS BIGINT) AS qyt,
+FROM pi GROUP BY ALL""",
+    "sku_monthly_reach": """
+SELECT m_key AS month, sku_id, commodity_name, CAST(sum(quantity) AS BIGINT) AS qyt,
        CAST(sum(origin_line) AS DOUBLE) AS ori, CAST(sum(sale_line) AS DOUBLE) AS act,
        count(DISTINCT machine_id) AS machine_qyt, count(DISTINCT user_id) AS user_qyt,
        count(DISTINCT order_id) AS order_qyt
-FROM order_item WHERE {PAID}
-GROUP BY 1, 2, 3"""
-
-ORACLE["category_sales"] = f"""
-SELECT a.month, c.div_name, CAST(sum(a.order_qyt) AS BIGINT) AS order_qyt, CAST(sum(a.qyt) AS BIGINT) AS qyt
-FROM (SELECT {MON} AS month, sku_id, count(DISTINCT order_id) AS order_qyt, sum(quantity) AS qyt
-      FROM order_item WHERE {PAID} AND month(pay_complete_time) IN (11, 12)
-      GROUP BY 1, 2) a
-JOIN commodity c ON a.sku_id = c.sku_id AND c.pt = {AS_OF}
-GROUP BY a.month, c.div_name"""
-
-# ---------------- inventory ----------------
-ORACLE["avg_full_stock"] = """
-SELECT avg(a.max_inventory) AS max_inventory
-FROM (SELECT machine_id, count(DISTINCT sku_id) AS sku_qyt, sum(max_inventory) AS max_inventory
-      FROM stock WHERE is_valid = 1 GROUP BY machine_id) a"""
-
-ORACLE["avg_full_stock_hist"] = """
-SELECT avg(a.max_inventory) AS max_inventory
-FROM (SELECT machine_id, count(DISTINCT sku_id) AS sku_qyt, sum(max_inventory) AS max_inventory
-      FROM stock_his WHERE is_valid = 1 AND day_id = '19971231' GROUP BY machine_id) a"""
-
-UNITS = f"""(SELECT machine_id, {DAY} AS payday, sum(quantity) AS qyt
-            FROM order_item WHERE {PAID} AND pay_complete_time > TIMESTAMP '1995-01-01 00:00:00'
-            GROUP BY machine_id, {DAY})"""
-
-ORACLE["avg_daily_units"] = f"""
-SELECT round(avg(b.qyt), 6) AS qyt
-FROM (SELECT a.machine_id, avg(a.qyt) AS qyt
-      FROM {UNITS} a JOIN calendar c ON a.payday = c.day_id AND c.day_type = '工作日'
-      GROUP BY a.machine_id) b"""
-
-ORACLE["sku_count"] = """
-SELECT count(DISTINCT sku_id) AS sku_qyt FROM stock_his WHERE day_id = '19971231' AND is_valid = 1"""
-
-ORACLE["supplier_count"] = """
+FROM pi GROUP BY ALL""",
+    "category_sales": f"""
+WITH per_sku AS (
+  SELECT m_key AS month, sku_id, count(DISTINCT order_id) AS n, sum(quantity) AS q
+  FROM pi WHERE month(pay_complete_time) IN (11, 12) GROUP BY ALL
+)
+SELECT s.month, c.div_name, CAST(sum(s.n) AS BIGINT) AS order_qyt, CAST(sum(s.q) AS BIGINT) AS qyt
+FROM per_sku s JOIN commodity c ON c.sku_id = s.sku_id AND c.pt = {AS_OF} GROUP BY ALL""",
+    # ---------------- inventory ----------------
+    "avg_full_stock": "SELECT avg(cap) AS max_inventory FROM capacity",
+    "avg_full_stock_hist": """
+SELECT avg(cap) AS max_inventory
+FROM (SELECT machine_id, sum(max_inventory) AS cap FROM stock_his
+      WHERE is_valid = 1 AND day_id = '19971231' GROUP BY ALL)""",
+    "avg_daily_units": """
+WITH per_rack AS (
+  SELECT machine_id, avg(q) AS rate FROM units WHERE d_key IN (SELECT day_id FROM workdays) GROUP BY ALL
+)
+SELECT round(avg(rate), 6) AS qyt FROM per_rack""",
+    "sku_count": """
+SELECT count(DISTINCT sku_id) AS sku_qyt FROM stock_his WHERE day_id = '19971231' AND is_valid = 1""",
+    "supplier_count": """
 SELECT count(DISTINCT supplier_code) AS supplier_qyt FROM supplier_product_his
-WHERE day_id = '19971231' AND is_valid = 1"""
-
-ORACLE["turnover_days"] = f"""
-SELECT round(avg(c.zzdays), 6) AS zzdays
-FROM (SELECT a.machine_id, CAST(a.max_inventory AS DOUBLE) / NULLIF(b.qyt, 0) AS zzdays
-      FROM (SELECT machine_id, sum(max_inventory) AS max_inventory FROM stock WHERE is_valid = 1
-            GROUP BY machine_id) a
-      JOIN (SELECT a.machine_id, avg(a.qyt) AS qyt FROM {UNITS} a GROUP BY a.machine_id) b
-        ON a.machine_id = b.machine_id) c"""
-
-# ---------------- rack reports ----------------
-PIVOT_COLS = ",\n".join(
-    f"""  CAST(sum(CASE WHEN c.month_short_id = {m} THEN a.order_qyt ELSE 0 END) AS BIGINT) AS order_qyt{m},
-  count(DISTINCT CASE WHEN c.month_short_id = {m} THEN a.user_id ELSE NULL END) AS user_qyt{m},
-  CAST(sum(CASE WHEN c.month_short_id = {m} THEN a.ori ELSE 0 END) AS DOUBLE) AS ori{m},
-  CAST(sum(CASE WHEN c.month_short_id = {m} THEN a.act ELSE 0 END) AS DOUBLE) AS act{m}"""
-    for m in range(6, 13))
-
-PIVOT = f"""
-rack_pivot AS (
-  SELECT a.machine_id,
-{PIVOT_COLS}
-  FROM (SELECT {DAY} AS payday, machine_id, user_id, count(DISTINCT order_id) AS order_qyt,
-               sum(origin_amount) AS ori, sum(actual_amount) AS act
-        FROM rack_order WHERE {PAID} GROUP BY 1, 2, 3) a
-  JOIN calendar c ON a.payday = c.day_id
-  GROUP BY a.machine_id
-)"""
-
-ORACLE["rack_month_pivot"] = f"WITH {PIVOT.strip()} SELECT * FROM rack_pivot"
-
-ORACLE["rack_master_report"] = f"""WITH {PARSED.strip()}, {COMPANY_SIZE.strip()}, {PIVOT.strip()}
-SELECT a.*, b.corp_name, b.total_people, b.machine_qyt,
-       {", ".join(f"c.order_qyt{m}, c.user_qyt{m}, c.ori{m}, c.act{m}" for m in range(6, 13))}
-FROM (SELECT {RACK_LIST} FROM rack WHERE pt = {AS_OF} AND release_status IN (2, 3, -1)) a
-LEFT JOIN company_size b ON a.customer_id = b.customer_id
-LEFT JOIN rack_pivot c ON a.machine_id = c.machine_id"""
-
-MONTH_RACK = f"""(SELECT a.month, a.machine_id, CAST(sum(a.order_qyt) AS BIGINT) AS order_qyt, sum(a.ori) AS ori,
-             count(DISTINCT a.payday) AS days
-      FROM (SELECT {MON} AS month, {DAY} AS payday, machine_id, count(DISTINCT order_id) AS order_qyt,
-                   sum(origin_amount) AS ori
-            FROM rack_order WHERE {PAID} AND {DAY} >= '19950101'
-            GROUP BY 1, 2, 3) a
-      GROUP BY a.month, a.machine_id)"""
-
-ORACLE["top_racks_sold_days"] = f"""
-SELECT c.* FROM (
-  SELECT b.month, b.machine_id, b.order_qyt AS leiji_order, CAST(b.ori AS DOUBLE) AS leiji_ori,
-         b.days AS leiji_days,
-         CAST(b.order_qyt AS DOUBLE) / b.days AS order_day, CAST(b.ori AS DOUBLE) / b.days AS ori_day,
-         CAST(row_number() OVER (PARTITION BY b.month ORDER BY b.ori DESC, b.machine_id) AS INTEGER) AS rn
-  FROM {MONTH_RACK} b
-) c WHERE c.rn <= 1000"""
-
-ORACLE["top_racks_online_days"] = f"""
-SELECT c.month, c.machine_id, c.machine_name, c.order_qyt, CAST(c.ori AS DOUBLE) AS ori, c.online_days,
-       CAST(c.order_qyt AS DOUBLE) / c.online_days AS order_day, CAST(c.ori AS DOUBLE) / c.online_days AS ori_day,
-       c.rn
-FROM (
-  SELECT a.month, a.machine_id, a.order_qyt, a.ori, b.machine_name, b.online_days,
-         CAST(row_number() OVER (PARTITION BY a.month ORDER BY a.ori DESC, a.machine_id, b.machine_name)
-              AS INTEGER) AS rn
-  FROM {MONTH_RACK} a
-  JOIN (SELECT substr(pt, 1, 6) AS month, machine_id, machine_name, count(DISTINCT pt) AS online_days
-        FROM rack WHERE pt >= '19950101' AND pt <= '20011130' AND release_status IN (2, 3)
-        GROUP BY 1, 2, 3) b
-    ON a.month = b.month AND a.machine_id = b.machine_id
-) c WHERE c.rn <= 1000"""
-
-ORACLE["rack_month_profit"] = f"""
-SELECT substr(c.payday, 1, 6) AS month, c.machine_id, m.machine_name,
-       CAST(sum(c.order_qyt) AS BIGINT) AS order_qyt, CAST(sum(c.ori) AS DOUBLE) AS ori,
-       CAST(sum(c.act) AS DOUBLE) AS act, CAST(sum(p.moving_cost) AS DOUBLE) AS moving_cost,
-       CAST(sum(c.user_qyt) AS BIGINT) AS user_qyt, CAST(sum(c.new_user) AS BIGINT) AS new_user
-FROM (
-  SELECT a.payday, a.machine_id, sum(a.order_qyt) AS order_qyt, sum(a.ori) AS ori, sum(a.act) AS act,
-         count(DISTINCT a.user_id) AS user_qyt,
-         count(DISTINCT CASE WHEN a.payday = b.rack_first_order THEN a.user_id ELSE NULL END) AS new_user
-  FROM (SELECT {DAY} AS payday, machine_id, user_id, count(DISTINCT order_id) AS order_qyt,
-               sum(origin_amount) AS ori, sum(actual_amount) AS act
-        FROM rack_order WHERE {PAID} AND {DAY} >= '19950101'
-        GROUP BY 1, 2, 3) a
-  LEFT JOIN (SELECT rack_first_order, user_id FROM user_info WHERE pt = {AS_OF}) b ON a.user_id = b.user_id
-  GROUP BY a.payday, a.machine_id
-) c
-LEFT JOIN (SELECT pt, machine_id, order_count, list_amount, sale_amount, moving_cost FROM rack_cost
-           GROUP BY pt, machine_id, order_count, list_amount, sale_amount, moving_cost) p
-  ON c.payday = p.pt AND c.machine_id = p.machine_id
-LEFT JOIN rack m ON c.machine_id = m.machine_id AND m.pt = {AS_OF}
-GROUP BY substr(c.payday, 1, 6), c.machine_id, m.machine_name"""
-
-NAMES = ", ".join(f"'Supplier#{i:09d}'" for i in range(1, 13))
-
-ORACLE["order_detail"] = f"""WITH {PARSED.strip()}, {MINGXI.strip()}
-SELECT i.machine_id, a.machine_name, a.total_people, i.order_id, CAST(o.origin_amount AS DOUBLE) AS origin_amount,
-       i.pay_complete_time, i.sku_id, i.commodity_name, i.commodity_origin_price, i.commodity_sale_price,
-       i.quantity
-FROM order_item i
-JOIN rack_order o ON i.order_id = o.order_id AND o.pt = {AS_OF} AND i.pt = {AS_OF} AND o.pay_status = 64
-JOIN (SELECT machine_id, machine_name, t.total_people
-      FROM rack m JOIN mingxi t ON m.customer_id = t.customer_id AND m.pt = {AS_OF}
-      WHERE machine_name IN ({NAMES})) a ON a.machine_id = i.machine_id"""
-
-ORACLE["discounted_order_items"] = f"""
+WHERE day_id = '19971231' AND is_valid = 1""",
+    "turnover_days": """
+WITH rate AS (SELECT machine_id, avg(q) AS rate FROM units GROUP BY ALL)
+SELECT round(avg(CAST(cap AS DOUBLE) / rate), 6) AS zzdays FROM capacity JOIN rate USING (machine_id)""",
+    # ---------------- rack reports ----------------
+    "rack_month_pivot": "SELECT * FROM rack_pivot",
+    "rack_master_report": f"""
+WITH listed AS (SELECT {RACK_LIST} FROM rk WHERE release_status IN (2, 3, -1))
+SELECT l.*, s.corp_name, s.total_people, s.machine_qyt,
+       {", ".join(f"p.order_qyt{m}, p.user_qyt{m}, p.ori{m}, p.act{m}" for m in PIVOT_MONTHS)}
+FROM listed l LEFT JOIN company_size s ON s.customer_id = l.customer_id
+LEFT JOIN rack_pivot p ON p.machine_id = l.machine_id""",
+    "top_racks_sold_days": """
+WITH per_month AS (
+  SELECT month, machine_id, CAST(sum(n) AS BIGINT) AS n, sum(g) AS g, count(DISTINCT d_key) AS days
+  FROM since_1995 GROUP BY ALL
+)
+SELECT month, machine_id, n AS leiji_order, CAST(g AS DOUBLE) AS leiji_ori, days AS leiji_days,
+       n / days AS order_day, CAST(g AS DOUBLE) / days AS ori_day,
+       CAST(row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id) AS INTEGER) AS rn
+FROM per_month
+QUALIFY row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id) <= 1000""",
+    "top_racks_online_days": """
+WITH per_month AS (
+  SELECT month, machine_id, CAST(sum(n) AS BIGINT) AS n, sum(g) AS g FROM since_1995 GROUP BY ALL
+), online AS (
+  SELECT left(pt, 6) AS month, machine_id, machine_name, count(DISTINCT pt) AS online_days
+  FROM rack WHERE pt BETWEEN '19950101' AND '20011130' AND release_status IN (2, 3) GROUP BY ALL
+)
+SELECT month, machine_id, machine_name, n AS order_qyt, CAST(g AS DOUBLE) AS ori, online_days,
+       n / online_days AS order_day, CAST(g AS DOUBLE) / online_days AS ori_day,
+       CAST(row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id, machine_name) AS INTEGER) AS rn
+FROM per_month JOIN online USING (month, machine_id)
+QUALIFY row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id, machine_name) <= 1000""",
+    "rack_month_profit": f"""
+WITH dmu AS (
+  SELECT d_key, machine_id, user_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g,
+         sum(actual_amount) AS a
+  FROM po WHERE pay_complete_time >= TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+), per_day AS (
+  SELECT d.d_key, d.machine_id, sum(d.n) AS n, sum(d.g) AS g, sum(d.a) AS a,
+         count(DISTINCT d.user_id) AS users,
+         count(DISTINCT d.user_id) FILTER (WHERE d.d_key = u.rack_first_order) AS fresh
+  FROM dmu d LEFT JOIN (SELECT user_id, rack_first_order FROM user_info WHERE pt = {AS_OF}) u
+    ON u.user_id = d.user_id
+  GROUP BY ALL
+), cost AS (SELECT DISTINCT pt, machine_id, order_count, list_amount, sale_amount, moving_cost FROM rack_cost)
+SELECT left(p.d_key, 6) AS month, p.machine_id, rk.machine_name, CAST(sum(p.n) AS BIGINT) AS order_qyt,
+       CAST(sum(p.g) AS DOUBLE) AS ori, CAST(sum(p.a) AS DOUBLE) AS act,
+       CAST(sum(cost.moving_cost) AS DOUBLE) AS moving_cost,
+       CAST(sum(p.users) AS BIGINT) AS user_qyt, CAST(sum(p.fresh) AS BIGINT) AS new_user
+FROM per_day p LEFT JOIN cost ON cost.pt = p.d_key AND cost.machine_id = p.machine_id
+LEFT JOIN rk ON rk.machine_id = p.machine_id
+GROUP BY ALL""",
+    "order_detail": f"""
+WITH named AS (
+  SELECT rk.machine_id, rk.machine_name, h.total_people
+  FROM rk JOIN headcount_detail h ON h.customer_id = rk.customer_id
+  WHERE rk.machine_name IN ({NAMES})
+)
+SELECT i.machine_id, n.machine_name, n.total_people, i.order_id, CAST(o.origin_amount AS DOUBLE) AS origin_amount,
+       i.pay_complete_time, i.sku_id, i.commodity_name, i.commodity_origin_price, i.commodity_sale_price, i.quantity
+FROM order_item i JOIN named n ON n.machine_id = i.machine_id JOIN po o ON o.order_id = i.order_id
+WHERE i.pt = {AS_OF}""",
+    "discounted_order_items": f"""
 SELECT o.order_id, i.machine_id, i.user_id, i.sku_id, i.city_name, i.commodity_name, i.commodity_origin_price,
        i.commodity_sale_price, i.quantity, CAST(i.origin_line AS DOUBLE) AS origin_line,
        CAST(i.sale_line AS DOUBLE) AS sale_line, i.pay_complete_time, i.pay_status, i.pt
-FROM rack_order o JOIN order_item i ON o.order_id = i.order_id AND o.pt = {AS_OF} AND i.pt = {AS_OF}
-  AND o.pay_status = 64
-WHERE strftime(o.pay_complete_time, '%m') = '06' AND o.origin_amount > o.actual_amount"""
+FROM po o JOIN order_item i ON i.order_id = o.order_id AND i.pt = {AS_OF}
+WHERE strftime(o.pay_complete_time, '%m') = '06' AND o.origin_amount > o.actual_amount""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: with_tables(v) for k, v in ORACLE.items()}
+    out = {}
+    for k, v in ORACLE.items():
+        q = v.strip()
+        q = ("WITH " + BASE.strip() + ",\n" + q[5:]) if q.upper().startswith("WITH ") else \
+            ("WITH " + BASE.strip() + "\n" + q)
+        out[k] = with_tables(q)
+    return out

@@ -112,4 +112,6 @@ def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REPORTS[name](catalog_for(spark, sf_dir))
+    """Build the report on a fresh catalog (only DataFrame definitions: cheap, and never tied to a
+    stopped session)."""
+    return REPORTS[name](fixture_catalog(spark, sf_dir))

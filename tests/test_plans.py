@@ -69,3 +69,21 @@ def test_no_python_udf_in_any_report(spark):
     for name, fn in registry.REPORTS.items():
         p = plan(fn(cat))
         assert "EvalPython" not in p and "PythonUDF" not in p, name
+
+
+def test_distinct_users_per_month_shuffle_on_month_and_user(stored):
+    # a hot month must not send all its user ids to one task: the first exchange is keyed on both
+    import re
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan(sales.workday_month(stored, AS_OF)))
+    assert any("month#" in k and "user_id#" in k for k in keys), keys
+
+
+def test_first_order_per_user_is_a_partial_aggregate(stored):
+    from rackpulse.operators import marketing
+    p = plan(marketing.acquisition_cost(stored, AS_OF))
+    assert "partial_min(" in p and "Window" not in p
+
+
+def test_session_turns_on_adaptive_skew_handling(spark):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"

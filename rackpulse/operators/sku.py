@@ -13,7 +13,9 @@ from rackpulse.sources.catalog import PAID, Catalog, snapshot
 
 def sku_share(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
     """Per month x city x SKU: units and GMV, the city-month totals and the SKU's share of them.
-    Totals are windows over the aggregated (month, city, SKU) rows, never over raw lines."""
+
+    Totals are windows over the aggregated (month, city, SKU) rows, never over raw lines: a window
+    partition holds at most one row per SKU of the catalogue, however many lines a city-month has."""
     i = paid_items(cat, as_of, status).withColumn("month", month_key("pay_complete_time", month_fmt))
     a = i.groupBy("month", "city_name", "sku_id").agg(F.sum("quantity").alias("qyt"),
                                                      F.sum("origin_line").alias("ori"))

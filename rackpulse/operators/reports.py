@@ -119,10 +119,16 @@ def rack_month_profit(cat: Catalog, as_of: str, since_day: str, month_fmt: str =
 
 
 def order_detail(cat: Catalog, as_of: str, names, status: int = PAID) -> DataFrame:
-    """Order lines of the racks named in ``names`` with the company's headcount. The named racks are
-    selected before any join, so the fact scan is joined with that short list only."""
-    m = (racks_at(cat, as_of).where(F.col("machine_name").isin(list(names)))
-         .select("machine_id", "machine_name", "customer_id"))
+    """Order lines of the racks named in ``names`` (a list, or a DataFrame with ``machine_name``) with
+    the company's headcount. The named racks are selected before any join, so the fact scan is joined
+    with that short list only (and Spark's runtime bloom filter can prune the order side)."""
+    m = racks_at(cat, as_of)
+    if isinstance(names, DataFrame):
+        # a long list arrives as a table (column machine_name): a semi join instead of a huge IN list
+        m = m.join(names.select("machine_name").distinct(), "machine_name", "left_semi")
+    else:
+        m = m.where(F.col("machine_name").isin(list(names)))
+    m = m.select("machine_id", "machine_name", "customer_id")
     a = m.join(headcount_detail(cat, as_of), "customer_id").select("machine_id", "machine_name", "total_people")
     i = snapshot(cat.table("order_item"), as_of)
     o = paid_orders(cat, as_of, status).select("order_id", "origin_amount")

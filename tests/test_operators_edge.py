@@ -121,3 +121,22 @@ def test_grade_counts_and_city_count(spark):
     assert racks.city_count(cat, AS_OF).first().city_qyt == 2
     got = {(r.pt, r.machine_grading, r.machine_qyt) for r in racks.grade_counts(cat, ["20171130", "20171228"]).collect()}
     assert got == {("20171130", "A", 2), ("20171228", "B", 1)}
+
+
+def test_order_detail_accepts_a_name_table(spark):
+    from rackpulse.plans import registry
+    from rackpulse.sources.fixtures import AS_OF as FIX
+    from tests.conftest import SF001
+    cat = registry.catalog_for(spark, SF001)
+    names = registry.NAMED_RACKS
+    as_list = reports.order_detail(cat, FIX, names)
+    as_table = reports.order_detail(cat, FIX, spark.createDataFrame([(n,) for n in names], "machine_name string"))
+    assert sorted(map(tuple, as_list.collect())) == sorted(map(tuple, as_table.collect()))
+
+
+def test_calendar_holiday_override(spark):
+    from rackpulse.operators.calendar import RESTDAY, WORKDAY, calendar
+    hol = spark.createDataFrame([("20171002", RESTDAY), ("20170930", WORKDAY)], "day_id string, day_type string")
+    cal = {r.day_id: r.day_type for r in calendar(spark, "2017-09-29", "2017-10-03", hol).collect()}
+    assert cal == {"20170929": WORKDAY, "20170930": WORKDAY, "20171001": RESTDAY, "20171002": RESTDAY,
+                   "20171003": WORKDAY}

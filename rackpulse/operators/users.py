@@ -45,18 +45,29 @@ def month_users_and_new(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT,
     return users.join(new, "month").select("month", "user_qyt", "new_user")
 
 
-def _running_first_seen(firsts: DataFrame, periods: DataFrame, period: str, out: str,
-                        keep_empty: bool = True) -> DataFrame:
+def _running_first_seen(firsts: DataFrame, periods: DataFrame | None, period: str, out: str,
+                        keep_empty: bool = True, periods_cover: bool = False) -> DataFrame:
     """Cumulative distinct ids per period: ids counted at their first period, then a running sum
     over the (few) periods. Equal to joining every period with every earlier (period, id) pair and
     counting distinct ids, but linear instead of quadratic. The window has no partition key; it runs
-    over the aggregated periods only (tens to hundreds of rows), never over raw rows."""
+    over the aggregated periods only (tens to hundreds of rows), never over raw rows.
+
+    ``periods=None`` reports the periods in which some id is first seen; ``periods_cover=True`` says
+    every first period is among ``periods`` (no union needed); otherwise earlier first periods outside
+    ``periods`` are carried into the running sum and then dropped."""
     new = firsts.groupBy(period).agg(F.count(F.lit(1)).alias("_new"))
-    keys = periods.select(period).unionByName(new.select(period)).distinct()
     w = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if periods is None:
+        return new.select(period, F.sum("_new").over(w).cast("bigint").alias(out))
+    if periods_cover:
+        keys = periods.select(period).distinct()
+    else:
+        keys = periods.select(period).unionByName(new.select(period)).distinct()
     run = (keys.join(new, period, "left")
            .withColumn(out, F.sum(F.coalesce("_new", F.lit(0))).over(w).cast("bigint")))
-    run = run.join(periods, period, "left_semi").select(period, out)
+    if not periods_cover:
+        run = run.join(periods, period, "left_semi")
+    run = run.select(period, out)
     return run if keep_empty else run.where(F.col(out) > 0)
 
 
@@ -69,8 +80,9 @@ def cumulative_distinct(df: DataFrame, period: str, id_col: str, periods: DataFr
     """
     d = df.select(period, id_col).where(F.col(id_col).isNotNull())
     firsts = d.groupBy(id_col).agg(F.min(period).alias(period))
-    if periods is None:
-        periods = df.select(period).distinct()
+    if periods is None:   # the periods present in df contain every first period
+        return _running_first_seen(firsts, df.select(period).distinct(), period, out, keep_empty,
+                                   periods_cover=True)
     return _running_first_seen(firsts, periods.select(period), period, out, keep_empty)
 
 
@@ -78,8 +90,8 @@ def cumulative_buyers(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, stat
     """Per month with sales: distinct buyers up to and including that month."""
     um = with_keys(paid_orders(cat, as_of, status), month_fmt).select("month", "user_id")
     firsts = um.groupBy("user_id").agg(F.min("month").alias("month"))
-    periods = um.select("month").distinct()
-    return _running_first_seen(firsts, periods, "month", "user_qyt")
+    periods = um.select("month").distinct()   # every first month is a month with sales
+    return _running_first_seen(firsts, periods, "month", "user_qyt", periods_cover=True)
 
 
 def cumulative_buyers_range(cat: Catalog, as_of: str, year: int | None = None,
@@ -168,10 +180,8 @@ def cumulative_viewers(cat: Catalog, period_fmt: str = "yyyy-MM", app_name: str
     """Cumulative first-time page viewers per period: page views bridged to account users by
     token, each account user counted in the period of its first view."""
     first = event_first_touch(cat, app_name, page_name, log_type)
-    per = first.select(F.date_format("first_view", period_fmt).alias("mon"))
-    periods = per.distinct()
-    firsts = per
-    return _running_first_seen(firsts, periods, "mon", "sum_user")
+    firsts = first.select(F.date_format("first_view", period_fmt).alias("mon"))
+    return _running_first_seen(firsts, None, "mon", "sum_user")
 
 
 def _week_label(year: str, week: str):

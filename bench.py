@@ -54,7 +54,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", "rackpulse-bench", shuffle_partitions=int(cpus) * 2,
+    spark = build_session(f"local[{cpus}]", "rackpulse-bench", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
                           extra={"spark.driver.memory": "16g"})
     root = checkpoint_dir(spark, tempfile.mkdtemp(prefix="rackpulse-ckpt-"))
     t0 = time.perf_counter()

@@ -54,3 +54,9 @@ def test_cumulative_distinct_generic(spark):
     periods = spark.createDataFrame([("0",), ("a",), ("b",), ("c",)], "p string")
     got = sorted(tuple(r) for r in cumulative_distinct(df, "p", "u", periods, "n").collect())
     assert got == [("0", 0), ("a", 2), ("b", 2), ("c", 3)]
+
+
+def test_catalog_from_tables(spark):
+    spark.range(5).createOrReplaceTempView("tiny_source")
+    cat = Catalog.from_tables(spark, {"tiny": "tiny_source"})
+    assert cat.table("tiny").count() == 5 and cat.names() == ["tiny"]

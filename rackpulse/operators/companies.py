@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.functions.dates import MONTH_FMT, day_key, day_start, iso_week, iso_year, month_key
+from rackpulse.functions.dates import MONTH_FMT, day_start, iso_week, iso_year
 from rackpulse.functions.headcount import (
     BANDS_COARSE, BANDS_DETAIL, BANDS_FINE, IMPUTE_COARSE, IMPUTE_FINE, band, cut_length,
     impute_headcount, parse_headcount,

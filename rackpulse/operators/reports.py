@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackpulse.functions.dates import MONTH_FMT, day_key, day_start, month_key, month_of_day_key
+from rackpulse.functions.dates import MONTH_FMT, day_start, month_key, month_of_day_key
 from rackpulse.functions.ratio import money, ratio
-from rackpulse.operators.common import on_days, paid_items, paid_orders, racks_at, with_keys
+from rackpulse.operators.common import paid_orders, racks_at, with_keys
 from rackpulse.operators.companies import company_size, headcount_detail
 from rackpulse.operators.racks import LISTED, online_days, rack_list
 from rackpulse.sources.catalog import PAID, Catalog, snapshot

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.functions.agg import distinct_count
-from rackpulse.functions.dates import MONTH_FMT, day_start, month_key
+from rackpulse.functions.dates import MONTH_FMT, day_start
 from rackpulse.functions.ratio import money, ratio
 from rackpulse.operators.calendar import workdays_only
 from rackpulse.operators.common import on_days, paid_orders, racks_at, with_keys

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rackpulse.functions.agg import distinct_count
 from rackpulse.functions.dates import MONTH_FMT, month_key, month_of_day_key
-from rackpulse.functions.ratio import money, ratio
-from rackpulse.operators.common import first_per_key, paid_items, paid_orders, with_keys
+from rackpulse.functions.ratio import ratio
+from rackpulse.operators.common import paid_items, paid_orders, with_keys
 from rackpulse.sources.catalog import PAID, Catalog, snapshot
 
 ROUND = 6

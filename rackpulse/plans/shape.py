@@ -14,7 +14,7 @@ import sys
 from rackpulse.plans import registry
 from rackpulse.session import build_session
 from rackpulse.sources.catalog import Catalog
-from rackpulse.sources.fixtures import AS_OF, fixture_catalog
+from rackpulse.sources.fixtures import fixture_catalog
 
 
 def shape(df) -> dict:

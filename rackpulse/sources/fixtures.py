@@ -253,11 +253,15 @@ def materialise_catalog(spark: SparkSession, sf_dir: str, root: str) -> Catalog:
     lazy = fixture_catalog(spark, sf_dir)
     sort_keys = {"rack": "pt", "rack_grade": "pt", "stock_his": "day_id", "supplier_product_his": "day_id",
                  "rack_cost": "pt"}
-    for name in lazy.names():
+    first = ["rack_order", "rack"]   # other tables are derived from these two: build those from the copies
+    for name in first + [n for n in lazy.names() if n not in first]:
         df = lazy.table(name)
         if name in sort_keys:
             df = df.sortWithinPartitions(sort_keys[name])
-        materialise(df, name, root)
+        path = materialise(df, name, root)
+        if name in first:
+            lazy._loaders[name] = (lambda p=path: spark.read.parquet(p))
+            lazy._frames.pop(name, None)
     cat = Catalog.from_parquet(spark, root, lazy.names())
     cat.row_bounds = dict(lazy.row_bounds)
     cat.as_of = AS_OF

@@ -118,6 +118,12 @@ def rack_month_profit(cat: Catalog, as_of: str, since_day: str, month_fmt: str =
                     money("act").alias("act"), money("moving_cost").alias("moving_cost"), "user_qyt", "new_user")
 
 
+def _ts_text(c: str):
+    """Detail extracts print times as ``yyyy-MM-dd HH:mm:ss`` text (same value in every client,
+    whatever its timestamp unit)."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
 def order_detail(cat: Catalog, as_of: str, names, status: int = PAID) -> DataFrame:
     """Order lines of the racks named in ``names`` (a list, or a DataFrame with ``machine_name``) with
     the company's headcount. The named racks are selected before any join, so the fact scan is joined
@@ -134,7 +140,7 @@ def order_detail(cat: Catalog, as_of: str, names, status: int = PAID) -> DataFra
     o = paid_orders(cat, as_of, status).select("order_id", "origin_amount")
     j = i.join(a, "machine_id").join(o, "order_id")
     return j.select("machine_id", "machine_name", "total_people", "order_id", money("origin_amount").alias("origin_amount"),
-                    "pay_complete_time", "sku_id", "commodity_name", "commodity_origin_price",
+                    _ts_text("pay_complete_time"), "sku_id", "commodity_name", "commodity_origin_price",
                     "commodity_sale_price", "quantity")
 
 
@@ -149,4 +155,4 @@ def discounted_order_items(cat: Catalog, as_of: str, month: str = "06", month_fm
     return j.select("order_id", "machine_id", "user_id", "sku_id", "city_name", "commodity_name",
                     "commodity_origin_price", "commodity_sale_price", "quantity",
                     money("origin_line").alias("origin_line"), money("sale_line").alias("sale_line"),
-                    "pay_complete_time", "pay_status", "pt")
+                    _ts_text("pay_complete_time"), "pay_status", "pt")

@@ -482,13 +482,15 @@ WITH named AS (
   WHERE rk.machine_name IN ({NAMES})
 )
 SELECT i.machine_id, n.machine_name, n.total_people, i.order_id, CAST(o.origin_amount AS DOUBLE) AS origin_amount,
-       i.pay_complete_time, i.sku_id, i.commodity_name, i.commodity_origin_price, i.commodity_sale_price, i.quantity
+       strftime(i.pay_complete_time, '%Y-%m-%d %H:%M:%S') AS pay_complete_time, i.sku_id, i.commodity_name,
+       i.commodity_origin_price, i.commodity_sale_price, i.quantity
 FROM order_item i JOIN named n ON n.machine_id = i.machine_id JOIN po o ON o.order_id = i.order_id
 WHERE i.pt = {AS_OF}""",
     "discounted_order_items": f"""
 SELECT o.order_id, i.machine_id, i.user_id, i.sku_id, i.city_name, i.commodity_name, i.commodity_origin_price,
        i.commodity_sale_price, i.quantity, CAST(i.origin_line AS DOUBLE) AS origin_line,
-       CAST(i.sale_line AS DOUBLE) AS sale_line, i.pay_complete_time, i.pay_status, i.pt
+       CAST(i.sale_line AS DOUBLE) AS sale_line, strftime(i.pay_complete_time, '%Y-%m-%d %H:%M:%S') AS pay_complete_time,
+       i.pay_status, i.pt
 FROM po o JOIN order_item i ON i.order_id = o.order_id AND i.pt = {AS_OF}
 WHERE strftime(o.pay_complete_time, '%m') = '06' AND o.origin_amount > o.actual_amount""",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAID = 64  # fixed value: pay_status of a completed payment
@@ -87,22 +87,18 @@ class Catalog:
         return cls(spark, {n: (lambda t=t: spark.table(t)) for n, t in mapping.items()})
 
 
-def _key(df: DataFrame, column: str) -> Column:
-    return F.col(column)
-
-
 def snapshot(df: DataFrame, as_of: str, column: str = "pt") -> DataFrame:
     """One daily snapshot. ``as_of`` is a ``yyyyMMdd`` string compared as a string (no cast)."""
-    return df.where(_key(df, column) == F.lit(str(as_of)))
+    return df.where(F.col(column) == F.lit(str(as_of)))
 
 
 def snapshot_range(df: DataFrame, first: str, last: str, column: str = "pt") -> DataFrame:
     """Snapshots ``first <= key <= last`` (fixed-width keys order like dates)."""
-    return df.where(_key(df, column).between(F.lit(str(first)), F.lit(str(last))))
+    return df.where(F.col(column).between(F.lit(str(first)), F.lit(str(last))))
 
 
 def snapshot_in(df: DataFrame, keys: Iterable[str], column: str = "pt") -> DataFrame:
-    return df.where(_key(df, column).isin([str(k) for k in keys]))
+    return df.where(F.col(column).isin([str(k) for k in keys]))
 
 
 def paid(df: DataFrame, status: int = PAID) -> DataFrame:

@@ -74,3 +74,16 @@ def test_pivot_totals_equal_monthly_totals(cat):
 def test_turnover_uses_all_days_daily_units_work_days(cat):
     a = inventory.avg_daily_units(cat, AS_OF, registry.SINCE).first().qyt
     assert a > 0 and inventory.turnover_days(cat, AS_OF, registry.SINCE).first().zzdays > 0
+
+
+def test_as_written_month_and_week_keys(cat):
+    """``month_fmt="MM"`` merges years (as the source's month-of-year key does); totals are unchanged."""
+    from rackpulse.operators import companies
+    by_year = marketing.discount_roi(cat, AS_OF)
+    merged = marketing.discount_roi(cat, AS_OF, month_fmt="MM")
+    months = sorted(r.month for r in merged.collect())
+    assert months == [f"{m:02d}" for m in range(1, 13)]
+    tot = lambda df: round(df.agg(F.sum("cut")).first()[0], 2)
+    assert tot(by_year) == tot(merged)
+    weeks = companies.company_weekly_sales(cat, AS_OF, week_key="week").select("weekno").distinct().collect()
+    assert 1 <= min(r.weekno for r in weeks) and max(r.weekno for r in weeks) <= 53

@@ -16,14 +16,16 @@ PIVOT_MONTHS = (6, 7, 8, 9, 10, 11, 12)  # fixed value: month-of-year columns of
 TOP_N = 1000                             # fixed value: racks kept per month in the top-rack reports
 
 
-def rack_month_pivot(cat: Catalog, as_of: str, months=PIVOT_MONTHS, status: int = PAID) -> DataFrame:
-    """One row per selling rack; for each calendar month-of-year M in ``months``: orders, distinct
-    buyers, GMV and net sales (0 when none).
+def rack_month_pivot(cat: Catalog, as_of: str, months=PIVOT_MONTHS, status: int = PAID,
+                     month_col: str = "month_short_id") -> DataFrame:
+    """One row per selling rack; for each calendar month M in ``months``: orders, distinct buyers,
+    GMV and net sales (0 when none). ``month_col`` is the calendar column the months refer to:
+    ``month_short_id`` (month of year, merging years, as in the source) or ``month_id`` (``yyyyMM``).
 
     Orders are rolled up to (rack, month, user) first, so the buyer count per month is a plain
     conditional count over unique (rack, month, user) rows: two shuffles, no per-month distinct."""
     o = with_keys(paid_orders(cat, as_of, status))
-    cal = cat.dim("calendar").select(F.col("day_id").alias("payday"), F.col("month_short_id").alias("m"))
+    cal = cat.dim("calendar").select(F.col("day_id").alias("payday"), F.col(month_col).alias("m"))
     rmu = (o.join(cal, "payday").groupBy("machine_id", "m", "user_id")
            .agg(F.count("order_id").alias("order_qyt"), F.sum("origin_amount").alias("ori"),
                 F.sum("actual_amount").alias("act")))

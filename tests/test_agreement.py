@@ -87,3 +87,12 @@ def test_as_written_month_and_week_keys(cat):
     assert tot(by_year) == tot(merged)
     weeks = companies.company_weekly_sales(cat, AS_OF, week_key="week").select("weekno").distinct().collect()
     assert 1 <= min(r.weekno for r in weeks) and max(r.weekno for r in weeks) <= 53
+
+
+def test_pivot_by_year_month_splits_month_of_year(cat):
+    by_moy = reports.rack_month_pivot(cat, AS_OF, months=(12,))
+    years = [f"{y}12" for y in range(1995, 2001)]
+    by_ym = reports.rack_month_pivot(cat, AS_OF, months=tuple(years), month_col="month_id")
+    a = by_moy.agg(F.sum("order_qyt12")).first()[0]
+    b = by_ym.agg(*[F.sum(f"order_qyt{y}").alias(y) for y in years]).first()
+    assert a == sum(b) and a > 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rackpulse.functions.agg import distinct_count
 from rackpulse.functions.dates import MONTH_FMT, day_start
 from rackpulse.functions.ratio import money, ratio
-from rackpulse.operators.calendar import workdays_only
+from rackpulse.operators.calendar import WEEK_SUFFIX, workdays_only
 from rackpulse.operators.common import on_days, paid_orders, racks_at, with_keys
 from rackpulse.sources.catalog import PAID, Catalog
 
@@ -64,7 +64,7 @@ def weekly_kpis(cat: Catalog, as_of: str, status: int = PAID) -> DataFrame:
     cal = cat.dim("calendar").select(
         F.col("day_id").alias("payday"),
         F.date_format("monday_date", "yyyyMMdd").alias("monday_date"),
-        F.concat(F.col("year_name_cn"), F.col("week_of_year").cast("string"), F.lit("周")).alias("week"))
+        F.concat(F.col("year_name_cn"), F.col("week_of_year").cast("string"), F.lit(WEEK_SUFFIX)).alias("week"))
     w = (day.join(cal, "payday").groupBy("monday_date", "week")
          .agg(F.sum("order_qyt").alias("order_qyt"), F.sum("ori").alias("ori")))
     return w.select("monday_date", "week", "order_qyt", money("ori").alias("ori"),

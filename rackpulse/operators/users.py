@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rackpulse.functions.agg import distinct_count
 from rackpulse.functions.dates import MONTH_FMT, month_key, month_of_day_key
 from rackpulse.functions.ratio import ratio
+from rackpulse.operators.calendar import WEEK_SUFFIX, YEAR_SUFFIX
 from rackpulse.operators.common import paid_items, paid_orders, with_keys
 from rackpulse.sources.catalog import PAID, Catalog, snapshot
 
@@ -185,7 +186,7 @@ def cumulative_viewers(cat: Catalog, period_fmt: str = "yyyy-MM", app_name: str
 
 
 def _week_label(year: str, week: str):
-    return F.concat(F.col(year).cast("string"), F.lit("年"), F.col(week).cast("string"), F.lit("周"))
+    return F.concat(F.col(year).cast("string"), F.lit(YEAR_SUFFIX), F.col(week).cast("string"), F.lit(WEEK_SUFFIX))
 
 
 def weekly_cohort(cat: Catalog) -> DataFrame:

@@ -8,12 +8,15 @@ from rackpulse.session import checkpoint_dir
 
 
 def materialise(df: DataFrame, name: str, root: str | None = None,
-                partition_by: str | list[str] | None = None) -> str:
+                partition_by: str | list[str] | None = None,
+                bucket_by: tuple[int, list[str]] | None = None) -> str:
     """Write ``df`` as parquet table ``name`` under ``root`` (default: the session's shared
     ``spark.checkpoint.dir``) with overwrite semantics, and return the path.
 
     Writing is also how a long lineage is cut: a job reading the written table back restarts from
-    it after an executor loss instead of recomputing the whole plan.
+    it after an executor loss instead of recomputing the whole plan. ``bucket_by=(n, [cols])`` stores
+    the table bucketed (and registers it as ``name`` in the session catalog) for co-located joins,
+    e.g. the order-keyed tables on ``order_id``.
     """
     spark = df.sparkSession
     base = root or checkpoint_dir(spark)
@@ -21,6 +24,12 @@ def materialise(df: DataFrame, name: str, root: str | None = None,
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    if bucket_by:
+        # bucketed tables live in the session catalog (path in the shared folder): two tables bucketed
+        # the same way on their join key are joined without a shuffle
+        n, cols = bucket_by
+        writer.bucketBy(n, *cols).sortBy(*cols).format("parquet").option("path", path).saveAsTable(name)
+        return path
     writer.parquet(path)
     return path
 

@@ -75,3 +75,19 @@ def test_stored_catalog_gives_the_same_reports(spark, scratch):
         a = sorted(map(tuple, registry.REPORTS[name](stored).collect()), key=repr)
         b = sorted(map(tuple, registry.REPORTS[name](lazy).collect()), key=repr)
         assert a == b, name
+
+
+def test_bucketed_tables_join_without_shuffle(spark, scratch):
+    from pyspark.sql import functions as F
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = spark.range(1000).select(F.col("id").alias("order_id"), (F.col("id") % 7).alias("machine_id"))
+        coupons = spark.range(3000).select((F.col("id") % 1000).alias("order_id"), F.lit(1.0).alias("discount"))
+        materialise(orders, "bk_orders", scratch, bucket_by=(8, ["order_id"]))
+        materialise(coupons, "bk_coupons", scratch, bucket_by=(8, ["order_id"]))
+        j = spark.table("bk_orders").join(spark.table("bk_coupons"), "order_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

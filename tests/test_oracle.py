@@ -9,8 +9,8 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {name: q for name, q in E.queries().items() if name in E.registry.REPORTS}
+SQL = {name: q for name, q in E.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

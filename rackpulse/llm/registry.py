@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import mixing
+from rackpulse.llm import mixing, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLE_SQL = {

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import mixing, tokens
+from rackpulse.llm import mixing, tokens, warc
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op9_warc": warc.op9_warc,
 }
 ORACLE_SQL = {
     "op7_mixing": mixing.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }

@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: The random number has 52 bits; each round of bins reads 12 of them.
 U_BITS, BIN_BITS = 52, 12
+#: A source's rows meet its plan in so many parts, so that none lands in one task.
+SALTS = 64
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     plan = plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left").drop("s").withColumnRenamed("source", "s")
     more = F.when(F.col("p") <= 0, False).when(F.col("cut").isNull(), True).otherwise(F.col("u") <= F.col("cut"))
     copies = F.col("whole") + more.cast("int")
-    return (sized.join(plan, sized["source"].eqNullSafe(plan["s"]))
+    plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = sized.withColumn("salt", F.pmod("u", F.lit(SALTS)).cast("int"))
+    return (sized.join(plan, sized["source"].eqNullSafe(plan["s"]) & (sized["salt"] == plan["part"]))
             .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
                     (copies * F.col("size")).alias("taken")))
 

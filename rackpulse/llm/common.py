@@ -8,7 +8,8 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rackpulse.session import checkpoint_dir
 
@@ -50,3 +51,8 @@ def worker_cache(key: str, build: Callable[[], object]) -> object:
     if not hasattr(home, key):
         setattr(home, key, build())
     return getattr(home, key)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body (or a lambda in it) refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import mixing, tokens, warc
+from rackpulse.llm import decontam, licenses, mixing, tokens, warc
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op3_license_scan": licenses.op3_license_scan,
     "op7_mixing": mixing.op7_mixing,
     "op9_warc": warc.op9_warc,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 ORACLE_SQL = {
+    "op3_license_scan": licenses.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
+    "op10_decontamination": decontam.ORACLE_SQL,
 }

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from rackpulse.llm.common import table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of text that are taken at a time; words that a worker remembers; longest word (bytes) taken by columns.
-CHUNK, MAX_WORDS, WIDE = 1 << 19, 600_000, 40
+#: Characters of text that are taken at a time; words that a worker remembers; lengths in bytes that go together.
+CHUNK, MAX_WORDS, WIDTHS = 1 << 21, 1_000_000, (8, 12, 18, 28, 48)
 LIMIT = 2048
 END = "</w>"
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -182,27 +182,30 @@ class PrefixCounter:
         self.rows: dict[int, int] = {}
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def word_tables(self, words: list[str]) -> list[np.ndarray]:
-        """Per word the counts of its prefixes of 1, 2, ... characters, the last being the word's own."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def _learn(self, words: list[str], hashes: list[int]) -> None:
+        """Add words to the table: the counts of their prefixes of 1, 2, ... characters, the last being the word's own."""
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         order = sorted(range(len(words)), key=lambda i: len(coded[i]))
-        start = 0
+        flats, sizes, start = [self.flat], [self.size], 0
         while start < len(order):  # words of like length together
-            width = max(8, len(coded[order[start]]))
-            stop, width = start, width if width <= WIDE else width * 2
-            while stop < len(order) and len(coded[order[stop]]) <= width and (stop - start) * width < 1 << 21:
+            least, stop = len(coded[order[start]]), start
+            width = next((w for w in WIDTHS if w >= least), least * 2)
+            while stop < len(order) and len(coded[order[stop]]) <= width and (stop - start) * width < 1 << 22:
                 stop += 1
-            group = order[start:stop]
-            for i, counts in zip(group, self._prefix_dp([coded[i] for i in group]), strict=True):
-                out[i] = counts
+            flat, size = self._prefix_dp([coded[i] for i in order[start:stop]])
+            flats.append(flat)
+            sizes.append(size)
             start = stop
-        for i, w in enumerate(words):
-            if w in CONTRACTIONS and len(w) == 3:  # cut, they are an apostrophe and a letter
-                out[i] = np.array([1, 2, out[i][-1]], np.int32)
-        return out
-
-    def _prefix_dp(self, coded: list[bytes]) -> Iterator[np.ndarray]:
+        n = len(self.size)
+        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
+        for row, i in enumerate(order, n):
+            self.rows[hashes[i]] = row
+            if words[i] in CONTRACTIONS and len(words[i]) == 3:  # cut, they are an apostrophe and a letter
+                self.flat[self.first[row]:self.first[row] + 2] = 1, 2
+
+    def _prefix_dp(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of all words' prefixes, word after word, and each word's number of characters."""
         n, lengths = len(coded), np.array([len(b) for b in coded])
         wide = int(lengths.max())
         text = np.frombuffer(b"".join(b.ljust(wide, b"\0") for b in coded), np.uint8).reshape(n, wide)
@@ -238,8 +241,7 @@ class PrefixCounter:
         whole[:, :-1] = (text[:, 1:] & 0xC0) != 0x80
         whole &= np.arange(1, wide + 1) <= lengths[:, None]
         whole[np.arange(n), lengths - 1] = True
-        flat = ended[1:].T[whole]
-        yield from np.split(flat, np.cumsum(whole.sum(1))[:-1])
+        return ended[1:].T[whole], whole.sum(1)
 
     # ---- texts
 
@@ -306,13 +308,7 @@ class PrefixCounter:
         rows = self.rows
         missing = [i for i, h in enumerate(unique.tolist()) if h not in rows]
         if missing:
-            found = self.word_tables([text[starts[first[i]]:ends[first[i]]] for i in missing])
-            for j, h in enumerate(unique[missing].tolist()):
-                rows[h] = len(self.first) + j
-            sizes = np.array([len(x) for x in found])
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, *found])
+            self._learn([text[starts[first[i]]:ends[first[i]]] for i in missing], unique[missing].tolist())
         row = np.array([rows[h] for h in unique.tolist()], np.int64)[back]
         at, size = self.first[row], self.size[row]
         counts = self.flat[at + size - 1]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import decontam, licenses, mixing, tokens, warc
+from rackpulse.llm import decontam, licenses, mixing, near, tokens, warc
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op3_license_scan": licenses.op3_license_scan,
     "op7_mixing": mixing.op7_mixing,
+    "op8_ngram_jaccard_join": near.op8_ngram_jaccard_join,
     "op9_warc": warc.op9_warc,
     "op10_decontamination": decontam.op10_decontamination,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rackpulse.llm import decontam, licenses, mixing, near, tokens, warc
+from rackpulse.llm import decontam, licenses, mixing, near, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_ngram_jaccard_join": near.op8_ngram_jaccard_join,
     "op9_warc": warc.op9_warc,

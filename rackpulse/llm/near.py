@@ -336,7 +336,8 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_key) of every document."""
+    """(doc_id, n_shingles, component_id, text_key, root) of every document; ``root`` names the component, null without
+    words."""
     spread = docs.select("doc_id", "text")
     found = store(document_classes(spread, percent), "near-documents")
     some = found.where("n > 0")
@@ -354,12 +355,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = classes.join(roots, F.col("class") == F.col("node"), "left").select(
         F.col("class").alias("of"), "first_id", F.coalesce("root", "class").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = labelled.select("of", "root").join(ids, "root").select("of", "component_id")
+    by_class = labelled.select("of", "root").join(ids, "root")
     return (found.join(by_class, F.col("class") == F.col("of"), "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    "text_key"))
+                    "text_key", "root"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, of which each component keeps one: that of the smallest id (null last), and of the
+    smallest text digest where rows repeat it; rows that agree in both stay once. Documents without words are kept."""
+    found = store(near_duplicates(docs, percent).where("n_shingles > 0").select("doc_id", "text_key", "root"), "near-roots")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    several = found.groupBy("root").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = found.join(several.withColumnRenamed("root", "of"), F.col("root") == F.col("of"))
+    gone = met.where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))))
+    gone = store(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "near-gone")
+    left = _without(docs, gone)
+    twice = store(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().where("count > 1")
+                  .drop("count"), "near-twice")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, (F.xxhash64(docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")),
+                     "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(left, twice).union(once)
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.join(keys, (F.xxhash64(docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")),
+                     "left_anti")
 
 
 def op8_ngram_jaccard_join(spark, sf_dir) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "root")

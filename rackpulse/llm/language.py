@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import store, table, worker_cache
+from rackpulse.llm.common import pieces, store, table, worker_cache
 from rackpulse.llm.training import MAX_BYTES, held_out, remainder
 
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
@@ -213,7 +213,7 @@ def with_language(docs: DataFrame, model: LanguageModel | None, name: str = "lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         parser = worker_cache(f"language:{own.key}", lambda: Parser(own)) if own else None
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("__text").to_pylist()
             names, scores = parser.predict(texts) if parser else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string()),

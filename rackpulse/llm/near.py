@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import store, table
+from rackpulse.llm.common import pieces, store, table
 
 K = 5
 PERCENT = 80
@@ -38,7 +38,7 @@ PERCENT = 80
 EXTRA = 10
 #: Bounds of a block: classes, and shingles of all of them.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 19
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _U = np.uint64
 _B, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 
@@ -131,7 +131,7 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n, class, grp) per document; ``class`` is the digest of its set, ``grp`` of size and prefix."""
     def run(batches):
         shingler = Shingler()
-        for batch in batches:
+        for batch in pieces(batches):
             n, cls, grp = [], [], []
             for s in shingler.sets(_texts(batch)):
                 n.append(len(s))
@@ -150,7 +150,7 @@ def _prefix_rows(docs: DataFrame, percent: int) -> DataFrame:
     """(h, grp): the prefixes of all groups, from each task once."""
     def run(batches):
         shingler, sent = Shingler(), set()
-        for batch in batches:
+        for batch in pieces(batches):
             hashes, groups, sizes = [], [], []
             for s in shingler.sets(_texts(batch)):
                 p = prefix_of(s, percent)

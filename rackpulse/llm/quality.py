@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import table
+from rackpulse.llm.common import pieces, table
 from rackpulse.llm.training import held_out, sample_ids, sample_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -176,7 +176,7 @@ def with_scores(docs: DataFrame, net: ByteNet | float, name: str = "score") -> D
     wide = docs.select(*columns, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("__text").to_pylist()
             found = net.scores(texts) if isinstance(net, ByteNet) else np.full(len(texts), float(net))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)],

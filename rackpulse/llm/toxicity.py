@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import table
+from rackpulse.llm.common import pieces, table
 from rackpulse.llm.training import held_out, sample_ids, sample_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -167,7 +167,7 @@ def with_toxicity(docs: DataFrame, model: ToxicModel | None, name: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("__text").to_pylist()
             found = own.scores(texts) if own else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)],

@@ -52,7 +52,7 @@ class Shingler:
         rng = np.random.Generator(np.random.PCG64(5))
         lower = np.arange(256)
         lower[65:91] += 32
-        self.k, self.powers = k, np.ones(1, _U)
+        self.k, self.powers, self.back = k, np.ones(1, _U), np.ones(1, _U)
         self.letters = rng.integers(1, 1 << 63, 256).astype(_U)[lower]
         self.white = np.isin(np.arange(256), [32, *range(9, 14)])
 
@@ -97,12 +97,14 @@ class Shingler:
         return h ^ (h >> _U(32))
 
     def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Polynomial hashes of the words from sums over the whole, each brought to the same power."""
+        """Polynomial hashes of the words from sums over the whole, each brought back to power 0 at its start."""
         while len(self.powers) <= len(data):
-            self.powers = np.concatenate([self.powers, self.powers * _U(pow(int(_B), len(self.powers), 1 << 64))])
+            n = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * _U(pow(int(_B), n, 1 << 64))])
+            self.back = np.concatenate([self.back, self.back * _U(pow(int(_B), -n, 1 << 64))])
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum(self.letters[data] * self.powers[:len(data)], out=sums[1:])
-        return self._mix((sums[ends] - sums[starts]) * self.powers[len(data) - starts] + (ends - starts).astype(_U))
+        return self._mix((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(_U))
 
 
 def least_overlap(n, percent: int = PERCENT):

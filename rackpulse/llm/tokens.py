@@ -97,7 +97,7 @@ class PrefixCounter:
         self.special_re = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         raw = {t: bytes(symbols[c] for c in t.removesuffix(END)) for t in vocab if t not in self.special}
         self.classes = character_classes()
-        self.powers = np.ones(1, _U)
+        self.powers, self.back = np.ones(1, _U), np.ones(1, _U)
         self.merge_rank: dict[int, int] = {}
         parts: dict[int, tuple[int, int, int]] = {}  # token -> left part, right part, rank of the merge that makes it
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -344,18 +344,16 @@ class PrefixCounter:
 
     def _hashes(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         while len(self.powers) <= len(code) + 1:
-            self.powers = np.concatenate([self.powers, self.powers * self._power(len(self.powers))])
+            n = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * _U(pow(int(_B), n, 1 << 64))])
+            self.back = np.concatenate([self.back, self.back * _U(pow(int(_B), -n, 1 << 64))])
         sums = np.zeros(len(code) + 1, _U)
         np.cumsum(((code.astype(_U) + _U(1)) * _K2 ^ _K1) * self.powers[:len(code)], out=sums[1:])
-        # brought to one place by multiplying up to the end, then mixed with the length
-        out = (sums[ends] - sums[starts]) * self.powers[len(code) - starts]
+        # brought back to power 0 at the word's start, then mixed with the length
+        out = (sums[ends] - sums[starts]) * self.back[starts]
         out = (out ^ (out >> _U(29))) * _K1 + (ends - starts).astype(_U)
         return out ^ (out >> _U(32))
 
-    @staticmethod
-    def _power(n: int) -> np.uint64:
-        return _U(pow(int(_B), n, 1 << 64))
-
 
 def counter(path: str) -> PrefixCounter:
     return worker_cache(f"tokens:{path}", lambda: PrefixCounter(path))

@@ -10,21 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse.llm import decontam, language, mixing, near, quality
-from rackpulse.llm.common import store, table
+from rackpulse.llm.common import free_name, store, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network scores at its threshold or above. Its training rows come from ``documents``."""
     net = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality.with_scores(docs, net, "__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    score = free_name(docs, "quality_score")
+    return quality.with_scores(docs, net, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without letters are rejected."""
     model = language.train(table(spark, sf_dir, "documents"))
-    found = language.with_language(docs, model, "__lang", "__score")
-    return found.where(F.col("__lang") != language.UNKNOWN).drop("__lang", "__score")
+    name, score = free_name(docs, "predicted_language"), free_name(docs, "language_score")
+    found = language.with_language(docs, model, name, score)
+    return found.where(F.col(name) != language.UNKNOWN).drop(name, score)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

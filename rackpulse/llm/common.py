@@ -64,3 +64,11 @@ def worker_cache(key: str, build: Callable[[], object]) -> object:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body (or a lambda in it) refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it a name that no column of ``df`` has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

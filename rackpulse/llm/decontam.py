@@ -85,8 +85,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
                        shingle_texts(F.col("text")).alias("item_shingles")).dropDuplicates(["item_key"])
     p = pairs.select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), "item_id", "item_key")
     shared = F.size(F.array_intersect("shingles", "item_shingles"))
-    return (p.join(own, "item_key")
-            .join(whole, (F.col("doc_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return (p.join(whole, (F.col("doc_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+            .join(own, "item_key")
             .select("doc_id", "doc_key", "item_id", F.size("item_shingles").cast("long").alias("n_item"),
                     shared.cast("long").alias("n_shared"))
             .withColumn("containment", F.col("n_shared") / F.col("n_item"))
@@ -97,8 +97,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAI
     """The documents, all columns, in which no item is contained."""
     bad = store(contaminated(docs, items, containment).select(F.col("doc_id").alias("__id"),
                                                               F.col("doc_key").alias("__key")).distinct(), "leaks")
-    return docs.join(bad, (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__key"))
-                     & docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(bad, (F.xxhash64(docs["doc_id"], docs["text"]) == bad["__key"])
+                     & docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir) -> DataFrame:

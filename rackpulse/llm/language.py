@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import pieces, store, table, worker_cache
+from rackpulse.llm.common import free_name, pieces, store, table, worker_cache
 from rackpulse.llm.training import MAX_BYTES, held_out, remainder
 
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
@@ -205,16 +205,17 @@ def train(docs: DataFrame, budget: int = BUDGET, rows: int = ROWS, max_bytes: in
 
 def with_language(docs: DataFrame, model: LanguageModel | None, name: str = "lang_pred", score: str = "score") -> DataFrame:
     """The documents, all columns, with predicted language and score."""
-    columns = [c for c in docs.columns if c not in (name, score)]
+    columns = [c for c in docs.columns if c.lower() not in (name.lower(), score.lower())]
+    whole = free_name(docs, "whole_text")
     schema = docs.select(*columns).schema.add(name, "string").add(score, "double")
-    wide = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    wide = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias(whole))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training budget
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         parser = worker_cache(f"language:{own.key}", lambda: Parser(own)) if own else None
         for batch in pieces(batches):
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(whole).to_pylist()
             names, scores = parser.predict(texts) if parser else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string()),
                                               pa.array(scores, pa.float64())], names=[*columns, name, score])

@@ -378,13 +378,13 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                   .drop("count"), "near-twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, (F.xxhash64(docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")),
+    once = left.join(twice, (F.xxhash64(docs["text"]) == twice["__key"]) & docs["doc_id"].eqNullSafe(twice["__id"]),
                      "left_semi").dropDuplicates(["doc_id", "text"])
     return _without(left, twice).union(once)
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return docs.join(keys, (F.xxhash64(docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")),
+    return docs.join(keys, (F.xxhash64(docs["text"]) == keys["__key"]) & docs["doc_id"].eqNullSafe(keys["__id"]),
                      "left_anti")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import pieces, table
+from rackpulse.llm.common import free_name, pieces, table
 from rackpulse.llm.training import held_out, sample_ids, sample_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -171,13 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet |
 
 def with_scores(docs: DataFrame, net: ByteNet | float, name: str = "score") -> DataFrame:
     """The documents, all columns, with the probability of label 1 in column ``name``."""
-    columns = [c for c in docs.columns if c != name]
+    columns, own = [c for c in docs.columns if c.lower() != name.lower()], free_name(docs, "text_bytes")
     schema = docs.select(*columns).schema.add(name, "double")
-    wide = docs.select(*columns, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text"))
+    wide = docs.select(*columns, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(own).to_pylist()
             found = net.scores(texts) if isinstance(net, ByteNet) else np.full(len(texts), float(net))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)],
                                              names=[*columns, name])

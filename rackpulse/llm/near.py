@@ -8,7 +8,8 @@ A document's set holds the hashes of its distinct runs of five words. Links are
    ``n - ceil(0.8 * n) + k``. Classes with the same size and the same prefix form a group, which sends its prefix once.
 3. Shingles that two groups share are found in a shuffle by shingle. A group can only have links if k of its
    prefix are shared (k for the smallest possible partner), or if it has several classes. This is repeated among those
-   that are left, and what is still joined by shared shingles forms a home.
+   that are left. Of a group's shared shingles, all but the k - 1 most frequent suffice to meet a partner; groups
+   that share one of these, and whose sizes allow a link, step by step, form a home.
 4. Homes are expanded: the texts of their classes come together, in blocks of bounded size where a home is large (each
    pair of blocks once). A block joins its sets exactly: candidates by the rarest shingles of each set, length filter, then
    the intersection of the whole sets. Pairs that are connected already need no check; only connecting links go out.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackpulse.llm.common import pieces, store, table
@@ -249,13 +250,37 @@ def _homes(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             (F.col("classes") > 1) | (F.col("held") >= _asked(F.col("n"), percent))).select("grp")
         alive = store(alive, "near-alive")
         shared = store(_shared(shared.join(alive, "grp", "left_semi")), "near-shared")
-    smallest = shared.groupBy("h").agg(F.min("grp").alias("first"))
-    edges = shared.join(smallest, "h").select(F.col("grp").alias("a"), F.col("first").alias("b"))
-    roots = components(edges.distinct())
+    # the rarest shared shingle of two linked sets is among the rarest of each: all but the k - 1 most frequent ones
+    sized = shared.join(groups.join(alive, "grp", "left_semi").select("grp", "n"), "grp")
+    known = sized.join(shared.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
+    own = Window.partitionBy("grp")
+    head = known.withColumn("place", F.row_number().over(own.orderBy("df", "h"))).withColumn(
+        "held", F.count(F.lit(1)).over(own)).where(F.col("place") <= F.col("held") - _asked(F.col("n"), percent) + 1)
+    edges = store(_neighbours(head.select("h", "n", "grp"), percent).distinct(), "near-edges")
+    alive = edges.select(F.col("a").alias("grp")).union(edges.select("b")).union(
+        groups.where("classes > 1").select("grp")).distinct()
+    roots = components(edges)
     return alive.join(roots, F.col("grp") == F.col("node"), "left").select(
         "grp", F.coalesce("root", "grp").alias("home"))
 
 
+def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of (h, n, grp) the groups next to each other in the order of size, among those of one h, if their sizes
+    allow a link. Any two groups that share an h and whose sizes allow a link are joined by such steps."""
+    def run(batches):
+        before = np.zeros((3, 0), np.int64)
+        for batch in batches:  # in the order of h, n and grp
+            rows = np.concatenate([before, [batch.column(c).to_numpy().astype(np.int64) for c in ("h", "n", "grp")]], axis=1)
+            before = rows[:, -1:]
+            h, n, g = rows
+            step = (h[1:] == h[:-1]) & (g[1:] != g[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+            pairs = np.unique(np.stack([g[:-1][step], g[1:][step]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "h").sortWithinPartitions("h", "n", "grp").mapInArrow(run, "a long, b long")
+
+
 class _Sets:
     """Union-find over numbers."""
 

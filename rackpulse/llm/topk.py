@@ -7,7 +7,7 @@ each, a candidate's score can still grow by no more than the product of what is
 bound is under the query's k-th best so far are dropped, and the rest moved together.
 
 Scores are exact: 64-bit floats while norms guarantee that all sums stay below 2^52, Python integers beyond that (held to
-the range of a 64-bit integer in the result).
+the range of a 64-bit integer, where they may tie).
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do null ids;
 vectors meet those of their own length only; a query's own row is left out, which are all rows of its id; equal scores go to
@@ -110,11 +110,11 @@ def _search_integers(queries, query_ids, columns, ids, k):
     rows = [[int(x) for x in c] for c in columns.T]
     for q, own in zip(queries, query_ids.tolist(), strict=True):
         q = [int(x) for x in q]
-        scores = [(-sum(a * b for a, b in zip(q, r, strict=True)), i) for r, i in zip(rows, ids.tolist(), strict=True) if i != own]
-        best = sorted(scores)[:k]
+        scores = [(min(max(sum(a * b for a, b in zip(q, r, strict=True)), _LOW), _HIGH), i)
+                  for r, i in zip(rows, ids.tolist(), strict=True) if i != own]
+        best = sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
         if best:
-            yield own, np.array([i for _, i in best], np.int64), np.array(
-                [min(max(-s, _LOW), _HIGH) for s, _ in best], np.int64)
+            yield own, np.array([i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:

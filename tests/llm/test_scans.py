@@ -102,12 +102,14 @@ def test_top_k_equals_all_pairs(spark, monkeypatch):
 
 
 def test_top_k_large_numbers_stay_exact(spark):
-    rows = [(0, [1e9, 3.0]), (1, [1e9, 1.0]), (2, [1e9, 2.0]), (3, [-1e9, 5.0])]
+    rows = [(0, [1e7, 3.0]), (1, [1e7, 1.0]), (2, [1e7, 2.0]), (3, [-1e7, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(df.where("vec_id = 0"), df).collect()
-    high, low = (1 << 63) - 1, -(1 << 63)
-    want = [(q, r, i, min(max(s, low), high)) for q, r, i, s in best_by_hand(rows) if q == 0]
-    assert sorted(map(tuple, got)) == want
+    want = [x for x in best_by_hand(rows) if x[0] == 0]
+    assert sorted(map(tuple, got)) == want and want[0][3] > 1 << 53
+    far = spark.createDataFrame([(0, [1e12]), (2, [1e11]), (1, [1e12]), (3, [-1e12])], "vec_id long, embedding array<double>")
+    got = topk.top_k(far.where("vec_id = 0"), far).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, (1 << 63) - 1), (0, 3, 3, -(1 << 63))]
 
 
 PAGES = [(1, "http://a", "x" * 100), (2, "http://b", "x" * 100), (3, "http://c", "x" * 99), (4, "http://d", "x" * 99), (5, None, None),

@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
                  .withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
                  .withColumn("p", F.when(F.col("source_size") > 0, F.col("quota") / F.col("source_size"))
                              .otherwise(0.0)), "mix-plan")
-    quota = plan.select(F.col("source").alias("s"), "quota")
+    quota = plan.where("p > 0").select(F.col("source").alias("s"), "quota")
     at1 = _crossing(sums1, quota, 1)
     near = sized.join(at1, sized["source"].eqNullSafe(at1["s"]) & (sized["bin1"] == at1["at1"]))
     at2 = _crossing(near.groupBy("source", "bin2").agg(F.sum("size").alias("words")),

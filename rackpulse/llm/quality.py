@@ -65,7 +65,7 @@ class ByteNet:
             return np.zeros((0, 2 * HIDDEN), np.float32)
         halves = [-(-max(len(t), 1) // HALF) for t in texts]
         best = self._half_answers(b"".join(t.ljust(n * HALF, b"\0") for t, n in zip(texts, halves, strict=True)),
-                                  np.array([len(t) for t in texts]), np.array(halves))
+                                  np.cumsum(halves) * HALF)
         # a chunk is two halves; a text of one half is one chunk
         at = np.cumsum(halves) - halves
         chunk = np.maximum(best, np.concatenate([best[1:], best[-1:]]))
@@ -79,8 +79,10 @@ class ByteNet:
         begin = np.cumsum(count) - count
         return np.hstack([np.add.reduceat(hidden, begin) / count[:, None], np.maximum.reduceat(hidden, begin)])
 
-    def _half_answers(self, data: bytes, lengths: np.ndarray, halves: np.ndarray) -> np.ndarray:
-        """The filters' largest answers (0 at least) among the windows that begin in each half."""
+    def _half_answers(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        """The filters' largest answers (0 at least) among the windows that begin in each half. Windows that reach over the
+        end of a padded text, into the next one, don't count."""
+        over = (ends[:, None] - np.arange(WIDTH - 1, 0, -1)).ravel()
         if self.pairs is None:  # two neighbouring bytes at a time
             f = self.p["filters"]
             self.pairs = [(f[i][:, None, :] + f[i + 1][None, :, :]).reshape(1 << 16, FILTERS) for i in range(0, WIDTH, 2)]
@@ -93,6 +95,7 @@ class ByteNet:
             answer = np.take(self.pairs[0], code[a:a + n], axis=0)
             for i in range(1, WIDTH // 2):
                 answer += np.take(self.pairs[i], code[a + 2 * i:a + 2 * i + n], axis=0)
+            answer[over[np.searchsorted(over, a):np.searchsorted(over, a + n)] - a] = -np.inf
             out[a // HALF:(a + n) // HALF] = answer.reshape(-1, HALF, FILTERS).max(1)
         return np.maximum(out + self.p["bias"], 0)
 

@@ -5,7 +5,6 @@ Layout
   functions/  column-expression helpers (day/month keys, headcount parsing, bands, safe ratios)
   operators/  the business reports, one ``DataFrame -> DataFrame`` function each
   plans/      the query registry (name -> report call with its parameters) and the DuckDB oracle SQL
-  streaming/  intentionally empty: the analysed workload has no streaming part
 """
 
 from rackpulse.session import build_session, checkpoint_dir

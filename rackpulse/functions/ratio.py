@@ -18,3 +18,8 @@ def ratio(num, den) -> Column:
 def money(c) -> Column:
     """Exact decimal sums leave the operators as double."""
     return _col(c).cast("double")
+
+
+def line_amount(price) -> Column:
+    """``price * quantity`` of an order line: exact for decimal prices, double for double ones."""
+    return _col(price) * F.col("quantity").cast("decimal(12,0)")

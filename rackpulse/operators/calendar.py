@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +14,12 @@ YEAR_SUFFIX = "年"
 WEEK_SUFFIX = "周"
 # ---- end of fixed values ----
 
-MAX_CALENDAR_DAYS = 200_000  # ~550 years; the calendar is broadcast only below this size
-
-
-def calendar_days(start: str, end: str) -> int:
-    return (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days + 1
-
 
 def calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
     """One row per day in ``[start, end]`` (ISO dates).
 
     ``day_type`` is a work day Monday..Friday unless ``holidays`` (``day_id``, ``day_type``) overrides
-    it. ``year_name_cn`` is the ISO week-numbering year, so ``year_name_cn || week_of_year`` names
+    it (of several entries for a day, the one that makes it a rest day counts). ``year_name_cn`` is the ISO week-numbering year, so ``year_name_cn || week_of_year`` names
     one ISO week even across New Year.
     """
     days = spark.range(1).select(
@@ -44,22 +36,14 @@ def calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | No
         "day_date",
     )
     if holidays is not None:
-        h = holidays.select("day_id", F.col("day_type").alias("_override"))
-        cal = (cal.join(F.broadcast(h), "day_id", "left")
+        rest = F.min(F.struct(F.col("day_type") == WORKDAY, "day_type"))
+        h = holidays.where(F.col("day_type").isNotNull()).groupBy("day_id").agg(rest["day_type"].alias("_override"))
+        cal = (cal.join(h, "day_id", "left")
                .withColumn("day_type", F.coalesce("_override", "day_type")).drop("_override"))
     return cal
 
 
-def small_dim(df: DataFrame, rows_bound: int, limit: int = MAX_CALENDAR_DAYS) -> DataFrame:
-    """Broadcast hint for a dimension whose row count is bounded by construction (``rows_bound``);
-    above ``limit`` the planner decides (sort-merge or AQE broadcast)."""
-    return F.broadcast(df) if rows_bound <= limit else df
-
-
-def workdays_only(df: DataFrame, cal: DataFrame, day_col: str = "payday",
-                  cal_days: int | None = None) -> DataFrame:
+def workdays_only(df: DataFrame, cal: DataFrame, day_col: str = "payday") -> DataFrame:
     """Keep rows whose ``day_col`` (``yyyyMMdd``) is a work day: a semi join, no calendar columns."""
     work = cal.where(F.col("day_type") == WORKDAY).select(F.col("day_id").alias(day_col))
-    if cal_days is not None:
-        work = small_dim(work, cal_days)
     return df.join(work, day_col, "left_semi")

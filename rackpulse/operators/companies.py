@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.functions.agg import distinct_count
 from rackpulse.functions.dates import MONTH_FMT, day_start, iso_week, iso_year
 from rackpulse.functions.headcount import (
     BANDS_COARSE, BANDS_DETAIL, BANDS_FINE, IMPUTE_COARSE, IMPUTE_FINE, band, cut_length,
@@ -164,34 +165,33 @@ def racks_by_band_two_snapshots(cat: Catalog, then: str, now: str, detail_as_of:
             .agg(F.countDistinct("machine_id").alias("machine_qyt")))
 
 
-def _band_orders(cat: Catalog, as_of: str, status: int, month_fmt: str) -> DataFrame:
-    """Paid orders of racks whose company has a detail band (inner: racks without one drop)."""
-    m = racks_at(cat, as_of).select("machine_id", "customer_id").join(_detail_band(cat, as_of), "customer_id")
-    return with_keys(paid_orders(cat, as_of, status), month_fmt).join(m, "machine_id")
+def _banded_racks(cat: Catalog, as_of: str) -> DataFrame:
+    """Racks whose company has a detail band (racks without one drop from the inner joins)."""
+    return racks_at(cat, as_of).select("machine_id", "customer_id").join(_detail_band(cat, as_of), "customer_id")
 
 
 def band_orders_gmv(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
-    """Per month x detail band: orders and GMV."""
-    o = _band_orders(cat, as_of, status, month_fmt)
-    per = o.groupBy("month", "machine_id", "total_people").agg(F.count("order_id").alias("order_qyt"),
-                                                               F.sum("origin_amount").alias("GMV"))
-    g = per.groupBy("month", "total_people").agg(F.sum("order_qyt").alias("order_qyt"), F.sum("GMV").alias("GMV"))
+    """Per month x detail band: orders and GMV. Orders are rolled up per month x rack before the join."""
+    per = (with_keys(paid_orders(cat, as_of, status), month_fmt).groupBy("month", "machine_id")
+           .agg(F.count("order_id").alias("order_qyt"), F.sum("origin_amount").alias("GMV")))
+    g = per.join(_banded_racks(cat, as_of), "machine_id").groupBy("month", "total_people").agg(
+        F.sum("order_qyt").alias("order_qyt"), F.sum("GMV").alias("GMV"))
     return g.select("month", "total_people", "order_qyt", money("GMV").alias("GMV"))
 
 
 def band_users(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
-    """Per month x detail band: distinct users per company, summed over companies."""
-    o = _band_orders(cat, as_of, status, month_fmt)
-    per = (o.select("month", "customer_id", "total_people", "user_id").where(F.col("user_id").isNotNull())
-           .distinct().groupBy("month", "customer_id", "total_people").agg(F.count(F.lit(1)).alias("user_qyt")))
+    """Per month x detail band: distinct users per company, summed over companies. Orders are reduced to
+    distinct month x rack x user before the join."""
+    o = with_keys(paid_orders(cat, as_of, status), month_fmt).select("month", "machine_id", "user_id").distinct()
+    per = distinct_count(o.join(_banded_racks(cat, as_of), "machine_id"), ["month", "customer_id", "total_people"],
+                         "user_id", "user_qyt")
     return per.groupBy("month", "total_people").agg(F.sum("user_qyt").alias("user_qyt"))
 
 
 def band_users_total(cat: Catalog, as_of: str, status: int = PAID) -> DataFrame:
     """Per detail band: distinct users over the whole snapshot."""
-    o = _band_orders(cat, as_of, status, None)
-    return (o.select("total_people", "user_id").where(F.col("user_id").isNotNull()).distinct()
-            .groupBy("total_people").agg(F.count(F.lit(1)).alias("user_qyt")))
+    o = paid_orders(cat, as_of, status).select("machine_id", "user_id").distinct()
+    return distinct_count(o.join(_banded_racks(cat, as_of), "machine_id"), ["total_people"], "user_id", "user_qyt")
 
 
 def band_monthly_sales(cat: Catalog, as_of: str, racks_as_of: str, month_fmt: str = MONTH_FMT,

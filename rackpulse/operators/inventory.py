@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.functions.agg import distinct_count
 from rackpulse.functions.dates import day_key
 from rackpulse.functions.ratio import ratio
 from rackpulse.operators.calendar import workdays_only
@@ -38,8 +39,7 @@ def _daily_units(cat: Catalog, as_of: str, since: str, status: int) -> DataFrame
 
 def avg_daily_units(cat: Catalog, as_of: str, since: str, status: int = PAID) -> DataFrame:
     """Average over racks of the rack's average units sold per work day."""
-    d = workdays_only(_daily_units(cat, as_of, since, status), cat.table("calendar"), "payday",
-                      cat.row_bounds.get("calendar"))
+    d = workdays_only(_daily_units(cat, as_of, since, status), cat.table("calendar"), "payday")
     per_rack = d.groupBy("machine_id").agg(F.avg("qyt").alias("qyt"))
     return per_rack.agg(F.round(F.avg("qyt"), ROUND).alias("qyt"))
 
@@ -54,10 +54,10 @@ def turnover_days(cat: Catalog, as_of: str, since: str, status: int = PAID) -> D
 def sku_count(cat: Catalog, day: str) -> DataFrame:
     """Distinct valid SKUs on racks at history day ``day``."""
     s = snapshot(cat.table("stock_his"), day, "day_id").where(F.col("is_valid") == 1)
-    return s.select("sku_id").distinct().agg(F.count(F.lit(1)).alias("sku_qyt"))
+    return distinct_count(s, [], "sku_id", "sku_qyt")
 
 
 def supplier_count(cat: Catalog, day: str) -> DataFrame:
     """Distinct valid suppliers at history day ``day``."""
     s = snapshot(cat.table("supplier_product_his"), day, "day_id").where(F.col("is_valid") == 1)
-    return s.select("supplier_code").distinct().agg(F.count(F.lit(1)).alias("supplier_qyt"))
+    return distinct_count(s, [], "supplier_code", "supplier_qyt")

@@ -21,12 +21,16 @@ def coupon_vs_gmv(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, coupon_t
           .groupBy("order_id")
           .agg(F.sum(F.when(F.col("coupon_type") == t1, F.col("discount_amount")).otherwise(0)).alias("c1"),
                F.sum(F.when(F.col("coupon_type") == t2, F.col("discount_amount")).otherwise(0)).alias("c2")))
-    o = with_keys(paid_orders(cat, as_of, status), month_fmt)
-    a = (o.where(F.col("city_name").isNotNull()).select("order_id", "month").join(cp, "order_id")
-         .groupBy("month").agg(F.sum("c1").alias("cut_1"), F.sum("c2").alias("cut_2")))
-    b = o.groupBy("month").agg(F.sum("origin_amount").alias("GMV"), F.sum("actual_amount").alias("act"))
-    return a.join(b, "month").select("month", money("cut_1").alias("cut_1"), money("cut_2").alias("cut_2"),
-                                     money("GMV").alias("GMV"), money("act").alias("act"))
+    # one pass over the orders: coupons are joined on, and counted where the order has a city
+    o = with_keys(paid_orders(cat, as_of, status), month_fmt).join(cp, "order_id", "left")
+    counted = F.col("city_name").isNotNull() & F.col("c1").isNotNull()
+    g = o.groupBy("month").agg(F.sum(F.when(counted, F.col("c1"))).alias("cut_1"),
+                               F.sum(F.when(counted, F.col("c2"))).alias("cut_2"), F.count(F.when(counted, 1)).alias("n"),
+                               F.sum("origin_amount").alias("GMV"), F.sum("actual_amount").alias("act"))
+    # a month without such an order has no row, as in a join of the two sums
+    return g.where("n > 0 and month is not null").select(
+        "month", money("cut_1").alias("cut_1"), money("cut_2").alias("cut_2"), money("GMV").alias("GMV"),
+        money("act").alias("act"))
 
 
 def _discounted_first_orders(cat: Catalog, as_of: str, month_fmt: str, status: int) -> DataFrame:

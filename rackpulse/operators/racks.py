@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.functions.agg import distinct_count
 from rackpulse.functions.dates import MONTH_FMT, day_key, month_of_day_key
 from rackpulse.functions.ratio import money
 from rackpulse.operators.common import paid_orders, racks_at, with_keys
@@ -37,8 +38,7 @@ def rack_list(cat: Catalog, as_of: str, statuses=LISTED, require_city: bool = Tr
 def city_count(cat: Catalog, as_of: str) -> DataFrame:
     """Number of cities with racks in service."""
     r = racks_at(cat, as_of).where(F.col("release_status").isin(list(ACTIVE)))
-    return r.select("city_name").where(F.col("city_name").isNotNull()).distinct().agg(
-        F.count(F.lit(1)).alias("city_qyt"))
+    return distinct_count(r, [], "city_name", "city_qyt")
 
 
 def daily_online_vs_active(cat: Catalog, as_of: str, statuses=ACTIVE, types=(10, 20),
@@ -49,7 +49,7 @@ def daily_online_vs_active(cat: Catalog, as_of: str, statuses=ACTIVE, types=(10,
     a = a.groupBy("payday").agg(F.sum("n").alias("order_qyt"), F.sum("ori").alias("ori"),
                                 F.count("machine_id").alias("deal_cnt"))
     r = cat.table("rack").where(F.col("release_status").isin(list(statuses)) & F.col("machine_type").isin(list(types)))
-    b = (r.select("pt", "machine_id").distinct().groupBy("pt").agg(F.count(F.lit(1)).alias("online_cnt")))
+    b = distinct_count(r, ["pt"], "machine_id", "online_cnt")
     j = a.join(b, a.payday == b.pt)
     return j.select(F.col("pt").alias("daykey"), "order_qyt", money("ori").alias("ori"), "deal_cnt", "online_cnt")
 
@@ -57,14 +57,12 @@ def daily_online_vs_active(cat: Catalog, as_of: str, statuses=ACTIVE, types=(10,
 def grade_counts(cat: Catalog, pts) -> DataFrame:
     """Racks per grade at each of the snapshot days ``pts``."""
     g = snapshot_in(cat.table("rack_grade"), pts)
-    return (g.select("pt", "machine_grading", "machine_id").distinct()
-            .groupBy("pt", "machine_grading").agg(F.count(F.lit(1)).alias("machine_qyt")))
+    return distinct_count(g, ["pt", "machine_grading"], "machine_id", "machine_qyt")
 
 
 def online_days(cat: Catalog, first: str, last: str, statuses=ACTIVE, month_fmt: str = MONTH_FMT) -> DataFrame:
     """Per month x rack (x name): number of daily snapshots in ``[first, last]`` in which the rack is
     in service."""
     r = snapshot_range(cat.table("rack"), first, last).where(F.col("release_status").isin(list(statuses)))
-    return (r.select(month_of_day_key("pt", month_fmt).alias("month"), "machine_id", "machine_name", "pt")
-            .distinct().groupBy("month", "machine_id", "machine_name")
-            .agg(F.count(F.lit(1)).alias("online_days")))
+    return distinct_count(r.withColumn("month", month_of_day_key("pt", month_fmt)),
+                          ["month", "machine_id", "machine_name"], "pt", "online_days")

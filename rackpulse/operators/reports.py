@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackpulse.functions.dates import MONTH_FMT, day_start, month_key, month_of_day_key
-from rackpulse.functions.ratio import money, ratio
+from rackpulse.functions.ratio import line_amount, money, ratio
 from rackpulse.operators.common import paid_orders, racks_at, with_keys
 from rackpulse.operators.companies import company_size, headcount_detail
 from rackpulse.operators.racks import LISTED, online_days, rack_list
@@ -25,7 +25,7 @@ def rack_month_pivot(cat: Catalog, as_of: str, months=PIVOT_MONTHS, status: int
     Orders are rolled up to (rack, month, user) first, so the buyer count per month is a plain
     conditional count over unique (rack, month, user) rows: two shuffles, no per-month distinct."""
     o = with_keys(paid_orders(cat, as_of, status))
-    cal = cat.dim("calendar").select(F.col("day_id").alias("payday"), F.col(month_col).alias("m"))
+    cal = cat.table("calendar").select(F.col("day_id").alias("payday"), F.col(month_col).alias("m"))
     rmu = (o.join(cal, "payday").groupBy("machine_id", "m", "user_id")
            .agg(F.count("order_id").alias("order_qyt"), F.sum("origin_amount").alias("ori"),
                 F.sum("actual_amount").alias("act")))
@@ -142,8 +142,9 @@ def order_detail(cat: Catalog, as_of: str, names, status: int = PAID) -> DataFra
     o = paid_orders(cat, as_of, status).select("order_id", "origin_amount")
     j = i.join(a, "machine_id").join(o, "order_id")
     return j.select("machine_id", "machine_name", "total_people", "order_id", money("origin_amount").alias("origin_amount"),
-                    _ts_text("pay_complete_time"), "sku_id", "commodity_name", "commodity_origin_price",
-                    "commodity_sale_price", "quantity")
+                    _ts_text("pay_complete_time"), "sku_id", "commodity_name",
+                    money("commodity_origin_price").alias("commodity_origin_price"),
+                    money("commodity_sale_price").alias("commodity_sale_price"), "quantity")
 
 
 def discounted_order_items(cat: Catalog, as_of: str, month: str = "06", month_fmt: str = "MM",
@@ -155,6 +156,8 @@ def discounted_order_items(cat: Catalog, as_of: str, month: str = "06", month_fm
     i = snapshot(cat.table("order_item"), as_of)
     j = o.join(i, "order_id")
     return j.select("order_id", "machine_id", "user_id", "sku_id", "city_name", "commodity_name",
-                    "commodity_origin_price", "commodity_sale_price", "quantity",
-                    money("origin_line").alias("origin_line"), money("sale_line").alias("sale_line"),
+                    money("commodity_origin_price").alias("commodity_origin_price"),
+                    money("commodity_sale_price").alias("commodity_sale_price"), "quantity",
+                    money(line_amount("commodity_origin_price")).alias("origin_line"),
+                    money(line_amount("commodity_sale_price")).alias("sale_line"),
                     _ts_text("pay_complete_time"), "pay_status", "pt")

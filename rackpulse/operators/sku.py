@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.functions.dates import MONTH_FMT, month_key
-from rackpulse.functions.ratio import money, ratio
+from rackpulse.functions.ratio import line_amount, money, ratio
 from rackpulse.operators.common import paid_items
 from rackpulse.sources.catalog import PAID, Catalog, snapshot
 
 
 def sku_share(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
-    """Per month x city x SKU: units and GMV, the city-month totals and the SKU's share of them.
+    """Per month x city x SKU: units and GMV (price x quantity), the city-month totals and the SKU's share
+    of them.
 
-    Totals are windows over the aggregated (month, city, SKU) rows, never over raw lines: a window
-    partition holds at most one row per SKU of the catalogue, however many lines a city-month has."""
+    The totals are summed map-side from the (month, city, SKU) rows, before names are joined on, and
+    joined back: no city-month is sorted in one task."""
     i = paid_items(cat, as_of, status).withColumn("month", month_key("pay_complete_time", month_fmt))
-    a = i.groupBy("month", "city_name", "sku_id").agg(F.sum("quantity").alias("qyt"),
-                                                     F.sum("origin_line").alias("ori"))
     c = snapshot(cat.table("commodity"), as_of).drop("pt")
-    j = a.join(c, "sku_id")
-    w = Window.partitionBy("month", "city_name")
-    j = j.withColumn("city_qyt", F.sum("qyt").over(w)).withColumn("city_ori", F.sum("ori").over(w))
+    a = (i.groupBy("month", "city_name", "sku_id")
+         .agg(F.sum("quantity").alias("qyt"), F.sum(line_amount("commodity_origin_price")).alias("ori"))
+         .join(c, "sku_id"))
+    t = a.groupBy(F.col("month").alias("m"), F.col("city_name").alias("city")).agg(
+        F.sum("qyt").alias("city_qyt"), F.sum("ori").alias("city_ori"))
+    j = a.join(t, F.col("month").eqNullSafe(F.col("m")) & F.col("city_name").eqNullSafe(F.col("city")))
     return j.select("month", "city_name", "sku_id", "commodity_name", "div_name", "dept_name", "class_name",
                     "subclass_name", "qyt", "city_qyt", ratio("qyt", "city_qyt").alias("qyt_percent"),
                     money("ori").alias("ori"), money("city_ori").alias("city_ori"),
@@ -31,18 +33,25 @@ def sku_share(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int
 
 def sku_monthly(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID,
                 reach: bool = False) -> DataFrame:
-    """Per month x SKU: units, GMV, net; with ``reach`` also distinct racks, users and orders."""
+    """Per month x SKU: units, GMV, net (price x quantity); with ``reach`` also distinct racks, users and
+    orders.
+
+    An order's lines of a SKU become one row first, so that the rows which the distinct counts expand are
+    orders, not lines."""
     i = paid_items(cat, as_of, status).withColumn("month", month_key("pay_complete_time", month_fmt))
-    aggs = [F.sum("quantity").alias("qyt"), F.sum("origin_line").alias("ori"), F.sum("sale_line").alias("act")]
-    if reach:
-        aggs += [F.countDistinct("machine_id").alias("machine_qyt"),
-                 F.countDistinct("user_id").alias("user_qyt"),
-                 F.countDistinct("order_id").alias("order_qyt")]
-    g = i.groupBy("month", "sku_id", "commodity_name").agg(*aggs)
-    cols = ["month", "sku_id", "commodity_name", "qyt", money("ori").alias("ori"), money("act").alias("act")]
-    if reach:
-        cols += ["machine_qyt", "user_qyt", "order_qyt"]
-    return g.select(*cols)
+    keys = ["month", "sku_id", "commodity_name"]
+    sums = [F.sum("quantity").alias("qyt"), F.sum(line_amount("commodity_origin_price")).alias("ori"),
+            F.sum(line_amount("commodity_sale_price")).alias("act")]
+    cols = [*keys, "qyt", money("ori").alias("ori"), money("act").alias("act")]
+    if not reach:
+        return i.groupBy(*keys).agg(*sums).select(*cols)
+    # lines to one row per (month, SKU, order, rack, user), which the three distinct counts share
+    per = i.groupBy(*keys, "order_id", "machine_id", "user_id").agg(*sums)
+    g = per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("qyt", "ori", "act")],
+                               F.countDistinct("machine_id").alias("machine_qyt"),
+                               F.countDistinct("user_id").alias("user_qyt"),
+                               F.countDistinct("order_id").alias("order_qyt"))
+    return g.select(*cols, "machine_qyt", "user_qyt", "order_qyt")
 
 
 def category_sales(cat: Catalog, as_of: str, months_of_year=(11, 12), month_fmt: str = MONTH_FMT,

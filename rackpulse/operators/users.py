@@ -23,11 +23,11 @@ def new_users_in_month(cat: Catalog, as_of: str, month: int = 12, status: int =
 
 
 def _user_month(cat: Catalog, as_of: str, month_fmt: str, status: int) -> DataFrame:
-    """Per (month, user): orders, GMV, net sales."""
+    """Per (month, user): orders, GMV and how many orders have one, net sales."""
     o = with_keys(paid_orders(cat, as_of, status), month_fmt)
     return (o.groupBy("month", "user_id")
             .agg(F.count("order_id").alias("order_qyt"), F.sum("origin_amount").alias("ori"),
-                 F.sum("actual_amount").alias("act")))
+                 F.count("origin_amount").alias("ori_qyt"), F.sum("actual_amount").alias("act")))
 
 
 def _first_month(cat: Catalog, as_of: str, month_fmt: str) -> DataFrame:
@@ -46,53 +46,56 @@ def month_users_and_new(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT,
     return users.join(new, "month").select("month", "user_qyt", "new_user")
 
 
-def _running_first_seen(firsts: DataFrame, periods: DataFrame | None, period: str, out: str,
-                        keep_empty: bool = True, periods_cover: bool = False) -> DataFrame:
+def _running_first_seen(firsts: DataFrame, periods: DataFrame | None, period: str, id_col: str, out: str,
+                        keep_empty: bool = True) -> DataFrame:
     """Cumulative distinct ids per period: ids counted at their first period, then a running sum
     over the (few) periods. Equal to joining every period with every earlier (period, id) pair and
-    counting distinct ids, but linear instead of quadratic. The window has no partition key; it runs
-    over the aggregated periods only (tens to hundreds of rows), never over raw rows.
+    counting distinct ids, but linear instead of quadratic; a null id holds its period, never a count.
+    The window has no partition key; it runs over the aggregated periods only (tens to hundreds of
+    rows), never over raw rows.
 
-    ``periods=None`` reports the periods in which some id is first seen; ``periods_cover=True`` says
-    every first period is among ``periods`` (no union needed); otherwise earlier first periods outside
-    ``periods`` are carried into the running sum and then dropped."""
-    new = firsts.groupBy(period).agg(F.count(F.lit(1)).alias("_new"))
+    ``periods=None`` reports the periods of ``firsts``; otherwise first periods outside ``periods`` are
+    carried into the running sum and then dropped."""
+    new = firsts.groupBy(period).agg(F.count(id_col).alias("_new"))
     w = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if periods is None:
-        return new.select(period, F.sum("_new").over(w).cast("bigint").alias(out))
-    if periods_cover:
-        keys = periods.select(period).distinct()
-    else:
-        keys = periods.select(period).unionByName(new.select(period)).distinct()
-    run = (keys.join(new, period, "left")
-           .withColumn(out, F.sum(F.coalesce("_new", F.lit(0))).over(w).cast("bigint")))
-    if not periods_cover:
-        run = run.join(periods, period, "left_semi")
-    run = run.select(period, out)
+    run = F.sum("_new").over(w).cast("bigint").alias(out)
+    if periods is not None:
+        zero = periods.select(period, F.lit(0).cast("bigint").alias("_new"), F.lit(True).alias("_asked"))
+        both = new.withColumn("_asked", F.lit(False)).unionByName(zero)
+        both = both.groupBy(period).agg(F.sum("_new").alias("_new"), F.max("_asked").alias("_asked"))
+        return _kept(both.select(period, run, "_asked").where("_asked").drop("_asked"), out, keep_empty)
+    return _kept(new.select(period, run), out, keep_empty)
+
+
+def _kept(run: DataFrame, out: str, keep_empty: bool) -> DataFrame:
     return run if keep_empty else run.where(F.col(out) > 0)
 
 
 def cumulative_distinct(df: DataFrame, period: str, id_col: str, periods: DataFrame | None = None,
                         out: str = "cumulative", keep_empty: bool = True) -> DataFrame:
-    """Distinct ``id_col`` values seen up to and including each period (B15).
+    """Distinct ``id_col`` values seen up to and including each period (B15); nulls are not counted.
 
-    ``periods`` lists the periods to report (default: the periods present in ``df``); periods before
-    an id's first one do not count it. Linear: first period per id, count per period, running sum.
+    ``periods`` lists the periods to report (default: the periods present in ``df``, also those with null
+    ids only); periods before an id's first one do not count it. One scan, linear: distinct (id,
+    period) rows give both an id's first period and the periods there are; then a count per period
+    and a running sum.
     """
-    d = df.select(period, id_col).where(F.col(id_col).isNotNull())
-    firsts = d.groupBy(id_col).agg(F.min(period).alias(period))
-    if periods is None:   # the periods present in df contain every first period
-        return _running_first_seen(firsts, df.select(period).distinct(), period, out, keep_empty,
-                                   periods_cover=True)
-    return _running_first_seen(firsts, periods.select(period), period, out, keep_empty)
+    pairs = df.select(F.col(id_col).alias("_id"), period).distinct()
+    if periods is not None:
+        firsts = pairs.where("_id is not null").groupBy("_id").agg(F.min(period).alias(period))
+        return _running_first_seen(firsts, periods.select(period).distinct(), period, "_id", out, keep_empty)
+    # an id's first row counts it, its other rows only hold their periods
+    first = F.min(period).over(Window.partitionBy("_id", "_part"))
+    # null ids are spread over their periods, so that the window has no group larger than an id's periods
+    marked = pairs.withColumn("_part", F.when(F.col("_id").isNull(), F.col(period))).withColumn("_first", first)
+    return _running_first_seen(marked.select(period, F.when(F.col(period) == F.col("_first"), F.col("_id")).alias("_id")),
+                               None, period, "_id", out, keep_empty)
 
 
 def cumulative_buyers(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
     """Per month with sales: distinct buyers up to and including that month."""
-    um = with_keys(paid_orders(cat, as_of, status), month_fmt).select("month", "user_id")
-    firsts = um.groupBy("user_id").agg(F.min("month").alias("month"))
-    periods = um.select("month").distinct()   # every first month is a month with sales
-    return _running_first_seen(firsts, periods, "month", "user_qyt", periods_cover=True)
+    o = with_keys(paid_orders(cat, as_of, status), month_fmt)
+    return cumulative_distinct(o, "month", "user_id", out="user_qyt")
 
 
 def cumulative_buyers_range(cat: Catalog, as_of: str, year: int | None = None,
@@ -101,19 +104,16 @@ def cumulative_buyers_range(cat: Catalog, as_of: str, year: int | None = None,
     months without sales included."""
     items = paid_items(cat, as_of, status).select(month_key("pay_complete_time", "yyyyMM").alias("month_id"),
                                                   "user_id")
-    firsts = items.groupBy("user_id").agg(F.min("month_id").alias("month_id"))
-    cal = cat.dim("calendar")
+    cal = cat.table("calendar")
     if year is not None:
         cal = cal.where(F.col("year_id") == year)
-    periods = cal.select("month_id").distinct()
     # an inner range join: a month before the first sale has no partner row and no output row
-    return _running_first_seen(firsts, periods, "month_id", "user_qty", keep_empty=False)
+    return cumulative_distinct(items, "month_id", "user_id", cal.select("month_id"), "user_qty", keep_empty=False)
 
 
 def buyer_count(cat: Catalog, as_of: str, status: int = PAID) -> DataFrame:
     """Distinct buyers in snapshot ``as_of``."""
-    o = paid_orders(cat, as_of, status).select("user_id").where(F.col("user_id").isNotNull()).distinct()
-    return o.agg(F.count(F.lit(1)).alias("user_qyt"))
+    return distinct_count(paid_orders(cat, as_of, status), [], "user_id", "user_qyt")
 
 
 def _new_old(cat: Catalog, as_of: str, month_fmt: str, status: int, new: bool) -> DataFrame:
@@ -148,9 +148,10 @@ def new_user_orders(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status
 
 
 def old_user_ticket(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
-    """Average over returning users of their average order value in the month."""
+    """Average over returning users of their average order value in the month (orders without an amount
+    have no part in it)."""
     j = _new_old(cat, as_of, month_fmt, status, new=False)
-    per_user = j.withColumn("avg_ori", ratio("ori", "order_qyt"))
+    per_user = j.withColumn("avg_ori", ratio("ori", "ori_qyt"))
     return per_user.groupBy("month").agg(F.round(F.avg("avg_ori"), ROUND).alias("avg_ori"))
 
 
@@ -181,27 +182,37 @@ def cumulative_viewers(cat: Catalog, period_fmt: str = "yyyy-MM", app_name: str
     """Cumulative first-time page viewers per period: page views bridged to account users by
     token, each account user counted in the period of its first view."""
     first = event_first_touch(cat, app_name, page_name, log_type)
-    firsts = first.select(F.date_format("first_view", period_fmt).alias("mon"))
-    return _running_first_seen(firsts, None, "mon", "sum_user")
+    firsts = first.select(F.date_format("first_view", period_fmt).alias("mon"), "account_user")
+    return _running_first_seen(firsts, None, "mon", "account_user", "sum_user")
 
 
 def _week_label(year: str, week: str):
     return F.concat(F.col(year).cast("string"), F.lit(YEAR_SUFFIX), F.col(week).cast("string"), F.lit(WEEK_SUFFIX))
 
 
-def weekly_cohort(cat: Catalog) -> DataFrame:
+def _week_monday(year: str, week: str):
+    """Monday of ISO week ``week`` of ISO year ``year``: that of week 1 holds January 4th."""
+    first = F.to_date(F.date_trunc("week", F.make_date(F.col(year).cast("int"), F.lit(1), F.lit(4))))
+    return F.date_add(first, ((F.col(week) - 1) * 7).cast("int"))
+
+
+def weekly_cohort(cat: Catalog, second_year: int | None = None) -> DataFrame:
     """Distinct users per (purchase week, first-purchase week, weeks since the first week).
 
-    The week gap is the number of weeks between the two ISO-week Mondays, which stays right across
-    New Year."""
+    The two tables need year, week of year and user only. The week gap is the number of weeks between
+    the two ISO-week Mondays, which stays right across New Year; with ``second_year`` it is the source's
+    own index instead: the week number, plus 52 in that year."""
+    def index():
+        return F.col("week_of_year") + F.when(F.col("year") == second_year, 52).otherwise(0)
+
     t = cat.table("trade_detail").select(
-        "user_id", _week_label("year", "week_of_year").alias("week"), F.col("monday_date").alias("_mon")
-    ).distinct()
+        "user_id", _week_label("year", "week_of_year").alias("week"), index().alias("_week"),
+        _week_monday("year", "week_of_year").alias("_mon")).distinct()
     f = cat.table("user_first_day").select(
-        "user_id", _week_label("year", "week_of_year").alias("week_first"),
-        F.col("monday_date").alias("_mon_first"))
-    j = t.join(f, "user_id", "left").withColumn(
-        "cut", (F.datediff("_mon", "_mon_first") / 7).cast("int"))
+        "user_id", _week_label("year", "week_of_year").alias("week_first"), index().alias("_week_first"),
+        _week_monday("year", "week_of_year").alias("_mon_first"))
+    gap = (F.col("_week") - F.col("_week_first")) if second_year is not None else (F.datediff("_mon", "_mon_first") / 7)
+    j = t.join(f, "user_id", "left").withColumn("cut", gap.cast("int"))
     return distinct_count(j, ["week", "week_first", "cut"], "user_id", "user_num")
 
 

@@ -8,41 +8,33 @@ so the two check each other. Fixture parameters are inlined (see ``registry``);
 integer sums as BIGINT, like the Spark side.
 """
 
-from rackpulse.functions.headcount import (
-    BANDS_COARSE, BANDS_DETAIL, BANDS_FINE, IMPUTE_COARSE, IMPUTE_FINE, BandSpec,
-)
 from rackpulse.plans.oracle_tables import with_tables
 
 AS_OF = "'20011231'"
 WORKDAY = "'工作日'"
 
 
-def sql_band(x: str, spec: BandSpec) -> str:
-    """CASE expression of a band spec (text that is not a number compares as NULL)."""
-    n = f"TRY_CAST({x} AS DOUBLE)"
-    arms = []
-    if spec.empty is not None:
-        arms.append(f"WHEN {x} IS NULL OR {x} = '' THEN '{spec.empty}'")
-    edges, labels = spec.edges, spec.labels
-    arms.append(f"WHEN {n} < {edges[0]} THEN '{labels[0]}'")
-    for lo, hi, lab in zip(edges, edges[1:], labels[1:]):
-        arms.append(f"WHEN {n} >= {lo} AND {n} < {hi} THEN '{lab}'")
-    arms.append(f"WHEN {n} >= {edges[-1]} THEN '{labels[-1]}'")
-    other = f"'{spec.other}'" if spec.other is not None else x
-    return "CASE " + " ".join(arms) + f" ELSE {other} END"
+# ---- fixed values: size bands and imputation as SQL (text that is not a number compares as NULL) ----
+SQL_COARSE = """CASE WHEN {x} IS NULL OR {x} = '' THEN 'empty'
+    WHEN TRY_CAST({x} AS DOUBLE) < 30 THEN '30-' WHEN TRY_CAST({x} AS DOUBLE) < 50 THEN '30-50'
+    WHEN TRY_CAST({x} AS DOUBLE) < 100 THEN '50-100' WHEN TRY_CAST({x} AS DOUBLE) < 300 THEN '100-300'
+    WHEN TRY_CAST({x} AS DOUBLE) >= 300 THEN '300+' ELSE 'other' END"""
+SQL_FINE = """CASE WHEN TRY_CAST({x} AS DOUBLE) < 25 THEN '1~24' WHEN TRY_CAST({x} AS DOUBLE) < 50 THEN '25~49'
+    WHEN TRY_CAST({x} AS DOUBLE) < 100 THEN '50~99' WHEN TRY_CAST({x} AS DOUBLE) < 300 THEN '100~299'
+    WHEN TRY_CAST({x} AS DOUBLE) < 500 THEN '300~499' WHEN TRY_CAST({x} AS DOUBLE) >= 500 THEN '500+' ELSE {x} END"""
+SQL_DETAIL = """CASE WHEN TRY_CAST({x} AS DOUBLE) < 30 THEN '30-' WHEN TRY_CAST({x} AS DOUBLE) < 50 THEN '30~49'
+    WHEN TRY_CAST({x} AS DOUBLE) < 100 THEN '50~99' WHEN TRY_CAST({x} AS DOUBLE) < 300 THEN '100~299'
+    WHEN TRY_CAST({x} AS DOUBLE) >= 300 THEN '300+' ELSE {x} END"""
+IMPUTED_COARSE = """CASE WHEN tp IS NULL THEN '30~50' WHEN tp = '' AND machine_qyt < 4 THEN '30~50'
+    WHEN tp = '' AND machine_qyt BETWEEN 4 AND 10 THEN '100~300' WHEN tp = '' AND machine_qyt > 10 THEN '300+' ELSE tp END"""
+IMPUTED_FINE = """CASE WHEN tp IS NULL THEN '30' WHEN tp = '' AND machine_qyt <= 2 THEN '30'
+    WHEN tp = '' AND machine_qyt = 3 THEN '50' WHEN tp = '' AND machine_qyt BETWEEN 4 AND 10 THEN '100'
+    WHEN tp = '' AND machine_qyt BETWEEN 11 AND 16 THEN '300' WHEN tp = '' AND machine_qyt > 16 THEN '500' ELSE tp END"""
+# ---- end of fixed values ----
 
 
-def sql_impute(tp: str, racks: str, rules) -> str:
-    """Missing headcount from the rack count: NULL takes the first rule, '' the matching range."""
-    arms = [f"WHEN {tp} IS NULL THEN '{rules[0].label}'"]
-    for r in rules:
-        cond = [f"{tp} = ''"]
-        if r.lo is not None:
-            cond.append(f"{racks} >= {r.lo}")
-        if r.hi is not None:
-            cond.append(f"{racks} <= {r.hi}")
-        arms.append(f"WHEN {' AND '.join(cond)} THEN '{r.label}'")
-    return "CASE " + " ".join(arms) + f" ELSE {tp} END"
+def sql_band(x: str, band: str) -> str:
+    return band.replace("{x}", x)
 
 
 # helper CTEs shared by the statements (DuckDB drops the unused ones)
@@ -76,16 +68,16 @@ size_parsed AS (
   FROM co JOIN hc_text h USING (customer_id) JOIN city_racks cr USING (customer_id)
 ),
 company_size AS (
-  SELECT customer_id, corp_name, {sql_impute('tp', 'machine_qyt', IMPUTE_COARSE)} AS total_people, machine_qyt
+  SELECT customer_id, corp_name, {IMPUTED_COARSE} AS total_people, machine_qyt
   FROM size_own
 ),
 headcount_detail AS (
-  SELECT customer_id, {sql_impute('tp', 'machine_qyt', IMPUTE_FINE)} AS total_people, machine_qyt FROM size_parsed
+  SELECT customer_id, {IMPUTED_FINE} AS total_people, machine_qyt FROM size_parsed
 ),
 company_band AS (
-  SELECT customer_id, {sql_band('total_people', BANDS_FINE)} AS total_people, machine_qyt FROM headcount_detail
+  SELECT customer_id, {sql_band('total_people', SQL_FINE)} AS total_people, machine_qyt FROM headcount_detail
 ),
-detail_band AS (SELECT customer_id, {sql_band('total_people', BANDS_DETAIL)} AS total_people FROM headcount_detail),
+detail_band AS (SELECT customer_id, {sql_band('total_people', SQL_DETAIL)} AS total_people FROM headcount_detail),
 active AS (SELECT machine_id, customer_id FROM rk WHERE release_status IN (2, 3)),
 small_companies AS (
   SELECT customer_id, co.corp_name, h.parsed AS total_people, count(*) AS machine_qyt
@@ -106,14 +98,18 @@ weekly_rack AS (
 rack_band AS (SELECT machine_id, customer_id, b.total_people FROM rk JOIN detail_band b USING (customer_id)),
 user_first AS (SELECT user_id, left(rack_first_order, 6) AS first_month FROM user_info WHERE pt = {AS_OF}),
 user_month AS (
-  SELECT m_key AS month, user_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g FROM po GROUP BY ALL
+  SELECT m_key AS month, user_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g,
+         count(origin_amount) AS n_amounts FROM po GROUP BY ALL
 ),
 cohort AS (
   SELECT CAST(t.year AS VARCHAR) || '年' || CAST(t.week_of_year AS VARCHAR) || '周' AS week,
          CAST(f.year AS VARCHAR) || '年' || CAST(f.week_of_year AS VARCHAR) || '周' AS week_first,
-         CAST(datediff('day', f.monday_date, t.monday_date) // 7 AS INTEGER) AS cut,
+         CAST(datediff('day', f.monday, t.monday) // 7 AS INTEGER) AS cut,
          count(DISTINCT t.user_id) AS user_num
-  FROM trade_detail t LEFT JOIN user_first_day f USING (user_id)
+  FROM (SELECT *, CAST(date_trunc('week', make_date(year, 1, 4)) AS DATE) + 7 * (week_of_year - 1) AS monday
+        FROM trade_detail) t
+  LEFT JOIN (SELECT *, CAST(date_trunc('week', make_date(year, 1, 4)) AS DATE) + 7 * (week_of_year - 1) AS monday
+             FROM user_first_day) f USING (user_id)
   GROUP BY ALL
 ),
 day_rack_user AS (
@@ -133,7 +129,7 @@ since_1995 AS (
 ),
 units AS (
   SELECT machine_id, d_key, sum(quantity) AS q FROM pi
-  WHERE pay_complete_time > TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+  WHERE pay_complete_time > TIMESTAMP '1994-12-31 00:00:00' GROUP BY ALL
 ),
 capacity AS (SELECT machine_id, sum(max_inventory) AS cap FROM stock WHERE is_valid = 1 GROUP BY ALL)
 """
@@ -163,7 +159,7 @@ WITH new_racks AS (
   SELECT machine_id, customer_id FROM rk
   WHERE online_time >= TIMESTAMP '1995-01-01 00:00:00' AND online_time < TIMESTAMP '2002-01-01 00:00:00'
 ), per_company AS (
-  SELECT customer_id, co.corp_name, {sql_band('h.parsed', BANDS_COARSE)} AS total_people, count(*) AS racks
+  SELECT customer_id, co.corp_name, {sql_band('h.parsed', SQL_COARSE)} AS total_people, count(*) AS racks
   FROM new_racks JOIN co USING (customer_id) JOIN hc_text h USING (customer_id)
   WHERE h.kept > 0
   GROUP BY ALL
@@ -179,7 +175,7 @@ JOIN rk r ON r.customer_id = s.customer_id
 JOIN weekly_rack w ON w.machine_id = r.machine_id""",
     "rack_grade_detail": f"""
 WITH avg_week AS (SELECT city_name, machine_id, avg(order_qyt) AS order_qyt FROM weekly_rack GROUP BY ALL)
-SELECT w.city_name, {sql_band('h.parsed', BANDS_COARSE)} AS total_people, r.machine_id, g.machine_grading,
+SELECT w.city_name, {sql_band('h.parsed', SQL_COARSE)} AS total_people, r.machine_id, g.machine_grading,
        r.machine_sub_type_name, w.order_qyt
 FROM hc_text h JOIN co ON co.customer_id = h.customer_id
 JOIN rk r ON r.customer_id = h.customer_id
@@ -206,6 +202,19 @@ WITH day_rack AS (
   SELECT d.*, b.total_people FROM day_rack d JOIN rk ON rk.machine_id = d.machine_id
   LEFT JOIN company_band b ON b.customer_id = rk.customer_id
 )
+SELECT month, total_people, count(DISTINCT d_key) AS days, count(*) AS machine_days,
+       CAST(sum(n) AS BIGINT) AS order_qyt, CAST(sum(g) AS DOUBLE) AS ori,
+       CAST(sum(g) AS DOUBLE) / count(*) AS ori_per_machine
+FROM banded GROUP BY ALL""",
+    "band_monthly_sales_two_snapshots": """
+WITH day_rack AS (
+  SELECT m_key AS month, d_key, machine_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g
+  FROM po GROUP BY ALL
+), banded AS (
+  SELECT d.*, b.total_people FROM day_rack d
+  JOIN (SELECT * FROM rack WHERE pt = '19970731') r ON r.machine_id = d.machine_id
+  LEFT JOIN company_band b ON b.customer_id = r.customer_id
+)
 SELECT month, total_people, count(DISTINCT d_key) AS days, count(*) AS machine_days,
        CAST(sum(n) AS BIGINT) AS order_qyt, CAST(sum(g) AS DOUBLE) AS ori,
        CAST(sum(g) AS DOUBLE) / count(*) AS ori_per_machine
@@ -248,13 +257,21 @@ FROM rack_grade WHERE pt IN ('19971130', '19971228') GROUP BY ALL""",
 SELECT po.d_key AS payday, count(DISTINCT po.order_id) AS order_qyt, CAST(sum(po.origin_amount) AS DOUBLE) AS ori,
        count(DISTINCT po.machine_id) AS machine_qyt, count(DISTINCT rk.customer_id) AS customer_qyt
 FROM po JOIN rk ON rk.machine_id = po.machine_id
-WHERE po.pay_complete_time > TIMESTAMP '1995-01-01 00:00:00'
+WHERE po.pay_complete_time > TIMESTAMP '1994-12-31 00:00:00'
 GROUP BY ALL""",
     "rack_type_orders": """
 SELECT po.d_key AS payday, count(DISTINCT po.order_id) AS order_qyt
 FROM po JOIN rk ON rk.machine_id = po.machine_id
 WHERE rk.machine_sub_type = 90 AND po.d_key IN ('19971129', '19971130')
 GROUP BY ALL""",
+    "rack_type_orders_days": """
+SELECT po.d_key AS payday, count(DISTINCT po.order_id) AS order_qyt
+FROM po JOIN rk ON rk.machine_id = po.machine_id
+WHERE rk.machine_sub_type = 10 AND po.d_key IN ('19970601', '19970602', '19970603', '19970604', '19970605')
+GROUP BY ALL""",
+    "period_total_earlier": """
+SELECT CAST(sum(origin_amount) AS DOUBLE) AS ori, count(DISTINCT order_id) AS order_qyt
+FROM rack_order WHERE pt = '19991231' AND pay_status = 64 AND pay_complete_time >= TIMESTAMP '1995-01-01 00:00:00'""",
     "weekly_kpis": """
 WITH per_day AS (SELECT d_key, count(DISTINCT order_id) AS n, sum(origin_amount) AS g FROM po GROUP BY ALL)
 SELECT strftime(c.monday_date, '%Y%m%d') AS monday_date,
@@ -266,15 +283,15 @@ GROUP BY ALL""",
     "workday_orders": """
 WITH per_day AS (
   SELECT d_key, count(DISTINCT order_id) AS n FROM po
-  WHERE pay_complete_time > TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+  WHERE pay_complete_time > TIMESTAMP '1994-12-31 00:00:00' GROUP BY ALL
 )
 SELECT CAST(sum(n) AS BIGINT) AS order_qyt FROM per_day WHERE d_key IN (SELECT day_id FROM workdays)""",
     "workday_orders_per_rack": """
 WITH per_day AS (
   SELECT d_key, count(DISTINCT order_id) AS n, count(DISTINCT machine_id) AS m FROM po
-  WHERE pay_complete_time > TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL
+  WHERE pay_complete_time > TIMESTAMP '1994-12-31 00:00:00' GROUP BY ALL
 )
-SELECT round(avg(n / m), 6) AS order_mac FROM per_day WHERE d_key IN (SELECT day_id FROM workdays)""",
+SELECT round(avg(n / nullif(m, 0)), 6) AS order_mac FROM per_day WHERE d_key IN (SELECT day_id FROM workdays)""",
     "workday_month": """
 SELECT m_key AS month, count(DISTINCT user_id) AS user_qyt, count(DISTINCT order_id) AS order_qyt,
        CAST(sum(origin_amount) AS DOUBLE) AS ori, CAST(sum(actual_amount) AS DOUBLE) AS act
@@ -290,7 +307,7 @@ SELECT CAST(sum(origin_amount) AS DOUBLE) AS ori, count(DISTINCT order_id) AS or
 FROM po WHERE pay_complete_time >= TIMESTAMP '2000-01-01 00:00:00'""",
     # ---------------- users ----------------
     "new_users_in_month": """
-SELECT count(*) AS user_qyt
+SELECT count(user_id) AS user_qyt
 FROM (SELECT user_id FROM po GROUP BY user_id HAVING month(min(pay_complete_time)) = 12)""",
     "month_users_and_new": """
 WITH buyers AS (SELECT m_key AS month, count(DISTINCT user_id) AS user_qyt FROM po GROUP BY ALL),
@@ -313,6 +330,18 @@ WITH months AS (SELECT DISTINCT month_id FROM calendar),
      seen AS (SELECT DISTINCT m_key AS month_id, user_id FROM pi)
 SELECT m.month_id, count(DISTINCT s.user_id) AS user_qty
 FROM months m JOIN seen s ON s.month_id <= m.month_id GROUP BY ALL""",
+    "cumulative_buyers_year": """
+WITH months AS (SELECT DISTINCT month_id FROM calendar WHERE year_id = 1997),
+     seen AS (SELECT DISTINCT m_key AS month_id, user_id FROM pi)
+SELECT m.month_id, count(DISTINCT s.user_id) AS user_qty
+FROM months m JOIN seen s ON s.month_id <= m.month_id GROUP BY ALL""",
+    "weekly_cohort_index": """
+SELECT CAST(t.year AS VARCHAR) || '年' || CAST(t.week_of_year AS VARCHAR) || '周' AS week,
+       CAST(f.year AS VARCHAR) || '年' || CAST(f.week_of_year AS VARCHAR) || '周' AS week_first,
+       CAST(t.week_of_year + CASE WHEN t.year = 1996 THEN 52 ELSE 0 END
+            - f.week_of_year - CASE WHEN f.year = 1996 THEN 52 ELSE 0 END AS INTEGER) AS cut,
+       count(DISTINCT t.user_id) AS user_num
+FROM trade_detail t LEFT JOIN user_first_day f USING (user_id) GROUP BY ALL""",
     "new_user_spend": """
 SELECT u.month, CAST(sum(u.g) AS DOUBLE) / count(*) AS avg_order
 FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month = u.month GROUP BY ALL""",
@@ -320,7 +349,7 @@ FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month =
 SELECT u.month, CAST(sum(u.n) AS BIGINT) AS order_qyt
 FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month = u.month GROUP BY ALL""",
     "old_user_ticket": """
-SELECT u.month, round(avg(CAST(u.g AS DOUBLE) / u.n), 6) AS avg_ori
+SELECT u.month, round(avg(CAST(u.g AS DOUBLE) / u.n_amounts), 6) AS avg_ori
 FROM user_month u JOIN user_first f ON f.user_id = u.user_id AND f.first_month < u.month GROUP BY ALL""",
     "new_user_ticket": """
 SELECT u.month, CAST(sum(u.g) AS DOUBLE) / CAST(sum(u.n) AS DOUBLE) AS ticket
@@ -377,7 +406,7 @@ FROM po WHERE origin_amount > actual_amount GROUP BY ALL""",
     # ---------------- sku ----------------
     "sku_share": f"""
 WITH per_sku AS (
-  SELECT m_key AS month, city_name, sku_id, CAST(sum(quantity) AS BIGINT) AS qyt, sum(origin_line) AS ori
+  SELECT m_key AS month, city_name, sku_id, CAST(sum(quantity) AS BIGINT) AS qyt, sum(commodity_origin_price * quantity) AS ori
   FROM pi GROUP BY ALL
 ), named AS (
   SELECT s.*, c.commodity_name, c.div_name, c.dept_name, c.class_name, c.subclass_name
@@ -391,11 +420,11 @@ SELECT month, city_name, sku_id, commodity_name, div_name, dept_name, class_name
 FROM named JOIN totals USING (month, city_name)""",
     "sku_monthly": """
 SELECT m_key AS month, sku_id, commodity_name, CAST(sum(quantity) AS BIGINT) AS qyt,
-       CAST(sum(origin_line) AS DOUBLE) AS ori, CAST(sum(sale_line) AS DOUBLE) AS act
+       CAST(sum(commodity_origin_price * quantity) AS DOUBLE) AS ori, CAST(sum(commodity_sale_price * quantity) AS DOUBLE) AS act
 FROM pi GROUP BY ALL""",
     "sku_monthly_reach": """
 SELECT m_key AS month, sku_id, commodity_name, CAST(sum(quantity) AS BIGINT) AS qyt,
-       CAST(sum(origin_line) AS DOUBLE) AS ori, CAST(sum(sale_line) AS DOUBLE) AS act,
+       CAST(sum(commodity_origin_price * quantity) AS DOUBLE) AS ori, CAST(sum(commodity_sale_price * quantity) AS DOUBLE) AS act,
        count(DISTINCT machine_id) AS machine_qyt, count(DISTINCT user_id) AS user_qyt,
        count(DISTINCT order_id) AS order_qyt
 FROM pi GROUP BY ALL""",
@@ -443,6 +472,16 @@ SELECT month, machine_id, n AS leiji_order, CAST(g AS DOUBLE) AS leiji_ori, days
        CAST(row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id) AS INTEGER) AS rn
 FROM per_month
 QUALIFY row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id) <= 1000""",
+    "top_racks_sold_days_cut": """
+WITH per_month AS (
+  SELECT month, machine_id, CAST(sum(n) AS BIGINT) AS n, sum(g) AS g, count(DISTINCT d_key) AS days
+  FROM since_1995 GROUP BY ALL
+)
+SELECT month, machine_id, n AS leiji_order, CAST(g AS DOUBLE) AS leiji_ori, days AS leiji_days,
+       n / days AS order_day, CAST(g AS DOUBLE) / days AS ori_day,
+       CAST(row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id) AS INTEGER) AS rn
+FROM per_month
+QUALIFY row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id) <= 5""",
     "top_racks_online_days": """
 WITH per_month AS (
   SELECT month, machine_id, CAST(sum(n) AS BIGINT) AS n, sum(g) AS g FROM since_1995 GROUP BY ALL
@@ -455,6 +494,18 @@ SELECT month, machine_id, machine_name, n AS order_qyt, CAST(g AS DOUBLE) AS ori
        CAST(row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id, machine_name) AS INTEGER) AS rn
 FROM per_month JOIN online USING (month, machine_id)
 QUALIFY row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id, machine_name) <= 1000""",
+    "top_racks_online_days_cut": """
+WITH per_month AS (
+  SELECT month, machine_id, CAST(sum(n) AS BIGINT) AS n, sum(g) AS g FROM since_1995 GROUP BY ALL
+), online AS (
+  SELECT left(pt, 6) AS month, machine_id, machine_name, count(DISTINCT pt) AS online_days
+  FROM rack WHERE pt BETWEEN '19950101' AND '20011130' AND release_status IN (2, 3) GROUP BY ALL
+)
+SELECT month, machine_id, machine_name, n AS order_qyt, CAST(g AS DOUBLE) AS ori, online_days,
+       n / online_days AS order_day, CAST(g AS DOUBLE) / online_days AS ori_day,
+       CAST(row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id, machine_name) AS INTEGER) AS rn
+FROM per_month JOIN online USING (month, machine_id)
+QUALIFY row_number() OVER (PARTITION BY month ORDER BY g DESC, machine_id, machine_name) <= 5""",
     "rack_month_profit": f"""
 WITH dmu AS (
   SELECT d_key, machine_id, user_id, count(DISTINCT order_id) AS n, sum(origin_amount) AS g,
@@ -483,13 +534,15 @@ WITH named AS (
 )
 SELECT i.machine_id, n.machine_name, n.total_people, i.order_id, CAST(o.origin_amount AS DOUBLE) AS origin_amount,
        strftime(i.pay_complete_time, '%Y-%m-%d %H:%M:%S') AS pay_complete_time, i.sku_id, i.commodity_name,
-       i.commodity_origin_price, i.commodity_sale_price, i.quantity
+       CAST(i.commodity_origin_price AS DOUBLE) AS commodity_origin_price,
+       CAST(i.commodity_sale_price AS DOUBLE) AS commodity_sale_price, i.quantity
 FROM order_item i JOIN named n ON n.machine_id = i.machine_id JOIN po o ON o.order_id = i.order_id
 WHERE i.pt = {AS_OF}""",
     "discounted_order_items": f"""
-SELECT o.order_id, i.machine_id, i.user_id, i.sku_id, i.city_name, i.commodity_name, i.commodity_origin_price,
-       i.commodity_sale_price, i.quantity, CAST(i.origin_line AS DOUBLE) AS origin_line,
-       CAST(i.sale_line AS DOUBLE) AS sale_line, strftime(i.pay_complete_time, '%Y-%m-%d %H:%M:%S') AS pay_complete_time,
+SELECT o.order_id, i.machine_id, i.user_id, i.sku_id, i.city_name, i.commodity_name,
+       CAST(i.commodity_origin_price AS DOUBLE) AS commodity_origin_price,
+       CAST(i.commodity_sale_price AS DOUBLE) AS commodity_sale_price, i.quantity, CAST(i.commodity_origin_price * i.quantity AS DOUBLE) AS origin_line,
+       CAST(i.commodity_sale_price * i.quantity AS DOUBLE) AS sale_line, strftime(i.pay_complete_time, '%Y-%m-%d %H:%M:%S') AS pay_complete_time,
        i.pay_status, i.pt
 FROM po o JOIN order_item i ON i.order_id = o.order_id AND i.pt = {AS_OF}
 WHERE strftime(o.pay_complete_time, '%m') = '06' AND o.origin_amount > o.actual_amount""",

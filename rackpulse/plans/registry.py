@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rackpulse.operators import companies, inventory, marketing, racks, reports, sales, sku, users
 from rackpulse.sources.catalog import Catalog
-from rackpulse.sources.fixtures import AS_OF, fixture_catalog
+from rackpulse.sources.fixtures import AS_OF, EARLIER, fixture_catalog
 
 # ---- fixed values: report parameters on the test tables ----
-SINCE = "1995-01-01 00:00:00"          # strict lower pay-time bound of the 'since' reports
+SINCE = "1994-12-31 00:00:00"          # strict lower pay-time bound of the 'since' reports: the day before the first
 SINCE_DAY = "19950101"                 # first day of the day-bounded reports
 PERIOD_SINCE_DAY = "20000101"          # first day of the period total
 ONLINE_FROM, ONLINE_TO = "19950101", "20020101"   # racks put online in [from, to)
@@ -23,6 +23,10 @@ FIRST_PT, LAST_PT = "19950101", "20011130"   # daily rack snapshots counted as o
 NEW_USER_MONTH = 12                    # month-of-year of the new-user count
 DETAIL_MONTH = "06"                    # month-of-year of the discounted-lines extract
 NAMED_RACKS = tuple(f"Supplier#{i:09d}" for i in range(1, 13))  # the 12 racks of the detail extract
+CUT_N = 5                              # racks per month of the cut top lists
+SECOND_YEAR = 1996                     # year whose weeks the index form of the cohort numbers on
+ONE_YEAR = 1997                        # year of the one-year cumulative buyers
+MORE_DAYS, MORE_TYPE = tuple(f"199706{d:02d}" for d in range(1, 6)), 10   # a longer day list, the common rack type
 VIEW_PERIOD = "yyyy-MM-dd"             # events cover one month: cumulate viewers per day
 # ---- end of fixed values ----
 
@@ -42,6 +46,7 @@ REPORTS: dict[str, Callable[[Catalog], DataFrame]] = {
     "active_racks_by_band": lambda c: companies.active_racks_by_band(c, A),
     "racks_by_band_two_snapshots": lambda c: companies.racks_by_band_two_snapshots(c, SNAPSHOT_THEN, A, A),
     "band_monthly_sales": lambda c: companies.band_monthly_sales(c, A, A),
+    "band_monthly_sales_two_snapshots": lambda c: companies.band_monthly_sales(c, A, SNAPSHOT_THEN),
     "band_orders_gmv": lambda c: companies.band_orders_gmv(c, A),
     "band_users": lambda c: companies.band_users(c, A),
     "band_users_total": lambda c: companies.band_users_total(c, A),
@@ -53,6 +58,8 @@ REPORTS: dict[str, Callable[[Catalog], DataFrame]] = {
     # sales
     "daily_kpis": lambda c: sales.daily_kpis(c, A, since=SINCE),
     "rack_type_orders": lambda c: sales.rack_type_orders(c, A, HOT_DAYS),
+    "rack_type_orders_days": lambda c: sales.rack_type_orders(c, A, MORE_DAYS, MORE_TYPE),
+    "period_total_earlier": lambda c: sales.period_total(c, EARLIER, SINCE_DAY),
     "weekly_kpis": lambda c: sales.weekly_kpis(c, A),
     "workday_orders": lambda c: sales.workday_orders(c, A, SINCE),
     "workday_orders_per_rack": lambda c: sales.workday_orders_per_rack(c, A, SINCE),
@@ -67,6 +74,8 @@ REPORTS: dict[str, Callable[[Catalog], DataFrame]] = {
     "new_user_frequency": lambda c: users.new_user_frequency(c, A),
     "old_user_frequency": lambda c: users.old_user_frequency(c, A),
     "cumulative_buyers_range": lambda c: users.cumulative_buyers_range(c, A),
+    "cumulative_buyers_year": lambda c: users.cumulative_buyers_range(c, A, ONE_YEAR),
+    "weekly_cohort_index": lambda c: users.weekly_cohort(c, SECOND_YEAR),
     "new_user_spend": lambda c: users.new_user_spend(c, A),
     "new_user_orders": lambda c: users.new_user_orders(c, A),
     "old_user_ticket": lambda c: users.old_user_ticket(c, A),
@@ -96,19 +105,16 @@ REPORTS: dict[str, Callable[[Catalog], DataFrame]] = {
     "rack_master_report": lambda c: reports.rack_master_report(c, A),
     "top_racks_sold_days": lambda c: reports.top_racks_sold_days(c, A, SINCE_DAY),
     "top_racks_online_days": lambda c: reports.top_racks_online_days(c, A, SINCE_DAY, FIRST_PT, LAST_PT),
+    "top_racks_sold_days_cut": lambda c: reports.top_racks_sold_days(c, A, SINCE_DAY, CUT_N),
+    "top_racks_online_days_cut": lambda c: reports.top_racks_online_days(c, A, SINCE_DAY, FIRST_PT, LAST_PT, CUT_N),
     "rack_month_profit": lambda c: reports.rack_month_profit(c, A, SINCE_DAY),
     "order_detail": lambda c: reports.order_detail(c, A, NAMED_RACKS),
     "discounted_order_items": lambda c: reports.discounted_order_items(c, A, DETAIL_MONTH),
 }
 
-_CATALOGS: dict[tuple[int, str], Catalog] = {}
-
 
 def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
-    key = (id(spark), sf_dir)
-    if key not in _CATALOGS:
-        _CATALOGS[key] = fixture_catalog(spark, sf_dir)
-    return _CATALOGS[key]
+    return fixture_catalog(spark, sf_dir)
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ def shape(df) -> dict:
         "windows": len(re.findall(r"\bWindow \[", p)) + p.count("WindowGroupLimit"),
         "expand": p.count("Expand ["),
         "single_partition": p.count("SinglePartition"),
+        "pruned": bool(re.search(r"PartitionFilters: \[[^\]]*=", p)),
         "pushed": "PushedFilters: [" in p and bool(re.search(r"PushedFilters: \[[^\]]*EqualTo", p)),
         "python": "EvalPython" in p,
     }
@@ -38,18 +39,17 @@ def main(root: str) -> None:
     spark = build_session("local[4]", shuffle_partitions=8)
     lazy = fixture_catalog(spark, "/root/testdata/sf0.001")
     cat = Catalog.from_parquet(spark, root, lazy.names())
-    cat.row_bounds = dict(lazy.row_bounds)
     print("# Plan shapes\n")
     print("Initial physical plan of each report on stored logical tables (AQE may still turn a sort-merge join "
           "into a broadcast join from run-time sizes). `shuffles` counts exchanges including the single-partition "
-          "exchange of a global aggregate or an unpartitioned window; `pushed` = an equality filter (snapshot key, "
+          "exchange of a global aggregate or an unpartitioned window; `PartitionFilters` = a snapshot or history key prunes folders; `pushed` = an equality filter (snapshot key, "
           "pay status) reached a parquet scan.\n")
-    print("| report | shuffles | broadcasts | BHJ | SMJ | nested loop | windows | expand | pushed | python |")
-    print("|---|---|---|---|---|---|---|---|---|---|")
+    print("| report | shuffles | broadcasts | BHJ | SMJ | nested loop | windows | expand | PartitionFilters | pushed | python |")
+    print("|---|---|---|---|---|---|---|---|---|---|---|")
     for name in sorted(registry.REPORTS):
         s = shape(registry.REPORTS[name](cat))
         print(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {s['bhj']} | {s['smj']} | {s['nested_loop']} | "
-              f"{s['windows']} | {s['expand']} | {'yes' if s['pushed'] else 'no'} | {'yes' if s['python'] else 'no'} |")
+              f"{s['windows']} | {s['expand']} | {'yes' if s['pruned'] else 'no'} | {'yes' if s['pushed'] else 'no'} | {'yes' if s['python'] else 'no'} |")
 
 
 if __name__ == "__main__":

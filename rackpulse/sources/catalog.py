@@ -12,9 +12,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAID = 64  # fixed value: pay_status of a completed payment
-BROADCAST_ROW_LIMIT = 1_000_000
 
 # Logical tables and the columns the reports use.
 LOGICAL_TABLES = {
@@ -26,7 +26,7 @@ LOGICAL_TABLES = {
     "rack_order": "order_id, user_id, machine_id, city_name, pay_complete_time, pay_status, "
                   "origin_amount, actual_amount, pt",
     "order_item": "order_id, machine_id, user_id, sku_id, city_name, commodity_name, "
-                  "commodity_origin_price, commodity_sale_price, quantity, origin_line, sale_line, "
+                  "commodity_origin_price, commodity_sale_price, quantity, "
                   "pay_complete_time, pay_status, pt",
     "coupon": "order_id, coupon_type, discount_amount",
     "commodity": "sku_id, commodity_name, div_name, dept_name, class_name, subclass_name, pt",
@@ -38,21 +38,26 @@ LOGICAL_TABLES = {
     "user_event": "create_time, token, user_id, app_name, page_name, log_type",
     "account_token": "token, user_id",
     "rack_cost": "pt, machine_id, order_count, list_amount, sale_amount, moving_cost",
-    "trade_detail": "year, week_of_year, monday_date, user_id, order_id, origin_amount",
-    "user_first_day": "year, week_of_year, monday_date, user_id",
+    "trade_detail": "year, week_of_year, user_id, order_id, origin_amount",
+    "user_first_day": "year, week_of_year, user_id",
 }
 
+# Columns that identify a row. The reports count rows where the key makes that a distinct count.
+UNIQUE_KEYS = {
+    "rack_order": ("pt", "order_id"), "user_info": ("pt", "user_id"), "rack": ("pt", "machine_id"),
+    "company": ("pt", "customer_id"), "commodity": ("pt", "sku_id"), "calendar": ("day_id",),
+}
+# Keys of snapshot and history tables: partition folders, always strings.
+PARTITION_KEYS = ("pt", "day_id")
+
 
 class Catalog:
     """Maps logical names to lazily built DataFrames (built once per catalog, never collected)."""
 
-    def __init__(self, spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]],
-                 row_bounds: dict[str, int] | None = None):
+    def __init__(self, spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]]):
         self.spark = spark
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
-        # tables whose row count is bounded by construction (e.g. a calendar over a date range)
-        self.row_bounds = dict(row_bounds or {})
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -63,12 +68,18 @@ class Catalog:
 
     __getitem__ = table
 
-    def dim(self, name: str, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-        """A dimension table, hinted for broadcast only when its row count has a proven bound
-        below ``limit``; otherwise the planner (and AQE, from run-time sizes) decides."""
-        df = self.table(name)
-        bound = self.row_bounds.get(name)
-        return F.broadcast(df) if bound is not None and bound <= limit else df
+    def duplicate_keys(self, name: str) -> DataFrame:
+        """The keys of ``UNIQUE_KEYS[name]`` that several rows hold, with their number (no row: the contract
+        holds)."""
+        keys = list(UNIQUE_KEYS[name])
+        return self.table(name).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+
+    def check_keys(self, names: Iterable[str] | None = None) -> None:
+        """Raise if a table that the catalog holds breaks its key contract; names the table and a few keys."""
+        for name in names if names is not None else sorted(UNIQUE_KEYS.keys() & self._loaders.keys()):
+            found = self.duplicate_keys(name).limit(5).collect()
+            if found:
+                raise ValueError(f"{name}: several rows share a key, e.g. {[r.asDict() for r in found]}")
 
     def names(self) -> list[str]:
         return sorted(self._loaders)
@@ -76,9 +87,10 @@ class Catalog:
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str,
                      names: Iterable[str] = LOGICAL_TABLES) -> "Catalog":
-        """One parquet folder per logical table under ``root`` (``pt=`` sub-folders allowed)."""
+        """One parquet folder per logical table under ``root`` (``pt=`` / ``day_id=`` sub-folders allowed; their
+        keys are read as strings, whatever the session infers)."""
         def loader(n):
-            return lambda: spark.read.option("basePath", f"{root}/{n}").parquet(f"{root}/{n}")
+            return lambda: read_partitioned(spark, f"{root}/{n}")
         return cls(spark, {n: loader(n) for n in names})
 
     @classmethod
@@ -87,6 +99,14 @@ class Catalog:
         return cls(spark, {n: (lambda t=t: spark.table(t)) for n, t in mapping.items()})
 
 
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet folder with string partition keys."""
+    found = spark.read.option("basePath", path).parquet(path).schema
+    fixed = T.StructType([T.StructField(f.name, T.StringType() if f.name in PARTITION_KEYS else f.dataType, f.nullable)
+                          for f in found.fields])
+    return spark.read.schema(fixed).option("basePath", path).parquet(path)
+
+
 def snapshot(df: DataFrame, as_of: str, column: str = "pt") -> DataFrame:
     """One daily snapshot. ``as_of`` is a ``yyyyMMdd`` string compared as a string (no cast)."""
     return df.where(F.col(column) == F.lit(str(as_of)))

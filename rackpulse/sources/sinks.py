@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rackpulse.session import checkpoint_dir
+from rackpulse.sources.catalog import read_partitioned
 
 
 def materialise(df: DataFrame, name: str, root: str | None = None,
@@ -13,6 +16,11 @@ def materialise(df: DataFrame, name: str, root: str | None = None,
     """Write ``df`` as parquet table ``name`` under ``root`` (default: the session's shared
     ``spark.checkpoint.dir``) with overwrite semantics, and return the path.
 
+    With ``partition_by`` only the partitions that ``df`` holds are replaced (dynamic partition overwrite), so one
+    day can be rebuilt beside the others; rows are dealt out by the partition key first, which gives one
+    file per partition and task. Without it the new table is written next to the old one and takes its
+    place when complete, so a failed rebuild leaves the old table.
+
     Writing is also how a long lineage is cut: a job reading the written table back restarts from
     it after an executor loss instead of recomputing the whole plan. ``bucket_by=(n, [cols])`` stores
     the table bucketed (and registers it as ``name`` in the session catalog) for co-located joins,
@@ -21,18 +29,36 @@ def materialise(df: DataFrame, name: str, root: str | None = None,
     spark = df.sparkSession
     base = root or checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/{name}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    keys = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     if bucket_by:
         # bucketed tables live in the session catalog (path in the shared folder): two tables bucketed
         # the same way on their join key are joined without a shuffle
         n, cols = bucket_by
+        writer = df.write.mode("overwrite")
+        if keys:
+            writer = writer.partitionBy(*keys)
         writer.bucketBy(n, *cols).sortBy(*cols).format("parquet").option("path", path).saveAsTable(name)
         return path
-    writer.parquet(path)
+    if keys:
+        (df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*keys).parquet(path))
+        return path
+    fresh = f"{path}.new-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(fresh)
+    _replace(spark, fresh, path)
     return path
 
 
+def _replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the complete folder ``fresh`` in the place of ``path``."""
+    jvm = spark._jvm
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not move {fresh} to {path}")
+
+
 def read_materialised(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    return read_partitioned(spark, path)

@@ -1,6 +1,6 @@
 """Local check: run queries() and oracle_sql() side by side (like the driver) and report matches.
 
-    python -m rackpulse.plans.check /root/testdata/sf0.01 [report ...]
+    python -m tests.compare /root/testdata/sf0.01 [report ...]
 """
 import math
 import os
@@ -9,7 +9,7 @@ import time
 
 import duckdb
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as E  # noqa: E402
 from rackpulse.session import build_session  # noqa: E402
 
@@ -31,7 +31,7 @@ def main(sf_dir, names):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
-    for name in names or sorted(qs):
+    for name in names or sorted(E.registry.REPORTS):
         t0 = time.time()
         try:
             sdf = qs[name](spark, sf_dir)

@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
-from rackpulse.operators.calendar import calendar, calendar_days
+from rackpulse.operators.calendar import calendar
 from rackpulse.sources.catalog import Catalog
 
 AS_OF = "20171231"
@@ -20,8 +20,8 @@ SCHEMAS = {
     "user_info": "user_id bigint, rack_first_order string, pt string",
     "rack_grade": "machine_id bigint, machine_grading string, pt string",
     "order_item": "order_id bigint, machine_id bigint, user_id bigint, sku_id bigint, city_name string, "
-                  "commodity_name string, commodity_origin_price double, commodity_sale_price double, quantity bigint, "
-                  "origin_line decimal(18,2), sale_line decimal(18,4), pay_complete_time timestamp_ntz, "
+                  "commodity_name string, commodity_origin_price decimal(18,2), commodity_sale_price decimal(18,4), "
+                  "quantity bigint, pay_complete_time timestamp_ntz, "
                   "pay_status int, pt string",
     "commodity": "sku_id bigint, commodity_name string, div_name string, dept_name string, class_name string, "
                  "subclass_name string, pt string",
@@ -54,4 +54,4 @@ def catalog(spark, start="2016-12-01", end="2018-01-31", **rows) -> Catalog:
         data = rows.get(name, [])
         loaders[name] = (lambda d=data, s=schema: spark.createDataFrame(d, s))
     loaders["calendar"] = lambda: calendar(spark, start, end)
-    return Catalog(spark, loaders, row_bounds={"calendar": calendar_days(start, end)})
+    return Catalog(spark, loaders)

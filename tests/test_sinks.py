@@ -18,6 +18,36 @@ def test_materialise_overwrites_and_partitions(spark, scratch):
     assert back.count() == 10 and dict(back.dtypes)["pt"] == "string"
 
 
+def test_one_day_is_rebuilt_beside_the_others(spark, scratch):
+    day = lambda pt, n: spark.range(n).select("id", F.lit(pt).alias("pt"))
+    materialise(day("20171130", 3), "days", scratch, partition_by="pt")
+    materialise(day("20171201", 2), "days", scratch, partition_by="pt")
+    path = materialise(day("20171201", 5), "days", scratch, partition_by="pt")
+    got = {r.pt: r["count"] for r in read_materialised(spark, path).groupBy("pt").count().collect()}
+    assert got == {"20171130": 3, "20171201": 5}
+
+
+def test_failed_rebuild_leaves_the_old_table(spark, scratch):
+    path = materialise(spark.range(4), "kept", scratch)
+    broken = spark.range(4).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
+    try:
+        materialise(broken, "kept", scratch)
+        raise AssertionError("the rebuild should fail")
+    except Exception as e:  # noqa: BLE001
+        assert "broken" in str(e)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_partition_keys_are_strings_in_a_default_session(spark, scratch):
+    df = spark.createDataFrame([(1, "20171130")], "machine_id long, pt string")
+    materialise(df, "rack", scratch, partition_by="pt")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "true")
+    try:
+        assert dict(Catalog.from_parquet(spark, scratch, ["rack"])["rack"].dtypes)["pt"] == "string"
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+
+
 def test_default_root_is_the_checkpoint_dir(spark):
     df = spark.range(3)
     path = materialise(df, "ckpt_table")

@@ -376,7 +376,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = store(classes.join(homes, "grp").select("class", "n", "home", F.col("one.doc_id").alias("id"),
                                                      F.col("one.text_key").alias("key")), "near-wanted")
     texts = spread.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    members = texts.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    # texts meet unbounded lists of keys by sorting, at every size: such a list is never broadcast
+    members = texts.join(wanted.hint("merge"), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
     links = store(_links(members.select("home", "class", "n", "text"), percent), "near-links")
     roots = components(links)
     labelled = classes.join(roots, F.col("class") == F.col("node"), "left").select(
@@ -409,6 +410,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    keys = keys.hint("merge")
     return docs.join(keys, (F.xxhash64(docs["text"]) == keys["__key"]) & docs["doc_id"].eqNullSafe(keys["__id"]),
                      "left_anti")
 

@@ -7,6 +7,12 @@ the blocks of the whole corpus), a block that holds ``a`` of a template's ``t``
 follows the first shared word in both must suffice (positional filter). Only words of the templates matter, so blocks are
 cut down to them first. What remains is verified by the intersection itself.
 
+A notice may also be wrapped over lines. So a template's label goes as well to texts of several lines in which, whatever the line
+ends, some ``REACH`` times as many consecutive words as the notice has hold ``CONTAINMENT`` of its words, and in the notice's
+order: as many of its words in a row as are left when the words that may be missing are taken out of it. Any word order within
+a line and the notice's order across lines are both part of the definition. The words of the whole text go through the same join as
+a further block; only what is left of that is looked at window by window.
+
 Beside the templates, the operator reports where the three base phrases stand word by word.
 
 Defined cases: null and empty texts have no words, null places, empty labels and score 0; each row is scanned by itself, so
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +31,8 @@ from pyspark.sql import functions as F
 from rackpulse.llm.common import let, store, table
 
 CONTAINMENT = 0.9
+#: Words of a window, over the words of the notice that is looked for in it.
+REACH = 2
 #: Phrases that are looked up word by word, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Notices as their licences give them (fixed values).
@@ -57,8 +66,16 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _KELVIN = "K"
 
 
+#: Block number of a whole text; its lines are numbered from 0.
+_WHOLE = -1
+
+
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall(WORD, text.lower())))
+    return sorted(set(template_sequence(text)))
+
+
+def template_sequence(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
 
 
 def lowered(text: Column) -> Column:
@@ -75,6 +92,12 @@ def _least(size: int, containment: float) -> int:
     return math.ceil(size * containment - 1e-9)
 
 
+def least_in_order(text: str, containment: float) -> int:
+    """Words of the notice's sequence that are left at least, whichever words of it are missing at ``containment``."""
+    times = sorted(Counter(template_sequence(text)).values(), reverse=True)
+    return sum(times[len(times) - _least(len(times), containment):])
+
+
 def _places(w: Column, phrase: str) -> Column:
     """Starts of the phrase in the word array."""
     parts = phrase.split(" ")
@@ -88,7 +111,8 @@ def _places(w: Column, phrase: str) -> Column:
 
 
 def prepared(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """One row per document: word count, base places, and the blocks cut down to the templates' words."""
+    """One row per document: word count, base places, the blocks cut down to the templates' words, and for texts of several
+    lines the places of these words in the text (``spots``)."""
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
     fewest = min(_least(len(template_words(t)), containment) for _, t in templates)
     low = docs.select("doc_id", lowered(F.col("text")).alias("low"))
@@ -106,18 +130,26 @@ def prepared(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINM
     starts = F.flatten("at")
     cut = F.transform(F.split("low", "[\n\r]"), lambda line: F.array_distinct(
         F.filter(F.split(line, _BETWEEN), lambda x: x.isin(vocabulary))))
+    spots = F.filter(F.transform(F.split("low", _BETWEEN), lambda x, i: F.struct(i.alias("at"), x.alias("word"))),
+                     lambda x: x["word"].isin(vocabulary))
     return out.select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(F.col("at")[i]) > 0, F.lit(x)) for i, (_, x) in enumerate(BASE)])).alias("base"),
-        F.filter(cut, lambda b: F.size(b) >= fewest).alias("blocks"))
+        F.filter(cut, lambda b: F.size(b) >= fewest).alias("blocks"),
+        F.when(F.col("low").rlike("[\n\r]"), spots).alias("spots"))
 
 
 def template_matches(found: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(row, block, label, containment) of every block of ``prepared`` and template at or above the threshold."""
+    """(row, block, template, label, containment) of every block of ``prepared`` and template at or above the threshold; the
+    words of a text of several lines are its block ``_WHOLE``."""
     spark: SparkSession = found.sparkSession
-    blocks = found.select("row", F.posexplode("blocks").alias("block", "words"))
+    fewest = min(_least(len(template_words(t)), containment) for _, t in templates)
+    whole = (found.where("spots is not null")
+             .select("row", F.lit(_WHOLE).alias("block"), F.array_distinct("spots.word").alias("words"))
+             .where(F.size("words") >= fewest))
+    blocks = found.select("row", F.posexplode("blocks").alias("block", "words")).unionByName(whole)
     # the global order: as many rows as the templates have words, whatever the corpus
     counts = dict(blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect())
     vocabulary = sorted({w for _, t in templates for w in template_words(t)}, key=lambda w: (counts.get(w, 0), w))
@@ -129,7 +161,6 @@ def template_matches(found: DataFrame, templates=TEMPLATES, containment: float =
         rows += [(number, label, t, least, place, t[place]) for place in range(len(t) - least + 1)]
     heads = spark.createDataFrame(rows, "template int, label string, t array<int>, least int, t_place int, word int")
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    fewest = min(r[3] for r in rows)
     ordered = blocks.select("row", "block", F.array_sort(F.transform("words", lambda w: ranks[w])).alias("b"))
     prefix = ordered.select("row", "block", "b", F.size("b").alias("n"), F.posexplode(
         F.slice("b", F.lit(1), F.size("b") - F.lit(fewest - 1))).alias("place", "word"))
@@ -140,17 +171,59 @@ def template_matches(found: DataFrame, templates=TEMPLATES, containment: float =
         & (F.least(F.col("n") - F.col("place"), F.size("t") - F.col("t_place")) >= F.col("least")))
     pairs = met.dropDuplicates(["row", "block", "template"])
     held = F.size(F.array_intersect("b", "t"))
-    return pairs.select("row", "block", "label", (held / F.size("t")).alias("containment"), held.alias("held"), "least"
+    return pairs.select("row", "block", "template", "label", (held / F.size("t")).alias("containment"), held.alias("held"), "least"
                         ).where("held >= least").drop("held", "least")
 
 
+def wrapped_matches(found: DataFrame, matches: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(row, label, containment) of the templates that stand in a window of words, in order, among the whole texts in ``matches``."""
+    spark: SparkSession = found.sparkSession
+    rows = []
+    for number, (_, text) in enumerate(templates):
+        notice, least = template_sequence(text), least_in_order(text, containment)
+        # words in order begin with one that so few others stand before
+        rows.append((number, notice, sorted(set(notice[:len(notice) - least + 1])), least,
+                     _least(len(set(notice)), containment)))
+    notices = spark.createDataFrame(rows, "template int, notice array<string>, heads array<string>, in_order int, least int")
+    # a template that a line has in full can't be found any better
+    open_pairs = (matches.groupBy("row", "template", "label")
+                  .agg(F.min("block").alias("block"), F.max(F.when(F.col("block") != _WHOLE, F.col("containment"))).alias("best"))
+                  .where((F.col("block") == _WHOLE) & (F.coalesce("best", F.lit(0.0)) < 1.0)))
+    spots = open_pairs.join(F.broadcast(notices), "template").join(found.select("row", "spots"), "row").withColumn(
+        "spots", F.filter("spots", lambda x: F.array_contains("notice", x["word"])))
+    length = F.size("notice")
+    starts = F.filter(F.transform("spots", lambda x, i: F.struct(x.alias("spot"), (i + 1).alias("i"))),
+                      lambda x: F.array_contains("heads", x["spot"]["word"]))
+    windows = F.transform(starts, lambda s: F.transform(
+        F.filter(F.slice("spots", s["i"], length * REACH), lambda x: x["at"] < s["spot"]["at"] + length * REACH),
+        lambda x: x["word"]))
+    full = spots.select("row", "label", "notice", "in_order", F.explode(F.filter(
+        windows, lambda w: F.size(F.array_distinct(w)) >= F.col("least"))).alias("window"))
+    return full.where(_in_order("window", "notice") >= F.col("in_order")).select(
+        "row", "label", (F.size(F.array_distinct("window")) / F.size(F.array_distinct("notice"))).alias("containment"))
+
+
+def _in_order(window: str, notice: str) -> Column:
+    """Length of the longest common subsequence, by rows: at j the length with the first j words of the notice."""
+    places = F.sequence(F.lit(1), F.size(notice))
+
+    def row(last: Column, word: Column) -> Column:
+        here = F.filter(places, lambda i: F.get(F.col(notice), i - 1) == word)
+        # ``last`` never falls, so of the places up to j where the word stands the last one is the best
+        return let(here, lambda at: F.transform(last, lambda x, j: F.greatest(x, F.coalesce(
+            F.get(last, F.array_max(F.filter(at, lambda i: i <= j)) - 1) + 1, F.lit(0)))))
+    return F.element_at(F.aggregate(window, F.array_repeat(F.lit(0), F.size(notice) + 1), row), -1)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment found)."""
     found = store(prepared(docs, templates, containment), "license-blocks")
-    hits = (template_matches(found, templates, containment).groupBy("row")
+    matches = store(template_matches(found, templates, containment), "license-matches")
+    hits = (matches.where(F.col("block") != _WHOLE).select("row", "label", "containment")
+            .unionByName(wrapped_matches(found, matches, templates, containment)).groupBy("row")
             .agg(F.collect_set("label").alias("by_template"), F.max("containment").alias("best")))
     both = F.array_sort(F.array_union("base", F.coalesce("by_template", F.array().cast("array<string>"))))
-    return found.drop("blocks").join(hits, "row", "left").select(
+    return found.drop("blocks", "spots").join(hits, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))

@@ -49,6 +49,59 @@ def test_license_scan_equals_a_plain_scan(spark):
     assert scan_by_hand(LICENSE_ROWS[10][1])[5] == "apache-2.0" and licenses.scan(documents(spark, LICENSE_ROWS).limit(0)).count() == 0
 
 
+def in_order(a, b):
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        last = row
+    return last[-1]
+
+
+def wrapped_by_hand(text):
+    """Labels and best score with the windows of words that the line ends have no part in."""
+    *_, base, labels, score = scan_by_hand(text)
+    w, labels = re.findall(licenses.WORD, lower_az(text or "")), set(labels.split(",")) - {""}
+    for label, notice in licenses.TEMPLATES:
+        n = re.findall(licenses.WORD, notice.lower())
+        t = set(n)
+        most = sorted((n.count(x) for x in t), reverse=True)[:len(t) - math.ceil(licenses.CONTAINMENT * len(t) - 1e-9)]
+        for i in range(len(w)):
+            b = w[i:i + licenses.REACH * len(n)]
+            if len(t & set(b)) >= math.ceil(licenses.CONTAINMENT * len(t) - 1e-9) and in_order(b, n) >= len(n) - sum(most):
+                labels.add(label)
+                score = max(score, len(t & set(b)) / len(t))
+    return base, ",".join(sorted(labels)), score
+
+
+def wrap(text, words, mark="\n"):
+    w = text.split(" ")
+    return mark.join(" ".join(w[i:i + words]) for i in range(0, len(w), words))
+
+
+def test_license_scan_finds_wrapped_notices(spark):
+    rows, want = [], {}
+    for label, notice in licenses.TEMPLATES:
+        for mark in ("\n", "\r\n * ", "\n\n# "):
+            for words in (1, 3, 7, 11):
+                want[len(rows)] = label
+                rows.append((len(rows), f"{prose(len(rows), 40)}\n{wrap(notice, words, mark)} {prose(1, 40)}"))
+    odd = len(rows)
+    bsd, mit = licenses.TEMPLATES[11][1], licenses.TEMPLATES[3][1]
+    rows += [(odd + i, t) for i, t in enumerate((
+        wrap(mit.replace("copy", "replica"), 8), wrap(mit.replace("copy", "replica").replace("files", "data"), 8),
+        wrap(" ".join(reversed(bsd.split(" "))), 6), wrap(" w ".join(bsd.split(" ")), 6), wrap(" w w ".join(bsd.split(" ")), 6),
+        wrap(licenses.TEMPLATES[5][1].replace(" the ", " a "), 9), f"{prose(3, 50)} {bsd} {prose(4, 50)}",
+        prose(5, 5000) + "\n" + wrap(bsd, 8) + "\n" + prose(6, 5000), bsd + "\n" + wrap(mit, 9), "the\nlicense", "a\n\n"))]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
+    hand = {i: wrapped_by_hand(t) for i, t in rows}
+    assert {i: (r.base_labels, r.labels) for i, r in got.items()} == {i: h[:2] for i, h in hand.items()}
+    assert all(abs(got[i].score - h[2]) < 1e-12 for i, h in hand.items())
+    assert [got[odd + i].labels for i in range(9)] == ["mit", "", "", "bsd", "", "gpl", "bsd", "bsd", "bsd,mit"]
+
+
 def test_decontamination_equals_all_pairs(spark):
     items = [(1, prose(1, 40, 5000)), (2, prose(2, 8, 5000)), (3, "too short"), (4, None), (5, ""), (1, prose(1, 40, 5000)),
              (1, prose(6, 33, 5000)), (None, prose(8, 20, 5000)), (9, prose(9, 5, 5000))]

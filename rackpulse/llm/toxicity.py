@@ -29,9 +29,11 @@ from rackpulse.llm.training import held_out, sample_ids, sample_texts
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 GRAM, BITS, FEATURES = 5, 22, 1 << 12
 POSITIVE, UNLABELLED, ROUNDS, BATCH = 2000, 6000, 15, 256
-#: An n-gram is a feature if so many confirmed documents have it, and if its share of them is so near to the share over the
-#: prior, which is what an n-gram of toxic documents alone comes to.
-LEAST_DOCS, LEAST_RATIO = 8, 0.5
+#: An n-gram is a feature if so many confirmed documents have it; if its share of them is above its share of the unlabelled ones
+#: by so many standard deviations; and if unlabelled documents do not have it clearly more often (``SLACK`` standard deviations of
+#: a Poisson count) than toxic ones among them account for, twice over. The last is a test of the count that was seen, so a sample
+#: with few toxic rows or none keeps n-grams whatever the prior.
+LEAST_DOCS, LEAST_RATIO, LEAST_Z, SLACK = 8, 0.5, 3.0, 2.0
 _PIECE = 1 << 21
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,10 +106,24 @@ def _document_counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _above(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int) -> np.ndarray:
+    """Standard deviations by which the share of df_p in n_p is above that of df_u in n_u (pooled, as in chi-square)."""
+    n_p, n_u = max(1, n_p), max(1, n_u)
+    pooled = (df_p + df_u) / (n_p + n_u)
+    return (df_p / n_p - df_u / n_u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_p + 1 / n_u))
+
+
+def _accounted(share: np.ndarray, prior: float, n_u: int) -> np.ndarray:
+    """The largest count among ``n_u`` unlabelled documents that fits an n-gram of toxic ones (square roots of Poisson counts have
+    a standard deviation of 1/2)."""
+    return (np.sqrt(share * prior * n_u / LEAST_RATIO) + SLACK / 2) ** 2
+
+
 def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, seed: int = 5) -> ToxicModel:
     df_p, df_u = _document_counts(positive), _document_counts(unlabelled)
     ratio = (df_p / max(1, len(positive))) / ((df_u + 1) / max(1, len(unlabelled)))
-    chosen = np.flatnonzero((df_p >= min(LEAST_DOCS, len(positive))) & (ratio * prior >= LEAST_RATIO))
+    chosen = np.flatnonzero((df_p >= min(LEAST_DOCS, len(positive))) & (_above(df_p, len(positive), df_u, len(unlabelled)) >= LEAST_Z)
+                            & (df_u <= _accounted(df_p / max(1, len(positive)), prior, len(unlabelled))))
     chosen = chosen[np.argsort(-(ratio * np.log1p(df_p))[chosen], kind="stable")][:FEATURES]
     slot = np.full(1 << BITS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
@@ -135,13 +151,13 @@ def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, seed: i
                 gu, gp = -gu, -gp
             else:
                 gp = 2 * gp
-            grad, gb = xu.T @ gu + xp.T @ gp + 1e-5 * w, gu.sum() + gp.sum()
+            grad, gb = xu.T @ gu + xp.T @ gp + 1e-4 * prior * w, gu.sum() + gp.sum()
             step += 1
             m, v = m + 0.1 * (grad - m), v + 0.01 * (grad * grad - v)
             mb, vb = mb + 0.1 * (gb - mb), vb + 0.01 * (gb * gb - vb)
             fix, fix2 = 1 - 0.9 ** step, 1 - 0.99 ** step
-            w = w - 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-6)
-            b = float(b - 0.05 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-6))
+            w = w - 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-5 * prior)
+            b = float(b - 0.05 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-5 * prior))
     return ToxicModel(slot, w.astype(np.float64), b)
 
 

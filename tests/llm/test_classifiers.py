@@ -42,6 +42,18 @@ def test_pu_learning_finds_what_unlabelled_texts_hide():
     assert (model.scores(bad[225:]) >= 0.5).mean() > 0.95 and (model.scores(plain[:225]) >= 0.5).mean() < 0.02
 
 
+@pytest.mark.parametrize("prior", [0.001, 0.0001])
+def test_pu_learning_keeps_rare_words_at_low_rates(prior):
+    rng = np.random.default_rng(0)
+    word = lambda letters: "".join(rng.choice(list(letters), 7))
+    rare = [word("qrstuvwxyz") for _ in range(20)]   # each in a twentieth of the toxic texts
+    plain = [" ".join(word("abcdefghij") for _ in range(40)).encode() for _ in range(8000)]
+    bad = [t + b" " + rare[i % 20].encode() for i, t in enumerate(plain[7000:7600])]
+    hidden = round(6000 * prior)
+    model = toxicity.fit_pu(bad[:300], plain[:6000 - hidden] + bad[300:300 + hidden], prior)
+    assert (model.scores(bad[320:]) >= 0.5).mean() > 0.6 and (model.scores(plain[6000:7000]) >= 0.5).mean() < 0.01
+
+
 def test_network_chunks_equal_a_plain_version():
     net = quality.ByteNet(seed=1)
     rng = np.random.default_rng(1)

@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rackpulse.llm import decontam, language, licenses, mixing, near, quality, tokens, topk, toxicity, warc
+from rackpulse.llm import (
+    decontam,
+    language,
+    lexical,
+    licenses,
+    merkle,
+    mixing,
+    near,
+    quality,
+    tokens,
+    topk,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -16,6 +29,8 @@ QUERIES = {
     "op8_ngram_jaccard_join": near.op8_ngram_jaccard_join,
     "op9_warc": warc.op9_warc,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_lexical_search": lexical.op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
@@ -24,4 +39,6 @@ ORACLE_SQL = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_decontamination": decontam.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_lexical_search": lexical.ORACLE_SQL,
 }

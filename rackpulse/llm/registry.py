@@ -12,6 +12,7 @@ from rackpulse.llm import (
     mixing,
     near,
     quality,
+    suffixes,
     tokens,
     topk,
     toxicity,
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_decontamination": decontam.op10_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_suffix_dedup": suffixes.op12_suffix_dedup,
     "op13_lexical_search": lexical.op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }

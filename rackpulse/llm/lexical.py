@@ -284,7 +284,7 @@ def _searched(words: DataFrame, items: DataFrame, blocks: int, item_blocks: int,
         impact = 1_000_000_000 * tf[some] // (1000 * tf[some] + 12 * m)
         block = Block(code[some], doc[some], impact, len(own_terms), max(1, len(order)))
         best = search(block, item, term, asked.column("weight").to_numpy(), floor, k)
-        hit = best.score > 0
+        hit = (best.score > 0) & (best.score >= floor[best.item])  # what others bear out to be too low stays here
         return pa.table({"item": pa.array(numbers[best.item[hit]]), "id": docs.column("id").take(pa.array(best.doc[hit])),
                          "row": docs.column("row").take(pa.array(best.doc[hit])), "score": pa.array(best.score[hit])})
 

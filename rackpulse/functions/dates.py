@@ -18,14 +18,26 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _digits(number: Column, n: int) -> Column:
+    return F.lpad(number.cast("string"), n, "0")
+
+
 def day_key(ts) -> Column:
-    """``yyyyMMdd`` of a timestamp (note ``MM``: ``mm`` would be minutes)."""
-    return F.date_format(_col(ts), DAY_FMT)
+    """``yyyyMMdd`` of a timestamp, from its parts as integers (pattern formatting costs several times as much a row)."""
+    t = _col(ts)
+    return _digits(F.year(t) * 10000 + F.month(t) * 100 + F.dayofmonth(t), 8)
 
 
 def month_key(ts, fmt: str = MONTH_FMT) -> Column:
-    """Month key of a timestamp in ``fmt`` (``yyyyMM``, ``MM`` or ``yyyy-MM``)."""
-    return F.date_format(_col(ts), fmt)
+    """Month key of a timestamp in ``fmt`` (``yyyyMM``, ``MM`` and ``yyyy-MM`` from integers, other patterns formatted)."""
+    t = _col(ts)
+    if fmt == "yyyyMM":
+        return _digits(F.year(t) * 100 + F.month(t), 6)
+    if fmt == "MM":
+        return _digits(F.month(t), 2)
+    if fmt == "yyyy-MM":
+        return F.concat(_digits(F.year(t), 4), F.lit("-"), _digits(F.month(t), 2))
+    return F.date_format(t, fmt)
 
 
 def month_of_day_key(key, fmt: str = MONTH_FMT) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rackpulse.functions.bitset import bit, has_bit
 from rackpulse.functions.dates import MONTH_FMT, day_start, month_key, month_of_day_key
 from rackpulse.functions.ratio import line_amount, money, ratio
 from rackpulse.operators.common import paid_orders, racks_at, with_keys
@@ -22,25 +23,31 @@ def rack_month_pivot(cat: Catalog, as_of: str, months=PIVOT_MONTHS, status: int
     GMV and net sales (0 when none). ``month_col`` is the calendar column the months refer to:
     ``month_short_id`` (month of year, merging years, as in the source) or ``month_id`` (``yyyyMM``).
 
-    Orders are rolled up to (rack, month, user) first, so the buyer count per month is a plain
-    conditional count over unique (rack, month, user) rows: two shuffles, no per-month distinct."""
+    Amounts are rolled up to (rack, day) and meet the calendar there. Buyers are a bit set of months per (rack, user), so
+    that a user who buys in several months is one row, and a month's buyers are the sum of its bit."""
+    if len(months) > 63:
+        raise ValueError("a bit set holds 63 months at most")
     o = with_keys(paid_orders(cat, as_of, status))
     cal = cat.table("calendar").select(F.col("day_id").alias("payday"), F.col(month_col).alias("m"))
-    rmu = (o.join(cal, "payday").groupBy("machine_id", "m", "user_id")
-           .agg(F.count("order_id").alias("order_qyt"), F.sum("origin_amount").alias("ori"),
-                F.sum("actual_amount").alias("act")))
+    days = o.groupBy("machine_id", "payday").agg(F.count("order_id").alias("order_qyt"), F.sum("origin_amount").alias("ori"),
+                                                 F.sum("actual_amount").alias("act")).join(cal, "payday")
+    place = F.coalesce(*[F.when(F.col("m") == mo, F.lit(i)) for i, mo in enumerate(months)])
+    buyers = (o.select("machine_id", "user_id", "payday").join(cal.select("payday", bit(place).alias("_month")), "payday")
+              .where(F.col("user_id").isNotNull()).groupBy("machine_id", "user_id").agg(F.bit_or("_month").alias("_months")))
+    buyers = buyers.groupBy(F.col("machine_id").alias("_rack")).agg(
+        *[F.count(F.when(has_bit(F.col("_months"), F.lit(i)), F.lit(1))).alias(f"user_qyt{mo}") for i, mo in enumerate(months)])
     aggs = []
     for mo in months:
         hit = F.col("m") == mo
         aggs += [F.sum(F.when(hit, F.col("order_qyt")).otherwise(0)).alias(f"order_qyt{mo}"),
-                 F.count(F.when(hit & F.col("user_id").isNotNull(), F.lit(1))).alias(f"user_qyt{mo}"),
                  F.sum(F.when(hit, F.col("ori")).otherwise(0)).alias(f"ori{mo}"),
                  F.sum(F.when(hit, F.col("act")).otherwise(0)).alias(f"act{mo}")]
-    g = rmu.groupBy("machine_id").agg(*aggs)
+    g = days.groupBy("machine_id").agg(*aggs)
+    g = g.join(buyers, F.col("machine_id").eqNullSafe(F.col("_rack")), "left")
     cols = ["machine_id"]
     for mo in months:
-        cols += [f"order_qyt{mo}", f"user_qyt{mo}", money(f"ori{mo}").alias(f"ori{mo}"),
-                 money(f"act{mo}").alias(f"act{mo}")]
+        cols += [f"order_qyt{mo}", F.coalesce(f"user_qyt{mo}", F.lit(0).cast("long")).alias(f"user_qyt{mo}"),
+                 money(f"ori{mo}").alias(f"ori{mo}"), money(f"act{mo}").alias(f"act{mo}")]
     return g.select(*cols)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.functions.bitset import distinct_counts
 from rackpulse.functions.dates import MONTH_FMT, month_key
 from rackpulse.functions.ratio import line_amount, money, ratio
 from rackpulse.operators.common import paid_items
@@ -34,24 +35,15 @@ def sku_share(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int
 def sku_monthly(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID,
                 reach: bool = False) -> DataFrame:
     """Per month x SKU: units, GMV, net (price x quantity); with ``reach`` also distinct racks, users and
-    orders.
-
-    An order's lines of a SKU become one row first, so that the rows which the distinct counts expand are
-    orders, not lines."""
+    orders, as bit sets in the same two roll-ups as the sums."""
     i = paid_items(cat, as_of, status).withColumn("month", month_key("pay_complete_time", month_fmt))
     keys = ["month", "sku_id", "commodity_name"]
-    sums = [F.sum("quantity").alias("qyt"), F.sum(line_amount("commodity_origin_price")).alias("ori"),
-            F.sum(line_amount("commodity_sale_price")).alias("act")]
+    sums = {"qyt": F.col("quantity"), "ori": line_amount("commodity_origin_price"), "act": line_amount("commodity_sale_price")}
     cols = [*keys, "qyt", money("ori").alias("ori"), money("act").alias("act")]
     if not reach:
-        return i.groupBy(*keys).agg(*sums).select(*cols)
-    # lines to one row per (month, SKU, order, rack, user), which the three distinct counts share
-    per = i.groupBy(*keys, "order_id", "machine_id", "user_id").agg(*sums)
-    g = per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("qyt", "ori", "act")],
-                               F.countDistinct("machine_id").alias("machine_qyt"),
-                               F.countDistinct("user_id").alias("user_qyt"),
-                               F.countDistinct("order_id").alias("order_qyt"))
-    return g.select(*cols, "machine_qyt", "user_qyt", "order_qyt")
+        return i.groupBy(*keys).agg(*[F.sum(v).alias(a) for a, v in sums.items()]).select(*cols)
+    ids = {"machine_qyt": "machine_id", "user_qyt": "user_id", "order_qyt": "order_id"}
+    return distinct_counts(i, keys, ids, sums).select(*cols, *ids)
 
 
 def category_sales(cat: Catalog, as_of: str, months_of_year=(11, 12), month_fmt: str = MONTH_FMT,

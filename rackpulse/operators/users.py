@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackpulse.functions.agg import distinct_count
+from rackpulse.functions.bitset import bit, has_bit
 from rackpulse.functions.dates import MONTH_FMT, month_key, month_of_day_key
 from rackpulse.functions.ratio import ratio
 from rackpulse.operators.calendar import WEEK_SUFFIX, YEAR_SUFFIX
@@ -13,6 +14,7 @@ from rackpulse.operators.common import paid_items, paid_orders, with_keys
 from rackpulse.sources.catalog import PAID, Catalog, snapshot
 
 ROUND = 6
+_NO_WEEK = 63  # bit of a trade without a week
 
 
 def new_users_in_month(cat: Catalog, as_of: str, month: int = 12, status: int = PAID) -> DataFrame:
@@ -199,21 +201,27 @@ def _week_monday(year: str, week: str):
 def weekly_cohort(cat: Catalog, second_year: int | None = None) -> DataFrame:
     """Distinct users per (purchase week, first-purchase week, weeks since the first week).
 
-    The two tables need year, week of year and user only. The week gap is the number of weeks between
-    the two ISO-week Mondays, which stays right across New Year; with ``second_year`` it is the source's
+    The two tables need year, week of year and user only. A user's weeks of a year are one word of bits (bit = week of
+    the year, 63 for none), so a row per trade becomes a row per user and year in one aggregate; that meets the user's
+    first week, and the set bits are read off. The week gap is the number of weeks between the two
+    ISO-week Mondays, which stays right across New Year; with ``second_year`` it is the source's
     own index instead: the week number, plus 52 in that year."""
     def index():
         return F.col("week_of_year") + F.when(F.col("year") == second_year, 52).otherwise(0)
 
-    t = cat.table("trade_detail").select(
-        "user_id", _week_label("year", "week_of_year").alias("week"), index().alias("_week"),
-        _week_monday("year", "week_of_year").alias("_mon")).distinct()
     f = cat.table("user_first_day").select(
-        "user_id", _week_label("year", "week_of_year").alias("week_first"), index().alias("_week_first"),
-        _week_monday("year", "week_of_year").alias("_mon_first"))
-    gap = (F.col("_week") - F.col("_week_first")) if second_year is not None else (F.datediff("_mon", "_mon_first") / 7)
-    j = t.join(f, "user_id", "left").withColumn("cut", gap.cast("int"))
-    return distinct_count(j, ["week", "week_first", "cut"], "user_id", "user_num")
+        F.col("user_id").alias("_user"), _week_label("year", "week_of_year").alias("week_first"), index().alias("_week_first"),
+        _week_monday("year", "week_of_year").alias("_mon_first")).distinct()
+    active = cat.table("trade_detail").groupBy("user_id", "year").agg(
+        F.bit_or(bit(F.coalesce("week_of_year", F.lit(_NO_WEEK)))).alias("_weeks"))
+    j = active.join(f, F.col("user_id") == F.col("_user"), "left")
+    j = j.withColumn("_bit", F.explode(F.filter(F.array(*[F.lit(w) for w in range(64)]), lambda w: has_bit(F.col("_weeks"), w))))
+    j = j.withColumn("week_of_year", F.when(F.col("_bit") != _NO_WEEK, F.col("_bit")))
+    gap = (index() - F.col("_week_first")) if second_year is not None else (
+        F.datediff(_week_monday("year", "week_of_year"), "_mon_first") / 7)
+    # a user is in a (week, first week) once, so rows are users
+    return j.groupBy(_week_label("year", "week_of_year").alias("week"), "week_first", gap.cast("int").alias("cut")).agg(
+        F.count("user_id").alias("user_num"))
 
 
 def repeat_rate(cohort: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that matter for the semantics or the plan shape of the operators.
@@ -62,3 +64,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset one is made: a scratch
+    folder in local mode, else a folder of the warehouse."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return checkpoint_dir(spark)
+    local = sc.master == "local" or sc.master.startswith("local[")
+    root = tempfile.mkdtemp(prefix="rackpulse-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    return checkpoint_dir(spark, f"{root.rstrip('/')}/shared")

@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rackpulse.session import checkpoint_dir
 from rackpulse.sources.catalog import Catalog, snapshot_in, snapshot_range
+from rackpulse.sources import sinks
 from rackpulse.sources.sinks import materialise, read_materialised
 
 
@@ -121,3 +123,85 @@ def test_bucketed_tables_join_without_shuffle(spark, scratch):
         assert j.count() == 3000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_partition_has_many_files(spark, scratch):
+    hot = "pt string, id long, noise string"
+    df = spark.range(60000).select(F.when(F.col("id") % 20 > 0, "20171201").otherwise(F.concat(F.lit("201711"), F.lpad(
+        F.col("id") % 9 + 1, 2, "0"))).alias("pt"), "id", F.sha2(F.col("id").cast("string"), 256).alias("noise"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        path = materialise(df, "hot", scratch, partition_by="pt")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+    files = {d: sum(f.endswith(".parquet") for f in os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("pt=")}
+    # a small partition that lies in the hot one's shuffle partition is split with it; the others have one writer
+    assert files["pt=20171201"] >= 4 and min(files.values()) == 1
+    back = read_materialised(spark, path)
+    assert back.count() == 60000 and set(back.columns) == {x.split()[0] for x in hot.split(", ")}
+
+
+@pytest.mark.parametrize("keys", [None, "pt", ["pt", "city"]])
+def test_a_failing_move_leaves_the_old_table(spark, scratch, monkeypatch, keys):
+    def rows(n):
+        return spark.range(n).select("id", F.lit("20171201").alias("pt"), (F.col("id") % 2).cast("string").alias("city"))
+
+    path = materialise(rows(4), "kept", scratch, partition_by=keys)
+    real = sinks._move
+
+    def failing(fs, source, target):
+        if ".new-" in source.toString():
+            raise OSError("no space")
+        real(fs, source, target)
+
+    monkeypatch.setattr(sinks, "_move", failing)
+    with pytest.raises(OSError, match="no space"):
+        materialise(rows(9), "kept", scratch, partition_by=keys)
+    assert spark.read.parquet(path).count() == 4
+    monkeypatch.setattr(sinks, "_move", real)
+    materialise(rows(9), "kept", scratch, partition_by=keys)
+    assert spark.read.parquet(path).count() == 9 and not [x for x in os.listdir(scratch) if ".old-" in x]
+
+
+@pytest.mark.parametrize("keys", [None, "pt"])
+def test_a_table_put_aside_by_a_lost_driver_returns(spark, scratch, monkeypatch, keys):
+    def rows(n):
+        return spark.range(n).select("id", F.lit("20171201").alias("pt"))
+
+    path = materialise(rows(4), "lost", scratch, partition_by=keys)
+    real = sinks._move
+
+    def lost(fs, source, target):
+        if ".new-" in source.toString() or ".old-" in source.toString():
+            raise KeyboardInterrupt
+        real(fs, source, target)
+
+    monkeypatch.setattr(sinks, "_move", lost)
+    with pytest.raises(KeyboardInterrupt):
+        materialise(rows(9), "lost", scratch, partition_by=keys)
+    monkeypatch.setattr(sinks, "_move", real)
+    assert len(sinks.recover(spark, path)) == 1 and sinks.recover(spark, path) == []
+    assert read_materialised(spark, path).count() == 4
+
+
+def test_drop(spark, scratch):
+    path = materialise(spark.range(3), "dropped", scratch)
+    assert sinks.drop(spark, "dropped", scratch) and not os.path.exists(path)
+    assert not sinks.drop(spark, "dropped", scratch)
+
+
+def test_a_published_table_is_never_missing(spark, scratch):
+    def rows(n):
+        return spark.range(n).select("id", F.lit("20171201").alias("pt"))
+
+    first = sinks.publish(rows(3), "published_orders", scratch, "pt")
+    reader = spark.table("published_orders")
+    second = sinks.publish(rows(5), "published_orders", scratch, "pt")
+    assert reader.count() == 3 and spark.table("published_orders").count() == 5
+    assert dict(spark.table("published_orders").dtypes)["pt"] == "string"
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish(rows(5).withColumn("id", F.raise_error(F.lit("broken")).cast("long")), "published_orders", scratch)
+    assert spark.table("published_orders").count() == 5
+    sinks.publish(rows(6), "published_orders", scratch)
+    assert not os.path.exists(first) and os.path.exists(second)
+    spark.sql("DROP VIEW published_orders")

@@ -308,7 +308,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFra
     """(id, key, lo, hi), distinct: windows that start from lo to hi in the text of id, whose hash is ``key``, are repeated."""
     all_rows = store(anchored(docs, key), "suffix-anchors")
     keys = all_rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("low"), F.max("s").alias("high"))
-    keys = keys.where("c > 1").select(F.col("k").alias("of"), (F.col("low") != F.col("high")).alias("differ"))
+    # sums by anchor are written, so that a join reads both sides from a shuffle of their own and hot anchors can be split
+    keys = store(keys.where("c > 1").select(F.col("k").alias("of"), (F.col("low") != F.col("high")).alias("differ")), "suffix-keys")
     met = store(all_rows.join(keys, F.col("k") == F.col("of")).drop("of"), "suffix-met")
     place = ["id", "key", "lo", "hi"]
     marks = met.where("not differ").select(*place)
@@ -318,7 +319,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFra
         F.first(c).alias(c) for c in (*place, "at")]), "suffix-kinds")
     many = kinds.where("n > 1").select(F.col("k").alias("k_"), F.col("s").alias("s_"))
     marks = marks.union(differ.join(many, (F.col("k") == F.col("k_")) & (F.col("s") == F.col("s_"))).select(*place))
-    sizes = kinds.groupBy(F.col("k").alias("k_")).agg(F.count(F.lit(1)).alias("m"))
+    sizes = store(kinds.groupBy(F.col("k").alias("k_")).agg(F.count(F.lit(1)).alias("m")), "suffix-sizes")
     wanted = kinds.join(sizes, F.col("k") == F.col("k_")).select("k", "n", "m", *place, "at")
     found = store(_fetched(docs, wanted, key), "suffix-segments")
     marks = marks.union(store(_sorted_marks(found.where(F.col("m") <= block)), "suffix-sorted"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.functions.dates import day_key, month_key, ts_bound
+from rackpulse.functions.dates import day_key, month_of_day_key, ts_bound
 from rackpulse.sources.catalog import PAID, Catalog, paid, snapshot
 
 
@@ -37,10 +37,11 @@ def _time_bounds(df: DataFrame, since, since_inclusive, until) -> DataFrame:
 
 
 def with_keys(df: DataFrame, month_fmt: str | None = None) -> DataFrame:
-    """Add ``payday`` (yyyyMMdd) and, when ``month_fmt`` is given, ``month``."""
-    df = df.withColumn("payday", day_key("pay_complete_time"))
+    """Add ``payday`` (yyyyMMdd; facts stored by day have it) and, when ``month_fmt`` is given, ``month``, cut out of the day."""
+    if "payday" not in df.columns:
+        df = df.withColumn("payday", day_key("pay_complete_time"))
     if month_fmt:
-        df = df.withColumn("month", month_key("pay_complete_time", month_fmt))
+        df = df.withColumn("month", month_of_day_key("payday", month_fmt))
     return df
 
 

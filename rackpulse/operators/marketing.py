@@ -33,17 +33,20 @@ def coupon_vs_gmv(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, coupon_t
         money("act").alias("act"))
 
 
-def _discounted_first_orders(cat: Catalog, as_of: str, month_fmt: str, status: int) -> DataFrame:
-    o = paid_orders(cat, as_of, status)
-    first = first_per_key(o, "user_id", ["pay_complete_time", "order_id"], ["origin_amount", "actual_amount"])
+def _discounted_first_orders(cat: Catalog, as_of: str, month_fmt: str, status: int, first: DataFrame | None) -> DataFrame:
+    if first is None:
+        o = paid_orders(cat, as_of, status)
+        first = first_per_key(o, "user_id", ["pay_complete_time", "order_id"], ["origin_amount", "actual_amount"])
     return (first.where(F.col("origin_amount") > F.col("actual_amount"))
             .withColumn("month", month_key("pay_complete_time", month_fmt)))
 
 
-def acquisition_cost(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
+def acquisition_cost(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, status: int = PAID,
+                     firsts: DataFrame | None = None) -> DataFrame:
     """Per month: discount given on users' first orders (when discounted), new users, and the
-    acquisition cost = discount / new users. Ties on the first pay time go to the lower order id."""
-    f = _discounted_first_orders(cat, as_of, month_fmt, status)
+    acquisition cost = discount / new users. Ties on the first pay time go to the lower order id. ``firsts`` is a kept
+    first-order table (``sources.firsts``), read instead of all orders."""
+    f = _discounted_first_orders(cat, as_of, month_fmt, status, firsts)
     g = f.groupBy("month").agg(F.sum(F.col("origin_amount") - F.col("actual_amount")).alias("cut"),
                                F.count("user_id").alias("new_user"))
     return g.select("month", money("cut").alias("cut"), "new_user", ratio("cut", "new_user").alias("CAC"))

@@ -86,12 +86,13 @@ def top_racks_sold_days(cat: Catalog, as_of: str, since_day: str, n: int = TOP_N
 
 
 def top_racks_online_days(cat: Catalog, as_of: str, since_day: str, first_pt: str, last_pt: str,
-                          n: int = TOP_N, month_fmt: str = MONTH_FMT, status: int = PAID) -> DataFrame:
+                          n: int = TOP_N, month_fmt: str = MONTH_FMT, status: int = PAID,
+                          online: DataFrame | None = None) -> DataFrame:
     """Top ``n`` racks per month by GMV, with orders and GMV per day the rack was online (from the
-    daily rack snapshots ``first_pt..last_pt``). A rack renamed within a month yields one row per
+    daily rack snapshots ``first_pt..last_pt``, or given as ``online``, e.g. from intervals). A rack renamed within a month yields one row per
     name, as in the source."""
     a = _month_rack(cat, as_of, since_day, month_fmt, status).drop("days")
-    b = online_days(cat, first_pt, last_pt, month_fmt=month_fmt)
+    b = online_days(cat, first_pt, last_pt, month_fmt=month_fmt) if online is None else online
     j = a.join(b, ["month", "machine_id"])
     w = Window.partitionBy("month").orderBy(F.col("ori").desc(), F.col("machine_id"), F.col("machine_name"))
     r = j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)

@@ -100,6 +100,15 @@ def cumulative_buyers(cat: Catalog, as_of: str, month_fmt: str = MONTH_FMT, stat
     return cumulative_distinct(o, "month", "user_id", out="user_qyt")
 
 
+def cumulative_buyers_from(cat: Catalog, as_of: str, firsts: DataFrame, month_fmt: str = MONTH_FMT,
+                           status: int = PAID) -> DataFrame:
+    """``cumulative_buyers`` from a kept first-order table (``sources.firsts``): one row per buyer gives the counts; of the
+    orders only the months are read."""
+    months = with_keys(paid_orders(cat, as_of, status), month_fmt).select("month").distinct()
+    seen = firsts.select(month_key("pay_complete_time", month_fmt).alias("month"), "user_id")
+    return _running_first_seen(seen, months, "month", "user_id", "user_qyt")
+
+
 def cumulative_buyers_range(cat: Catalog, as_of: str, year: int | None = None,
                             status: int = PAID) -> DataFrame:
     """Per calendar month (of ``year``, or all): distinct buyers of order lines up to that month,

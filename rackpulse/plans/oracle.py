@@ -8,7 +8,9 @@ so the two check each other. Fixture parameters are inlined (see ``registry``);
 integer sums as BIGINT, like the Spark side.
 """
 
+from rackpulse.operators.derived import DERIVED
 from rackpulse.plans.oracle_tables import with_tables
+from rackpulse.plans.registry import KEPT
 
 AS_OF = "'20011231'"
 WORKDAY = "'工作日'"
@@ -549,11 +551,22 @@ WHERE strftime(o.pay_complete_time, '%m') = '06' AND o.origin_amount > o.actual_
 }
 
 
+def _statement(q: str) -> str:
+    q = q.strip()
+    q = ("WITH " + BASE.strip() + ",\n" + q[5:]) if q.upper().startswith("WITH ") else ("WITH " + BASE.strip() + "\n" + q)
+    return with_tables(q)
+
+
+def _rows_of(names) -> str:
+    """The number of rows of each named report."""
+    def part(n):
+        q = ORACLE[n].strip()
+        return f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM ({q}) q_{n}"
+    return " UNION ALL ".join(part(n) for n in names)
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for k, v in ORACLE.items():
-        q = v.strip()
-        q = ("WITH " + BASE.strip() + ",\n" + q[5:]) if q.upper().startswith("WITH ") else \
-            ("WITH " + BASE.strip() + "\n" + q)
-        out[k] = with_tables(q)
+    out = {k: _statement(v) for k, v in ORACLE.items()}
+    for name, (same, _) in KEPT.items():
+        out[name] = out[same] if same else _statement(_rows_of(sorted(DERIVED)))
     return out

@@ -48,7 +48,7 @@ UNIQUE_KEYS = {
     "company": ("pt", "customer_id"), "commodity": ("pt", "sku_id"), "calendar": ("day_id",),
 }
 # Keys of snapshot and history tables: partition folders, always strings.
-PARTITION_KEYS = ("pt", "day_id")
+PARTITION_KEYS = ("pt", "day_id", "payday", "load")
 
 
 class Catalog:

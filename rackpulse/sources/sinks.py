@@ -147,6 +147,8 @@ def _replace(spark: SparkSession, fresh: str, path: str, depth: int) -> None:
     """Put the folders of the complete table ``fresh`` (itself, or its partitions ``depth`` levels down) in the place of those of
     ``path``."""
     fs, new = _fs(spark, fresh)
+    if not fs.exists(_path(spark, path)):  # a new table: all of it at once
+        depth = 0
     aside = f"{path}.old-{uuid.uuid4().hex[:8]}"
     for part in _folders(spark, fs, new, depth):
         tail = part.toString()[len(new.toString()) + 1:]
@@ -171,6 +173,12 @@ def read_materialised(spark: SparkSession, path: str) -> DataFrame:
     return read_partitioned(spark, path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own under the shared one, and read back: a short lineage to restart from."""
+    root = f"{shared_dir(df.sparkSession).rstrip('/')}/tables-{uuid.uuid4().hex[:8]}"
+    return read_materialised(df.sparkSession, materialise(df, name, root))
+
+
 def counted(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows) of each table."""
     parts = [df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, df in sorted(tables.items())]

@@ -61,6 +61,22 @@ def worker_cache(key: str, build: Callable[[], object]) -> object:
     return getattr(home, key)
 
 
+def shared_state(spark: SparkSession, model: object | None) -> Callable[[], object | None]:
+    """``model`` for Python workers: its fields are broadcast (they must be plain values and arrays), its class travels with the
+    function that calls the result, so workers need no copy of this package."""
+    fields = spark.sparkContext.broadcast(None if model is None else vars(model))
+    kind = type(model)
+
+    def get() -> object | None:
+        if fields.value is None:
+            return None
+        out = object.__new__(kind)
+        out.__dict__.update(fields.value)
+        return out
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body (or a lambda in it) refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import free_name, pieces, store, table, worker_cache
+from rackpulse.llm.common import free_name, pieces, shared_state, store, table, worker_cache
 from rackpulse.llm.training import MAX_BYTES, held_out, remainder
 
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
@@ -209,10 +209,10 @@ def with_language(docs: DataFrame, model: LanguageModel | None, name: str = "lan
     whole = free_name(docs, "whole_text")
     schema = docs.select(*columns).schema.add(name, "string").add(score, "double")
     wide = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias(whole))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training budget
+    shared = shared_state(docs.sparkSession, model)  # bounded by the training budget
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         parser = worker_cache(f"language:{own.key}", lambda: Parser(own)) if own else None
         for batch in pieces(batches):
             texts = batch.column(whole).to_pylist()

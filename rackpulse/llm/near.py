@@ -12,8 +12,9 @@ A document's set holds the hashes of its distinct runs of five words. Links are
    that share one of these, and whose sizes allow a link, step by step, form a home.
 4. Homes are expanded: the texts of their classes come together, in blocks of bounded size where a home is large (each
    pair of blocks once). A block joins its sets exactly: candidates by the rarest shingles of each set, length filter, then
-   the intersection of the whole sets. Pairs that are connected already need no check; only connecting links go out.
-5. Links are merged into components.
+   the intersection of the whole sets. A block gives the number of links of each class (documents of a class count each) and,
+   of the links, those that connect; so all links are found and counted, and no list of pairs goes out.
+5. Connecting links are merged into components, numbers of links summed.
 
 Defined cases: a text of one to four words is one shingle as a whole; without words (or null) a document has size 0 and is a
 component of its own; rows that repeat an id are documents of their own (a component's id is the smallest id in it, null
@@ -298,8 +299,10 @@ class _Sets:
         return a != b
 
 
-def block_links(sets: list[np.ndarray], block: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """Connecting links among ``sets``: of pairs within a block if there is one block, else of pairs across blocks."""
+def block_links(sets: list[np.ndarray], block: np.ndarray, percent: int = PERCENT, known: _Sets | None = None
+                ) -> Iterator[tuple[int, np.ndarray]]:
+    """All links among ``sets``, each once, as (i, linked sets behind i): of pairs within a block if there is one block, else of
+    pairs across blocks. Pairs that are connected in ``known`` already are left out."""
     size = np.array([len(s) for s in sets])
     n, flat = len(sets), np.concatenate(sets)
     owner = np.repeat(np.arange(n), size)
@@ -311,7 +314,7 @@ def block_links(sets: list[np.ndarray], block: np.ndarray, percent: int = PERCEN
     for i in range(n):  # the rarest shingles first
         c = code[own_at[i]:own_at[i + 1]]
         heads.append(c[np.argsort(df[c], kind="stable")][:len(c) - least_overlap(len(c), percent) + 1])
-    across, found, mark = len(set(block.tolist())) > 1, _Sets(n), np.zeros(len(df), bool)
+    across, mark = len(set(block.tolist())) > 1, np.zeros(len(df), bool)
     for i in range(n):
         t = heads[i][df[heads[i]] > 1]
         if not len(t):
@@ -319,11 +322,13 @@ def block_links(sets: list[np.ndarray], block: np.ndarray, percent: int = PERCEN
         count = df[t]
         idx = np.repeat(post_at[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
         near = np.unique(post[idx])
-        near = near[(near != i) & (size[near] * 100 >= size[i] * percent) & (size[near] * percent <= size[i] * 100)]
+        # both sets of a link find each other by their rarest shingles: the first of them is enough
+        near = near[(near > i) & (size[near] * 100 >= size[i] * percent) & (size[near] * percent <= size[i] * 100)]
         if across:
             near = near[block[near] != block[i]]
-        mine = found.root(i)
-        near = np.array([j for j in near.tolist() if found.root(j) != mine], np.int64)
+        if known is not None and len(near):
+            mine = known.root(i)
+            near = np.array([j for j in near.tolist() if known.root(j) != mine], np.int64)
         if not len(near):
             continue
         mark[code[own_at[i]:own_at[i + 1]]] = True
@@ -332,14 +337,15 @@ def block_links(sets: list[np.ndarray], block: np.ndarray, percent: int = PERCEN
             begin = np.cumsum(length) - length
             idx = np.repeat(own_at[part] - begin, length) + np.arange(length.sum())
             both = np.add.reduceat(mark[code[idx]], begin, dtype=np.int64)
-            for j in part[both * 100 >= percent * (length + size[i] - both)].tolist():
-                if found.join(i, j):
-                    yield i, j
+            linked = part[both * 100 >= percent * (length + size[i] - both)]
+            if len(linked):
+                yield i, linked
         mark[code[own_at[i]:own_at[i + 1]]] = False
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): connecting links between classes of each home. ``members``: home, class, n, text."""
+def _links(members: DataFrame, percent: int, count: bool) -> DataFrame:
+    """(a, b, partners) of each home. With a ``b``: connecting links between classes; without: ``partners``, the documents that
+    those of class ``a`` are linked with in one pair of blocks. ``members``: home, class, n, size, text."""
     total = members.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     total = store(total.where("c > 1").select(F.col("home").alias("of"), blocks.alias("blocks")), "near-homes")
@@ -348,52 +354,63 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     placed = members.join(total, F.col("home") == F.col("of")).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("home", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own",
-                           "class", "text")
+                           "class", "size", "text")
 
     def run(group: pa.Table) -> pa.Table:
         first = {c: i for i, c in reversed(list(enumerate(group.column("class").to_pylist())))}
         group = group.take(pa.array(sorted(first.values())))
         sets = list(Shingler().sets([t.as_py() or b"" for t in group.column("text")]))
         names = group.column("class").to_pylist()
-        pairs = list(block_links(sets, group.column("own").to_numpy(), percent))
-        return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.string()),
-                         "b": pa.array([names[j] for _, j in pairs], pa.string())})
-
-    return placed.groupBy("home", "x", "y").applyInArrow(run, "a string, b string")
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_key, root) of every document; ``root`` names the component, null without
-    words."""
+        weight, partners, found = group.column("size").to_numpy(), np.zeros(len(sets), np.int64), _Sets(len(sets))
+        pairs = []
+        for i, linked in block_links(sets, group.column("own").to_numpy(), percent, None if count else found):
+            partners[i] += weight[linked].sum()
+            partners[linked] += weight[i]
+            pairs += [(i, j) for j in linked.tolist() if found.join(i, j)]
+        some = np.flatnonzero(partners).tolist() if count else []
+        return pa.table({"a": pa.array([names[i] for i, _ in pairs] + [names[i] for i in some], pa.string()),
+                         "b": pa.array([names[j] for _, j in pairs] + [None] * len(some), pa.string()),
+                         "partners": pa.array([0] * len(pairs) + partners[some].tolist(), pa.int64())})
+
+    return placed.groupBy("home", "x", "y").applyInArrow(run, "a string, b string, partners long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, text_key, root) of every document; ``n_links`` is the number of documents it is
+    linked with, those of its own class included (without ``count`` pairs that are connected already aren't checked, and it is too
+    small); ``root`` names the component, null without words."""
     spread = docs.select("doc_id", "text")
     found = store(document_classes(spread, percent), "near-documents")
     some = found.where("n > 0")
     classes = store(some.groupBy("class").agg(F.first("n").alias("n"), F.first("grp").alias("grp"),
-                                              F.min("doc_id").alias("first_id"),
+                                              F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id"),
                                               F.min(F.struct("doc_id", "text_key")).alias("one")), "near-classes")
     groups = classes.groupBy("grp").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("classes"))
     homes = _homes(_prefix_rows(spread, percent), groups, percent)
-    wanted = store(classes.join(homes, "grp").select("class", "n", "home", F.col("one.doc_id").alias("id"),
+    wanted = store(classes.join(homes, "grp").select("class", "n", "size", "home", F.col("one.doc_id").alias("id"),
                                                      F.col("one.text_key").alias("key")), "near-wanted")
     texts = spread.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     # texts meet unbounded lists of keys by sorting, at every size: such a list is never broadcast
     members = texts.join(wanted.hint("merge"), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    links = store(_links(members.select("home", "class", "n", "text"), percent), "near-links")
-    roots = components(links)
-    labelled = classes.join(roots, F.col("class") == F.col("node"), "left").select(
-        F.col("class").alias("of"), "first_id", F.coalesce("root", "class").alias("root"))
+    links = store(_links(members.select("home", "class", "n", "size", "text"), percent, count), "near-links")
+    roots = components(links.where(F.col("b").isNotNull()).select("a", "b"))
+    partners = links.where(F.col("b").isNull()).groupBy(F.col("a").alias("by")).agg(F.sum("partners").alias("partners"))
+    labelled = classes.join(roots, F.col("class") == F.col("node"), "left").join(
+        partners, F.col("class") == F.col("by"), "left").select(
+        F.col("class").alias("of"), "first_id", F.coalesce("root", "class").alias("root"),
+        (F.col("size") - 1 + F.coalesce("partners", F.lit(0))).alias("linked"))
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = labelled.select("of", "root").join(ids, "root")
+    by_class = labelled.select("of", "root", "linked").join(ids, "root")
     return (found.join(by_class, F.col("class") == F.col("of"), "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    "text_key", "root"))
+                    F.coalesce("linked", F.lit(0)).alias("n_links"), "text_key", "root"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, of which each component keeps one: that of the smallest id (null last), and of the
     smallest text digest where rows repeat it; rows that agree in both stay once. Documents without words are kept."""
-    found = store(near_duplicates(docs, percent).where("n_shingles > 0").select("doc_id", "text_key", "root"), "near-roots")
+    found = store(near_duplicates(docs, percent, count=False).where("n_shingles > 0").select("doc_id", "text_key", "root"), "near-roots")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     several = found.groupBy("root").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = found.join(several.withColumnRenamed("root", "of"), F.col("root") == F.col("of"))

@@ -10,7 +10,7 @@ Scores are exact: 64-bit floats while norms guarantee that all sums stay below 2
 the range of a 64-bit integer, where they may tie).
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do null ids;
-vectors meet those of their own length only; a query's own row is left out, which are all rows of its id; equal scores go to
+vectors meet those of their own length only; a query's own row is left out (of several rows with its id and its vector one); equal scores go to
 the smaller vec_id, rows that repeat an id are ranked as rows of their own; with fewer candidates than k all are ranked;
 an empty table gives an empty result; columns other than vec_id and embedding are ignored.
 """
@@ -29,6 +29,8 @@ from rackpulse.llm.common import store, table
 TOP, QUERY_EVERY, SCALE = 20, 20, 64
 #: Vectors of a block, dimensions that are added at a time.
 CANDIDATE_BLOCK, QUERY_BLOCK, DIMS = 8192, 1024, 8
+#: Blocks of queries that meet a block of candidates in one group.
+QUERY_GROUP = 4
 _EXACT = float(1 << 52)
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -65,7 +67,7 @@ def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int
                  ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, best ids, their scores) per query. ``queries`` has a row per query, ``columns`` a row per dimension; ``ids``
+    """(number of the query, best ids, their scores) per query. ``queries`` has a row per query, ``columns`` a row per dimension; ``ids``
     are sorted, so that the first of equal scores is the one with the smaller id."""
     peak = float(max(np.abs(queries).max(initial=0), 1)) * float(max(np.abs(columns).max(initial=0), 1))
     if peak * len(columns) >= _EXACT:
@@ -74,72 +76,90 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
     dims = len(columns)
     starts = list(range(0, dims, DIMS))
     mass = np.add.reduceat(columns * columns, starts)  # per block of dimensions and candidate
-    for q, own in zip(queries, query_ids.tolist(), strict=True):
+    for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
         q_mass = np.add.reduceat(q * q, starts)
         order = np.argsort(-q_mass, kind="stable")
         alive, score = np.arange(len(ids)), np.zeros(len(ids))
-        a, b = np.searchsorted(ids, [own, own + 1])
-        if b > a:
-            alive = np.concatenate([alive[:a], alive[b:]])
-            score = score[:len(alive)]
+        out = _own_row(q, own, columns, ids)
+        if out is not None:
+            alive, score = np.delete(alive, out), score[:-1]
         if not len(alive):
             continue
-        left = mass[:, alive].sum(0) if b > a else mass.sum(0)
-        q_left, floor = float(q_mass.sum()), -np.inf
+        # what is left after each block, added up from the last one: a small rest is never the difference of large sums
+        rest = np.zeros((len(order) + 1, len(alive)))
+        np.cumsum(mass[order[::-1]][:, alive], axis=0, out=rest[1:])
+        q_rest, floor = np.concatenate([[0.0], np.cumsum(q_mass[order[::-1]])]), -np.inf
         if len(alive) > k:  # exact scores of those that look best after the first block set the bar
             first = order[0] * DIMS
             rough = q[first:first + DIMS] @ columns[first:first + DIMS, alive]
             likely = alive[np.argpartition(-rough, k - 1)[:k]]
             floor = float((q @ columns[:, likely]).min())
-        for block in order.tolist():
+        for step, block in enumerate(order.tolist(), 1):
             at = slice(block * DIMS, block * DIMS + DIMS)
             whole = len(alive) == columns.shape[1]
             score = score + q[at] @ (columns[at] if whole else columns[at, alive])
-            left = left - (mass[block] if whole else mass[block, alive])
-            q_left -= float(q_mass[block])
             if len(alive) > k:  # the bound is rounded up by more than rounding can take off
-                bound = score + np.sqrt(np.maximum(left, 0) * max(q_left, 0)) * (1 + 1e-9) + 1e-6
+                bound = score + np.sqrt(rest[-1 - step]) * np.sqrt(q_rest[-1 - step]) * (1 + 1e-9) + 1e-6
                 keep = bound >= floor
-                alive, score, left = alive[keep], score[keep], left[keep]
+                alive, score, rest = alive[keep], score[keep], rest[:, keep]
         best = np.lexsort((alive, -score))[:k]
-        yield own, ids[alive[best]], score[best].astype(np.int64)
+        yield number, ids[alive[best]], score[best].astype(np.int64)
+
+
+def _own_row(q: np.ndarray, own: int, columns: np.ndarray, ids: np.ndarray) -> int | None:
+    """The place of the query's own row among the candidates: the first with its id and its vector."""
+    a, b = np.searchsorted(ids, [own, own + 1])
+    same = np.flatnonzero((columns[:, a:b] == q[:, None]).all(0)) if b > a else ()
+    return a + int(same[0]) if len(same) else None
 
 
 def _search_integers(queries, query_ids, columns, ids, k):
     """The same without bounds for numbers that floats can't add exactly."""
     rows = [[int(x) for x in c] for c in columns.T]
-    for q, own in zip(queries, query_ids.tolist(), strict=True):
+    for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
+        out = _own_row(q, own, columns, ids)
         q = [int(x) for x in q]
         scores = [(min(max(sum(a * b for a, b in zip(q, r, strict=True)), _LOW), _HIGH), i)
-                  for r, i in zip(rows, ids.tolist(), strict=True) if i != own]
+                  for at, (r, i) in enumerate(zip(rows, ids.tolist(), strict=True)) if at != out]
         best = sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
         if best:
-            yield own, np.array([i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64)
+            yield number, np.array([i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k candidates of largest inner product."""
     q = _packed(integer_vectors(queries), QUERY_BLOCK, "topk-queries").toDF("dims", "q_block", "q_ids", "q_columns")
     c = _packed(integer_vectors(candidates), CANDIDATE_BLOCK, "topk-candidates")
-    # every block of queries meets every block of candidates of its length
-    pairs = q.join(c, "dims").repartition(max(1, q.count() * c.count()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                columns = np.frombuffer(row["columns"]).reshape(row["dims"], -1)
-                matrix = np.ascontiguousarray(np.frombuffer(row["q_columns"]).reshape(row["dims"], -1).T)
-                found = list(search_block(matrix, query_ids, columns, ids, k))
+    # every block of queries meets every block of candidates of its length: a group holds a block of candidates and a few
+    # of queries, and the groups are dealt out over a fixed number of partitions
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = c.groupBy("dims").agg((F.max("block") + 1).alias("blocks"))
+    groups = q.groupBy("dims").agg((F.floor(F.max("q_block") / QUERY_GROUP) + 1).cast("int").alias("groups"))
+    asked = q.join(numbers, "dims").select("dims", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                                           F.floor(F.col("q_block") / QUERY_GROUP).cast("int").alias("q_group"), "q_block", "q_ids", "q_columns")
+    given = c.join(groups, "dims").select("dims", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("q_group"),
+                                          "ids", "columns")
+    keys = ["dims", "block", "q_group"]
+
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        found = []
+        for row in given.to_pylist():  # one: a block of candidates
+            ids, columns = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["columns"]).reshape(row["dims"], -1)
+            for block in asked.to_pylist():
+                query_ids = np.frombuffer(block["q_ids"], np.int64)
+                matrix = np.ascontiguousarray(np.frombuffer(block["q_columns"]).reshape(row["dims"], -1).T)
                 # rows that repeat an id are queries of their own: numbered within the block
-                size = [len(x) for _, x, _ in found]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": np.repeat(np.array([x for x, _, _ in found], np.int64), size),
-                    "copy": np.repeat(_copies([x for x, _, _ in found]), size),
-                    "vec_id": np.concatenate([x for _, x, _ in found]) if found else np.zeros(0, np.int64),
-                    "score": np.concatenate([x for _, _, x in found]) if found else np.zeros(0, np.int64)})
-
-    best = pairs.mapInArrow(run, "query_id long, copy long, vec_id long, score long")
+                copies = _copies(query_ids.tolist())
+                found += [(query_ids[at], copies[at], i, s) for at, i, s in search_block(matrix, query_ids, columns, ids, k)]
+        size = [len(i) for _, _, i, _ in found]
+        return pa.table({
+            "query_id": np.repeat(np.array([x for x, _, _, _ in found], np.int64), size),
+            "copy": np.repeat(np.array([x for _, x, _, _ in found], np.int64), size),
+            "vec_id": np.concatenate([x for _, _, x, _ in found]) if found else np.zeros(0, np.int64),
+            "score": np.concatenate([x for _, _, _, x in found]) if found else np.zeros(0, np.int64)})
+
+    best = asked.repartition(parts, *keys).groupBy(*keys).cogroup(given.repartition(parts, *keys).groupBy(*keys)).applyInArrow(
+        run, "query_id long, copy long, vec_id long, score long")
     order = Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
@@ -160,12 +180,12 @@ def op6_topk_search(spark, sf_dir) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id,
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id,
              list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.r <> q.r AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import free_name, pieces, table
+from rackpulse.llm.common import free_name, pieces, shared_state, table
 from rackpulse.llm.training import held_out, sample_ids, sample_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -179,10 +179,10 @@ def with_toxicity(docs: DataFrame, model: ToxicModel | None, name: str = "score"
     columns, own = [c for c in docs.columns if c.lower() != name.lower()], free_name(docs, "text_bytes")
     schema = docs.select(*columns).schema.add(name, "double")
     wide = docs.select(*columns, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(own))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 MB of slots, whatever the corpus
+    shared = shared_state(docs.sparkSession, model)  # 16 MB of slots, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in pieces(batches):
             texts = batch.column(own).to_pylist()
             found = model.scores(texts) if model else np.zeros(len(texts))

@@ -54,6 +54,20 @@ def test_small_chunks_and_blocks_change_nothing(spark, texts, monkeypatch):
     assert run(spark, texts) == expected(texts)
 
 
+def links_by_hand(texts, percent=80):
+    sets = [shingles(t) for t in texts]
+    return [sum(i != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [near.BLOCK_CLASSES, 7])
+def test_every_link_is_counted(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK_CLASSES", block)
+    texts = [*texts, *texts[:20], *texts[5:9]]
+    got = {r.doc_id: r.n_links for r in near.near_duplicates(documents(spark, list(enumerate(texts)))).collect()}
+    want = links_by_hand(texts)
+    assert [got[i] for i in range(len(texts))] == want and max(want) > 10
+
+
 def test_a_large_family_of_chained_copies(spark):
     texts = family(5, 250, 146, 3)
     assert run(spark, texts) == expected(texts)

@@ -165,6 +165,30 @@ def test_top_k_large_numbers_stay_exact(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, (1 << 63) - 1), (0, 3, 3, -(1 << 63))]
 
 
+@pytest.mark.parametrize("size", [2.0 ** 28, 2.0 ** 30, 2.0 ** 34])
+def test_top_k_with_one_large_component(spark, size):
+    """Candidates of which one component is near 2^34 to 2^40 once scaled, all others small, so that the small ones decide."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-200, 200, (900, 32)) / 64.0
+    v[:, 7] = size + rng.integers(0, 3, 900) / 64.0
+    v[::20, 7] = 0.0
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df.where("vec_id % 20 = 0 and vec_id < 200"), df).collect()
+    assert sorted(map(tuple, got)) == [x for x in best_by_hand(rows) if x[0] < 200]
+
+
+def test_top_k_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (0, [2.0, 0.0]), (1, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df.where("vec_id = 0"), df).collect())
+    want = []
+    for at, (q, a) in enumerate(rows[:3]):
+        found = sorted((-64 * 64 * int(a[0] * b[0] * 2) // 2, i) for j, (i, b) in enumerate(rows) if j != at)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    assert got == sorted(want)
+
+
 PAGES = [(1, "http://a", "x" * 100), (2, "http://b", "x" * 100), (3, "http://c", "x" * 99), (4, "http://d", "x" * 99), (5, None, None),
          (6, "http://e\r\nEvil: 1", "é" * 60 + "\r\n\r\nWARC/1.1"), (7, "u", "y" * 3_000_000), (8, "u", "y" * 3_000_000), (2, "http://b", "x" * 100),
          (None, "n", "x" * 100), (9, "u", ""), (10, "u", "\x00\r\n\r\n" * 50), (11, "z", "z" * 200), (11, "z", "z" * 200)]

@@ -298,7 +298,8 @@ def materialise_catalog(spark: SparkSession, sf_dir: str, root: str, daily_folde
     first = ["rack_order", "rack"]   # other tables are derived from these two: build those from the copies
     for name in first + [n for n in lazy.names() if n not in first]:
         df = lazy.table(name)
-        key = next((k for k in PARTITION_KEYS if k in df.columns), None)
+        # the calendar's day_id is a column, not a history key: one small file, not a folder per day
+        key = next((k for k in PARTITION_KEYS if k in df.columns and name != "calendar"), None)
         if key and name in DAILY_TABLES and not daily_folders:
             df, key = df.sortWithinPartitions(key), None
         path = materialise(df, name, root, partition_by=key)

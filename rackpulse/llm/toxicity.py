@@ -3,11 +3,12 @@
 Only confirmed toxic documents are used as such; everything else is unlabelled text, in which the share ``prior`` is
 toxic. With loss l, the risk of a classifier f is estimated as ``prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])``;
 where the second part of a batch is negative, its gradient is turned, so that the fit can't profit from the
-unlabelled toxic documents. Features are letter n-grams (``GRAM`` bytes of the lower-cased text, all else white space) that
-are clearly more frequent in confirmed documents than in unlabelled ones; f is linear in which of them a text has.
+unlabelled toxic documents. Features are letter n-grams (``GRAM`` bytes of the lower-cased text, all else white space) that a text
+has once, or at least so often as a level of ``LEVELS`` says (a word stem that any text may have once can tell by its
+repetition); those that are clearly more frequent in confirmed documents than in unlabelled ones; f is linear in which a text has.
 
-Training is bounded: ``POSITIVE`` toxic and ``UNLABELLED`` other rows with texts of up to ``training.MAX_BYTES`` bytes,
-``FEATURES`` n-grams. Scoring reads whole texts.
+Training is bounded: ``POSITIVE`` toxic and ``UNLABELLED`` other rows with texts of up to ``training.MAX_BYTES`` bytes. All n-grams
+that pass the tests are features. Scoring reads whole texts.
 
 Defined cases: null and empty texts have no n-gram and get the score of the intercept; rows with a null id are never
 learned from and count as not held out; without confirmed rows every score is 0; each row is scored by its text alone, so
@@ -27,7 +28,9 @@ from rackpulse.llm.common import free_name, pieces, shared_state, table
 from rackpulse.llm.training import held_out, sample_ids, sample_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-GRAM, BITS, FEATURES = 5, 22, 1 << 12
+GRAM, BITS = 7, 22
+#: Numbers of occurrences from which an n-gram counts as a feature of its own.
+LEVELS = (1, 2, 3, 5)
 POSITIVE, UNLABELLED, ROUNDS, BATCH = 2000, 6000, 15, 256
 #: An n-gram is a feature if so many confirmed documents have it; if its share of them is above its share of the unlabelled ones
 #: by so many standard deviations; and if unlabelled documents do not have it clearly more often (``SLACK`` standard deviations of
@@ -87,25 +90,50 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def features(texts: list[bytes], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text), each once."""
+def level_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(code of an n-gram and a level that its number of occurrences reaches, text), each once, in the order of texts."""
     code, owner = gram_codes(texts)
+    key, times = np.unique(owner.astype(np.int64) << BITS | code, return_counts=True)
+    codes = [(key[times >= least] ^ (i * 0x2A5F37 & (1 << BITS) - 1)) for i, least in enumerate(LEVELS)]
+    key = np.unique(np.concatenate(codes))
+    return key & (1 << BITS) - 1, key >> BITS
+
+
+def features(texts: list[bytes], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, text), each once, in the order of texts."""
+    code, owner = level_codes(texts)
     feature = slot[code]
     has = feature >= 0
-    key = np.unique(owner[has] * np.int64(1 << 32) + feature[has])
-    return key & 0xFFFFFFFF, key >> 32
+    return feature[has], owner[has]
 
 
 def _document_counts(texts: list[bytes]) -> np.ndarray:
     out = np.zeros(1 << BITS, np.int32)
     for _, part in _pieces(texts):
-        code, owner = gram_codes(part)
-        once = np.unique(owner * np.int64(1 << BITS) + code) & ((1 << BITS) - 1)
-        found, times = np.unique(once, return_counts=True)
+        found, times = np.unique(level_codes(part)[0], return_counts=True)
         out[found] += times
     return out
 
 
+class _Rows:
+    """The features of many texts, row after row."""
+
+    def __init__(self, texts: list[bytes], slot: np.ndarray) -> None:
+        parts = [(f, start + o) for start, part in _pieces(texts) for f, o in [features(part, slot)]]
+        self.feature = np.concatenate([f for f, _ in parts]) if parts else np.zeros(0, np.int64)
+        owner = np.concatenate([o for _, o in parts]) if parts else np.zeros(0, np.int64)
+        self.at = np.searchsorted(owner, np.arange(len(texts) + 1))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, place in ``rows``)"""
+        size = self.at[rows + 1] - self.at[rows]
+        begin = np.cumsum(size) - size
+        return self.feature[np.repeat(self.at[rows] - begin, size) + np.arange(size.sum())], np.repeat(np.arange(len(rows)), size)
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+
 def _above(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int) -> np.ndarray:
     """Standard deviations by which the share of df_p in n_p is above that of df_u in n_u (pooled, as in chi-square)."""
     n_p, n_u = max(1, n_p), max(1, n_u)
@@ -119,39 +147,34 @@ def _accounted(share: np.ndarray, prior: float, n_u: int) -> np.ndarray:
     return (np.sqrt(share * prior * n_u / LEAST_RATIO) + SLACK / 2) ** 2
 
 
+def risk_gradient(zu: np.ndarray, zp: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the non-negative risk by the outputs for unlabelled and positive rows, with the loss l(z) = sigmoid(-z); where
+    the risk of negatives is below 0, that of its opposite alone."""
+    su, sp = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zu, zp))
+    gu, gp = su * (1 - su) / len(zu), -prior * sp * (1 - sp) / len(zp)  # of the risk of negatives
+    if su.mean() - prior * sp.mean() < 0:
+        return -gu, -gp
+    return gu, 2 * gp
+
+
 def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, seed: int = 5) -> ToxicModel:
     df_p, df_u = _document_counts(positive), _document_counts(unlabelled)
-    ratio = (df_p / max(1, len(positive))) / ((df_u + 1) / max(1, len(unlabelled)))
     chosen = np.flatnonzero((df_p >= min(LEAST_DOCS, len(positive))) & (_above(df_p, len(positive), df_u, len(unlabelled)) >= LEAST_Z)
                             & (df_u <= _accounted(df_p / max(1, len(positive)), prior, len(unlabelled))))
-    chosen = chosen[np.argsort(-(ratio * np.log1p(df_p))[chosen], kind="stable")][:FEATURES]
     slot = np.full(1 << BITS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-
-    def matrix(texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), len(chosen)), np.float32)
-        for start, part in _pieces(texts):
-            feature, owner = features(part, slot)
-            out[start + owner, feature] = 1
-        return out
-
-    p_rows, u_rows = matrix(positive), matrix(unlabelled)
-    rng, w, b = np.random.default_rng(seed), np.zeros(len(chosen), np.float32), -1.0
+    p_rows, u_rows = _Rows(positive, slot), _Rows(unlabelled, slot)
+    rng, w, b = np.random.default_rng(seed), np.zeros(len(chosen)), -1.0
     m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(ROUNDS):
         order = rng.permutation(len(u_rows))
         for a in range(0, len(order), BATCH):
-            xu = u_rows[order[a:a + BATCH]]
-            xp = p_rows[rng.integers(0, len(p_rows), BATCH // 2)]
-            zu, zp = xu @ w + b, xp @ w + b
-            su, sp = sigmoid(zu), sigmoid(zp)  # the loss l(z) = sigmoid(-z)
-            gu, gp = su * (1 - su) / len(zu), -prior * sp * (1 - sp) / len(zp)  # of the risk of negatives
-            if su.mean() - prior * sp.mean() < 0:
-                gu, gp = -gu, -gp
-            else:
-                gp = 2 * gp
-            grad, gb = xu.T @ gu + xp.T @ gp + 1e-4 * prior * w, gu.sum() + gp.sum()
+            picked = order[a:a + BATCH]
+            (fu, ou), (fp, op) = u_rows.take(picked), p_rows.take(rng.integers(0, len(p_rows), BATCH // 2))
+            zu, zp = (np.bincount(o, w[f], n) + b for f, o, n in ((fu, ou, len(picked)), (fp, op, BATCH // 2)))
+            gu, gp = risk_gradient(zu, zp, prior)
+            grad = np.bincount(fu, gu[ou], len(w)) + np.bincount(fp, gp[op], len(w)) + 1e-4 * prior * w
+            gb = gu.sum() + gp.sum()
             step += 1
             m, v = m + 0.1 * (grad - m), v + 0.01 * (grad * grad - v)
             mb, vb = mb + 0.1 * (gb - mb), vb + 0.01 * (gb * gb - vb)

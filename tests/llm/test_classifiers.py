@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rackpulse.llm import quality, toxicity
 from rackpulse.llm.training import MAX_BYTES
@@ -33,6 +34,44 @@ def test_toxicity_on_held_out_documents(held):
     assert auc(score, label) > 0.6 and predicted[label == 0].mean() < 0.05
 
 
+def test_toxicity_in_every_language(spark):
+    """Held-out documents of sf0.1: most toxic ones are found in each language, and hardly any other is."""
+    from tests.conftest import SF01 as small
+    sf = small.replace("sf0.01", "sf0.1")
+    labels, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
+    rows = toxicity.op5_toxicity(spark, sf).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    found = {r.lang: (r.recall, r.n, r.alarms) for r in rows.groupBy("lang").agg({"*": "count"}).join(rows.groupBy("lang").agg(
+        F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.sum("toxic").alias("n"),
+        F.sum(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("alarms")), "lang").collect()}
+    assert all(recall >= 0.55 for recall, _, _ in found.values()), found
+    assert sum(recall * n for recall, n, _ in found.values()) >= 0.8 * sum(n for _, n, _ in found.values()), found
+    assert sum(alarms for _, _, alarms in found.values()) <= 3, found
+
+
+def test_risk_gradient_is_that_of_the_plain_risk():
+    def loss(z):
+        return 1 / (1 + np.exp(z))
+
+    def parts(zu, zp, prior):
+        return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+    rng = np.random.default_rng(4)
+    for shift, prior in ((0.0, 0.2), (-3.0, 0.4), (2.0, 0.9)):
+        zu, zp = rng.normal(shift, 1, 7), rng.normal(1, 1, 5)
+        a, b = parts(zu, zp, prior)
+
+        def plain(zu, zp):
+            positive, negative = parts(zu, zp, prior)
+            return positive + negative if b >= 0 else -negative
+        for which, got in enumerate(toxicity.risk_gradient(zu, zp, prior)):
+            for i in range(len(got)):
+                up, down = [zu.copy(), zp.copy()], [zu.copy(), zp.copy()]
+                up[which][i] += 1e-6
+                down[which][i] -= 1e-6
+                assert abs((plain(*up) - plain(*down)) / 2e-6 - got[i]) < 1e-6
+    assert parts(rng.normal(-3, 1, 7), rng.normal(1, 1, 5), 0.4)[1] < 0
+
+
 def test_pu_learning_finds_what_unlabelled_texts_hide():
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))

@@ -34,11 +34,16 @@ from rackpulse.llm.common import table, worker_cache
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text that are taken at a time; words that a worker remembers; lengths in bytes that go together.
 CHUNK, MAX_WORDS, WIDTHS = 1 << 21, 1_000_000, (8, 12, 18, 28, 48)
+#: Words of more bytes are counted one by one.
+LONG = 512
 LIMIT = 2048
 END = "</w>"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Fixed values of the vocabulary's word pattern: these are words of their own where an apostrophe starts a word.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Letters of a later Unicode version that the tokenizer library knows.
+LATER_LETTERS = (0xA7CB, 0xA7DC, 0x13808, 0x1385C, 0x13988)
+LATER_LOWER = {0xA7CB: 0x264, 0xA7DC: 0x19B}
 _U = np.uint64
 _B, _K1, _K2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _NONE = np.iinfo(np.int64).max
@@ -57,6 +62,7 @@ def character_classes() -> np.ndarray:
     for c in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(c))[0]
         out[c] = SPACE if c in white else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+    out[list(LATER_LETTERS)] = LETTER
     return out
 
 
@@ -115,8 +121,12 @@ class PrefixCounter:
                     at, until = parts[at][side], parts[at][2]
                     ends[t].append((at, until))
         self.longest = max(map(len, raw.values()))
-        self.inner = self._slots({vocab[t]: b for t, b in raw.items() if not t.endswith(END)})
-        self.final = self._slots({vocab[t]: b for t, b in raw.items() if t.endswith(END)})
+        inner = {vocab[t]: b for t, b in raw.items() if not t.endswith(END)}
+        final = {vocab[t]: b for t, b in raw.items() if t.endswith(END)}
+        self.inner, self.final = self._slots(inner), self._slots(final)
+        # for long words, token by token: their bytes, and all bytes that some token ends with
+        self.inner_of, self.final_of = ({b: t for t, b in own.items()} for own in (inner, final))
+        self.tails = {b[i:] for b in raw.values() for i in range(len(b))}
         self.seen_keys, self.seen = np.zeros(1 << 20, _U), np.zeros(1 << 20, np.int8)
         self.verdicts: dict[int, bool] = {}
         self._forget()
@@ -187,15 +197,19 @@ class PrefixCounter:
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         order = sorted(range(len(words)), key=lambda i: len(coded[i]))
         flats, sizes, start = [self.flat], [self.size], 0
-        while start < len(order):  # words of like length together
+        short = sum(len(c) <= LONG for c in coded)
+        while start < short:  # words of like length together
             least, stop = len(coded[order[start]]), start
             width = next((w for w in WIDTHS if w >= least), least * 2)
-            while stop < len(order) and len(coded[order[stop]]) <= width and (stop - start) * width < 1 << 22:
+            while stop < short and len(coded[order[stop]]) <= width and (stop - start) * width < 1 << 22:
                 stop += 1
             flat, size = self._prefix_dp([coded[i] for i in order[start:stop]])
             flats.append(flat)
             sizes.append(size)
             start = stop
+        for i in order[short:]:
+            flats.append(self._long_prefix_dp(coded[i]))
+            sizes.append(np.array([len(flats[-1])]))
         n = len(self.size)
         self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
         self.first = np.cumsum(self.size) - self.size
@@ -243,6 +257,38 @@ class PrefixCounter:
         whole[np.arange(n), lengths - 1] = True
         return ended[1:].T[whole], whole.sum(1)
 
+    def _long_prefix_dp(self, word: bytes) -> np.ndarray:
+        """The same for one long word, byte by byte: only bytes that some token ends with are looked up."""
+        last, going = [-1], [0]
+        pairs: dict[int, bool] = {}
+        counts = []
+        for end in range(1, len(word) + 1):
+            inner, final, size = [], [], 1
+            while size <= end and (tail := word[end - size:end]) in self.tails:
+                if (t := self.inner_of.get(tail)) is not None:
+                    inner.append((size, t))
+                if (t := self.final_of.get(tail)) is not None:
+                    final.append((size, t))
+                size += 1
+            ends = end == len(word) or word[end] & 0xC0 != 0x80  # where a character ends
+            for tokens, is_final in ((inner, False), (final if ends else (), True)):
+                found = -1, 0
+                for size, t in reversed(tokens):
+                    before = last[end - size]
+                    if end > size:
+                        ok = pairs.get(before << 32 | t)
+                        if ok is None:
+                            ok = pairs[before << 32 | t] = self.may_follow(before, t) if before >= 0 else False
+                    if end == size or ok:
+                        found = t, going[end - size] + 1
+                        break
+                if is_final:
+                    counts += [found[1]] if ends else []
+                else:
+                    last.append(found[0])
+                    going.append(found[1])
+        return np.array(counts, np.int32)
+
     # ---- texts
 
     def pieces(self, text: str) -> list[tuple[str, int]]:
@@ -259,7 +305,8 @@ class PrefixCounter:
     def normal(text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        return text if text.isascii() else text.translate(LATER_LOWER)
 
     def prefix_counts(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Per text the token counts of its prefixes of 0, 1, 2, ... characters."""

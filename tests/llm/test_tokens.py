@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +40,25 @@ def test_random_texts(counter, library):
     assert [int(c[-1]) for c in counter.prefix_counts(texts)] == library(texts)
 
 
+LONG_WORDS = {"letters": "abcdefghijklmnopqrstuvwxyz", "dna": "acgt", "one": "a", "marks": "!?", "han": "漢字中国語学校日本人", "cyrillic": "абвгдежз"}
+
+
+@pytest.mark.parametrize("letters", LONG_WORDS.values(), ids=LONG_WORDS)
+def test_long_words(counter, library, letters):
+    rng = random.Random(3)
+    text = "".join(rng.choice(letters) for _ in range(40_000))
+    began = time.time()
+    assert int(next(iter(counter.prefix_counts([text])))[-1]) == library([text])[0]
+    assert time.time() - began < 20
+    part = text[:700]
+    assert next(iter(counter.prefix_counts([part]))).tolist() == library([part[:k] for k in range(len(part) + 1)])
+
+
+def test_letters_of_a_later_unicode_version(counter, library):
+    texts = [t for c in map(chr, tokens.LATER_LETTERS) for t in (c, f"a{c}b", f"{c}!", f"!{c}1", f"1{c}{c} x")]
+    assert [int(c[-1]) for c in counter.prefix_counts(texts)] == library(texts)
+
+
 def test_chunks_and_forgetting_change_nothing(counter, library, monkeypatch):
     texts = [prose(i, 60) + " ünd thereof" for i in range(60)]
     monkeypatch.setattr(tokens, "CHUNK", 300)

@@ -8,7 +8,8 @@ is large enough for it; no true pair is lost. Candidates are then verified by th
 themselves, over the whole document.
 
 Words are runs without ASCII white space of the lower-cased text, shingles are five words; a text of fewer words is one
-shingle as a whole.
+shingle as a whole. Where items of one to four words occur, documents also give their runs of so many words (of those sizes that
+occur, no others), so a short item is found wherever its words stand one after another.
 
 Defined cases: texts that are null, empty or white space have no shingles and are in no pair; item rows that repeat id and
 text count once, rows that share only the id are items of their own; document rows that repeat id and text give their pairs
@@ -18,6 +19,8 @@ item_id are ignored (and kept, by ``decontaminate``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +34,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _windows(text: Column, made, k: int = K) -> Column:
-    """Distinct values of ``made(word, next word, ...)`` over the runs of k words; fewer words make one, none no value."""
-    return let(words(text), lambda w: _of_words(w, made, k))
+def _windows(text: Column, made, sizes: Sequence[int], k: int = K) -> Column:
+    """Distinct values of ``made(word, next word, ...)`` over the runs of k words; fewer words make one, none no value. Beside
+    them ``made(run)`` of the runs of each of ``sizes`` words."""
+    return let(words(text), lambda w: _of_words(w, made, sizes, k))
+
 
+def _of_words(w: Column, made, sizes: Sequence[int], k: int) -> Column:
+    def runs(n, value):
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))),
+                           lambda x, i: value(x, *[F.get(w, i + j) for j in range(1, n)]))
 
-def _of_words(w: Column, made, k: int) -> Column:
-    each = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))),
-                       lambda x, i: made(x, *[F.get(w, i + j) for j in range(1, k)]))
+    each = runs(k, made)
     few = F.when(F.size(w) > 0, F.array(made(F.array_join(w, " ")))).otherwise(F.filter(each, lambda x: F.lit(False)))
-    return F.array_distinct(F.when(F.size(w) >= k, each).otherwise(few))
+    whole = F.when(F.size(w) >= k, each).otherwise(few)
+    return F.array_distinct(F.concat(whole, *[runs(n, lambda *x: made(F.concat_ws(" ", *x))) for n in sizes]) if sizes else whole)
+
 
+def shingle_hashes(text: Column, sizes: Sequence[int] = ()) -> Column:
+    return _windows(text, F.xxhash64, sizes)
 
-def shingle_hashes(text: Column) -> Column:
-    return _windows(text, F.xxhash64)
 
+def shingle_texts(text: Column, sizes: Sequence[int] = ()) -> Column:
+    return _windows(text, lambda *x: F.concat_ws(" ", *x), sizes)
 
-def shingle_texts(text: Column) -> Column:
-    return _windows(text, lambda *x: F.concat_ws(" ", *x))
+
+def short_sizes(items: DataFrame) -> list[int]:
+    """The numbers of words below a shingle's that items have: four at most."""
+    n = items.select(F.size(words(F.col("text"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < K)).distinct()
+    return sorted(r.n for r in n.collect())
 
 
 def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -62,11 +76,11 @@ def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFra
                        F.explode(F.slice("item_hashes", F.lit(1), needed)).alias("h"))
 
 
-def candidates(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, sizes: Sequence[int] = ()) -> DataFrame:
     """(doc_id, doc_key, item_id, item_key): documents that hold a hash of an item's sketch and are large enough."""
     sketch = item_sketches(items, containment)
     held = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"),
-                       shingle_hashes(F.col("text")).alias("hashes"))
+                       shingle_hashes(F.col("text"), sizes).alias("hashes"))
     held = held.select("doc_id", "doc_key", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     return (held.join(sketch, "h").where(F.col("n") >= F.col("least"))
             .select("doc_id", "doc_key", "item_id", "item_key").distinct())
@@ -74,13 +88,14 @@ def candidates(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
 
 def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, doc_key, item_id, n_item, n_shared, containment) of every pair at or above ``containment``."""
-    pairs = store(candidates(docs, items, containment), "leak-candidates")
+    sizes = short_sizes(items)
+    pairs = store(candidates(docs, items, containment, sizes), "leak-candidates")
     met = store(pairs.select("doc_id", "doc_key").distinct(), "leak-documents")
     d = met.select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key"))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"))
     whole = (keyed.join(d, (F.col("doc_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
              .dropDuplicates(["doc_id", "doc_key"])
-             .select("doc_key", "doc_id", shingle_texts(F.col("text")).alias("shingles")))
+             .select("doc_key", "doc_id", shingle_texts(F.col("text"), sizes).alias("shingles")))
     own = items.select(F.xxhash64("item_id", "text").alias("item_key"),
                        shingle_texts(F.col("text")).alias("item_shingles")).dropDuplicates(["item_key"])
     p = pairs.select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), "item_id", "item_key")
@@ -106,18 +121,32 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
         "doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
+def words_sql(source: str, key: str) -> str:
+    """DuckDB: (key, w), the words of ``source``, a table of (key, text)."""
+    return f"""SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'),
+                                         lambda x: x <> '') AS w FROM {source}"""
+
+
+def runs_sql(n: int) -> str:
+    return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
 def shingles_sql(source: str, key: str) -> str:
-    """DuckDB: (key, s) of the distinct shingles of ``source``, a table of (key, text)."""
-    return f"""SELECT DISTINCT k AS {key}, unnest(CASE WHEN len(w) >= {K}
-        THEN list_transform(range(1, len(w) - {K - 2}), lambda i: array_to_string(w[i:i + {K - 1}], ' '))
-        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-    FROM (SELECT {key} AS k, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'),
-                                         lambda x: x <> '') AS w FROM {source})"""
+    """DuckDB: (key, s), the distinct shingles of ``source``, a table of (key, w)."""
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {K} THEN {runs_sql(K)}
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM {source}"""
+
+
+def short_runs_sql(source: str, key: str, items: str) -> str:
+    """DuckDB: (key, s), the runs of so many words as an item of fewer than a shingle's has."""
+    return " UNION ".join(f"""SELECT {key}, unnest({runs_sql(n)}) AS s FROM {source}
+        WHERE len(w) >= {n} AND EXISTS (SELECT 1 FROM {items} i WHERE len(i.w) = {n})""" for n in range(1, K))
 
 
 ORACLE_SQL = f"""
-WITH d AS ({shingles_sql('documents', 'doc_id')}),
-q AS ({shingles_sql('benchmark', 'item_id')}),
+WITH dw AS ({words_sql('documents', 'doc_id')}), qw AS ({words_sql('benchmark', 'item_id')}),
+d AS ({shingles_sql('dw', 'doc_id')} UNION {short_runs_sql('dw', 'doc_id', 'qw')}),
+q AS ({shingles_sql('qw', 'item_id')}),
 n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN q USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment

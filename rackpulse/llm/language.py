@@ -12,8 +12,7 @@ Training is bounded: whole rows, in the order of their ids' digests, up to ``BUD
 the held-out fold are never learned from.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; without training rows all texts are; letters
-that no language's sample has are phrases of their own; beyond ``SYMBOLS`` different letters the rarer ones count as
-one; rows with a null id are never learned from and count as not held out; each row is scored by its text alone, so repeated rows
+that no language's sample has are phrases of their own; rows with a null id are never learned from and count as not held out; each row is scored by its text alone, so repeated rows
 agree; an empty table gives an empty result.
 """
 
@@ -35,7 +34,8 @@ from rackpulse.llm.common import free_name, pieces, shared_state, store, table,
 from rackpulse.llm.training import MAX_BYTES, held_out, remainder
 
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
-#: Letters of training text over all languages, rows looked at per language, different letters, letters of a segment.
+#: Letters of training text over all languages, rows looked at per language, letters of a segment; and the number of frequent
+#: letters whose transitions lie in a table (those of the rarer ones are searched for: there is no bound on the alphabet).
 BUDGET, ROWS, SYMBOLS, SEGMENT = 160_000, 80, 250, 256
 _CHUNK = 1 << 22
 
@@ -82,14 +82,14 @@ class LanguageModel:
         self.names = sorted(samples)
         seen = Counter("".join(samples.values()))
         ranked = sorted((c for c in seen if c != " "), key=lambda c: (-seen[c], c))
-        self.symbol = {" ": 0} | {c: 1 + min(i, SYMBOLS - 1) for i, c in enumerate(ranked)}
-        self.width = 2 + min(len(ranked), SYMBOLS)  # the last symbol: letters that no sample has
+        self.symbol = {" ": 0} | {c: 1 + i for i, c in enumerate(ranked)}
+        self.unknown = 1 + len(ranked)  # letters that no sample has
+        self.dense = 1 + min(len(ranked), SYMBOLS)
         self.edges, self.states, self.bits = [], [], []
         for name in self.names:
-            # letters that share a symbol are one letter to the automaton too
-            text = "".join(chr(self.symbol[c]) for c in samples[name])
+            text = samples[name]
             steps = suffix_automaton(text)
-            self.edges.append(np.array([(s + 1, ord(c), t + 1) for s, own in enumerate(steps) for c, t in own.items()],
+            self.edges.append(np.array([(s + 1, self.symbol[c], t + 1) for s, own in enumerate(steps) for c, t in own.items()],
                                        np.int32).reshape(-1, 3))
             self.states.append(len(steps) + 1)
             self.bits.append(float(np.log2(max(2, len(text)))))
@@ -98,16 +98,22 @@ class LanguageModel:
 
 class Parser:
     def __init__(self, model: LanguageModel) -> None:
-        self.model, self.tables = model, []
+        self.model, self.tables, self.rare = model, [], []
         for edges, states in zip(model.edges, model.states, strict=True):
-            t = np.zeros(states * model.width, np.int32)
-            t[edges[:, 0] * model.width + edges[:, 1]] = edges[:, 2]
-            self.tables.append(t)
-        self.code = np.zeros(sys.maxunicode + 1, np.uint8)
+            often = edges[:, 1] < model.dense
+            t = np.zeros(states * model.dense, np.int32)
+            t[edges[often, 0] * model.dense + edges[often, 1]] = edges[often, 2]
+            begin = np.zeros(model.unknown + 1, np.int32)
+            begin[edges[edges[:, 0] == 1, 1]] = edges[edges[:, 0] == 1, 2]
+            self.tables.append((t, begin))
+            key = edges[~often, 0].astype(np.int64) * (model.unknown + 1) + edges[~often, 1]
+            order = np.argsort(key)
+            self.rare.append((np.append(key[order], np.iinfo(np.int64).max), np.append(edges[~often, 2][order], 0)))
+        self.code = np.zeros(sys.maxunicode + 1, np.int32)
         for c in range(sys.maxunicode + 1):
             if unicodedata.category(chr(c))[0] == "L":
                 low = chr(c).lower()
-                self.code[c] = model.symbol.get(low[0], model.width - 1)
+                self.code[c] = model.symbol.get(low[0], model.unknown)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, and how many each has; nothing for a text without letters."""
@@ -136,20 +142,30 @@ class Parser:
         start, size, owner = start[order], size[order], owner[order]
         lanes = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")  # segments that long
         out = np.zeros((len(texts), len(self.tables)), np.int64)
-        width = np.int32(self.model.width)
-        columns = [data[start[:n] + t].astype(np.int32) for t, n in enumerate(lanes.tolist()) if n]
-        for k, steps in enumerate(self.tables):
-            begin = steps[width:2 * width]
+        dense = np.int32(self.model.dense)
+        columns = [data[start[:n] + t] for t, n in enumerate(lanes.tolist()) if n]
+        rare = [np.flatnonzero(c >= dense) for c in columns]
+        for k, (steps, begin) in enumerate(self.tables):
             state, found = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
-            for column in columns:
+            for column, seldom in zip(columns, rare, strict=True):
                 n = len(column)
-                to = steps[state[:n] * width + column]
+                if len(seldom):
+                    to = steps[state[:n] * dense + np.minimum(column, dense - 1)]
+                    to[seldom] = self._seldom(k, state[seldom], column[seldom])
+                else:
+                    to = steps[state[:n] * dense + column]
                 new = to == 0
                 found[:n] += new
                 state[:n] = np.where(new, begin[column], to)
             out[:, k] = np.bincount(owner, found, len(texts)).astype(np.int64)
         return out, count
 
+    def _seldom(self, k: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        keys, to = self.rare[k]
+        key = state.astype(np.int64) * (self.model.unknown + 1) + symbol
+        at = np.searchsorted(keys, key)
+        return np.where(keys[at] == key, to[at], 0)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores, held, size = [], [], [], 0
         for t in [*texts, None]:

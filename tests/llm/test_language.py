@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -36,6 +37,29 @@ def test_phrases_are_longest_matches(parser):
         assert got[i].tolist() == [phrases_by_hand(t, SAMPLES[name]) for name in parser.model.names], t
 
 
+def test_large_alphabets_are_told_apart(monkeypatch):
+    """Two languages of words over the same 3,000 characters: only the characters' order tells."""
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    words = [["".join(rng.choice(letters) for _ in range(2)) for _ in range(2500)] for _ in range(2)]
+    text = lambda own, n: " ".join(rng.choice(own) for _ in range(n))
+    samples = {name: text(own, 12_000) for name, own in zip(("aa", "bb"), words, strict=True)}
+    parser = language.Parser(language.LanguageModel(samples))
+    tests = [(name, text(own, 10)) for name, own in zip(samples, words, strict=True) for _ in range(100)]
+    got, _ = parser.predict([t for _, t in tests])
+    assert sum(g == name for g, (name, _) in zip(got, tests, strict=True)) >= 196
+    found, _ = parser.phrases([t for _, t in tests[:5]])
+    assert found.tolist() == [[phrases_by_hand(t, samples[n]) for n in ("aa", "bb")] for _, t in tests[:5]]
+
+
+def test_very_long_texts_and_ties(parser):
+    long = ("the quick brown fox " * 30_000) + " der"
+    names, scores = parser.predict([long, "the quick brown fox " * 5, long])
+    assert names == ["en"] * 3 and scores[0] == scores[2]
+    same = language.Parser(language.LanguageModel({n: SAMPLES["en"] for n in ("zz", "mm", "nn")}))
+    assert same.predict(["the dog", "qqq"])[0] == ["mm", "mm"]  # equal evidence: the smallest name
+
+
 def test_predictions(parser):
     names, scores = parser.predict(["the other dog", "der andere hund", "123 !?", ""])
     assert names == ["en", "de", "und", "und"] and scores[2:].tolist() == [0.0, 0.0] and min(scores[:2]) > 0.5

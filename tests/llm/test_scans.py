@@ -130,6 +130,30 @@ def test_decontamination_equals_all_pairs(spark):
     assert decontam.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    items = [(1, "Zebra"), (2, "pink Zebra"), (3, "one two three four"), (4, "zebra crossing ahead"), (5, prose(3, 30))]
+    rows = [(1, f"{prose(4, 200)} zebra {prose(5, 200)}"), (2, f"{prose(6, 50)} a PINK  zebra"), (3, "two three four one two three"),
+            (4, f"one two three\nfour {prose(7, 40)}"), (5, "pink"), (6, "zebra"), (7, "pink zebra crossing ahead"), (8, prose(3, 30)),
+            (9, f"{prose(8, 9)} zebra-pink zebras"), (10, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontam.contaminated(documents(spark, rows), bench).collect()}
+    want = set()
+    for d, t in rows:
+        w = lower_az(t or "").split()
+        for i, q in items:
+            p = lower_az(q).split()
+            if len(p) < 5 and any(w[j:j + len(p)] == p for j in range(len(w) - len(p) + 1)):
+                want.add((d, i, 1, 1))
+    assert got == want | {(8, 5, 26, 26)} and len(want) == 8
+    import duckdb
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    assert {tuple(r[:4]) for r in con.execute(decontam.ORACLE_SQL).fetchall()} == got
+
+
 def best_by_hand(rows, k=20, every=20):
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows
           if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]

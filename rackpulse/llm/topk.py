@@ -76,6 +76,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
     dims = len(columns)
     starts = list(range(0, dims, DIMS))
     mass = np.add.reduceat(columns * columns, starts)  # per block of dimensions and candidate
+    # and what all other blocks hold; rests are added up, never taken off a sum, so that a small one is exact
+    others = np.stack([mass[:i].sum(0) + mass[i + 1:].sum(0) for i in range(len(starts))])
     for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
         q_mass = np.add.reduceat(q * q, starts)
         order = np.argsort(-q_mass, kind="stable")
@@ -85,10 +87,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
             alive, score = np.delete(alive, out), score[:-1]
         if not len(alive):
             continue
-        # what is left after each block, added up from the last one: a small rest is never the difference of large sums
-        rest = np.zeros((len(order) + 1, len(alive)))
-        np.cumsum(mass[order[::-1]][:, alive], axis=0, out=rest[1:])
-        q_rest, floor = np.concatenate([[0.0], np.cumsum(q_mass[order[::-1]])]), -np.inf
+        rest, floor = None, -np.inf
+        q_rest = np.concatenate([[0.0], np.cumsum(q_mass[order[::-1]])])  # from the last block
         if len(alive) > k:  # exact scores of those that look best after the first block set the bar
             first = order[0] * DIMS
             rough = q[first:first + DIMS] @ columns[first:first + DIMS, alive]
@@ -99,9 +99,18 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
             whole = len(alive) == columns.shape[1]
             score = score + q[at] @ (columns[at] if whole else columns[at, alive])
             if len(alive) > k:  # the bound is rounded up by more than rounding can take off
-                bound = score + np.sqrt(rest[-1 - step]) * np.sqrt(q_rest[-1 - step]) * (1 + 1e-9) + 1e-6
-                keep = bound >= floor
-                alive, score, rest = alive[keep], score[keep], rest[:, keep]
+                if step == 1:
+                    left = others[block] if whole else others[block, alive]
+                else:
+                    left = rest[-step]
+                bound = score + np.sqrt(left) * (np.sqrt(q_rest[-1 - step]) * (1 + 1e-9)) + 1e-6
+                keep = np.flatnonzero(bound >= floor)
+                alive, score = alive[keep], score[keep]
+                if step == 1:  # of the survivors, what is left after each further block
+                    rest = np.zeros((len(order), len(alive)))
+                    np.cumsum(mass[order[:0:-1]][:, alive], axis=0, out=rest[1:])
+                else:
+                    rest = rest[:, keep]
         best = np.lexsort((alive, -score))[:k]
         yield number, ids[alive[best]], score[best].astype(np.int64)
 

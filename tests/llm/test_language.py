@@ -65,6 +65,15 @@ def test_predictions(parser):
     assert names == ["en", "de", "und", "und"] and scores[2:].tolist() == [0.0, 0.0] and min(scores[:2]) > 0.5
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    rng = random.Random(8)
+    foreign = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60))
+    rows = [(1, SAMPLES["en"]), (2, SAMPLES["de"]), (3, foreign), (4, "漢字" * 40), (5, "xqzt"), (6, "12 !"), (7, None), (8, foreign + SAMPLES["en"])]
+    docs = documents(spark, rows)
+    kept = language.in_a_language(docs, language.LanguageModel(SAMPLES))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5, 8}
+
+
 def test_training_leaves_out_the_held_out_fold(spark):
     rows = [(i, SAMPLES["en" if i % 2 else "de"], "en" if i % 2 else "de") for i in range(30)]
     rows += [(i, "xyzzy " * 50, "held") for i in range(30, 200) if zlib.crc32(str(i).encode()) % 3 == 1]

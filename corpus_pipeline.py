@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder and reads it
 back as the next stage's documents. All stages but the last return the columns of documents.
+
+Defined cases: a null or empty text scores as one for quality and goes with the texts without letters; rows that repeat id and text
+are judged alike and stay once after the near duplicates; of equal texts the smallest id stays (null last); very long texts are read
+whole by every stage; an empty table gives an empty mixture; further columns stay through all stages but the last, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,11 +26,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without letters are rejected."""
-    model = language.train(table(spark, sf_dir, "documents"))
-    name, score = free_name(docs, "predicted_language"), free_name(docs, "language_score")
-    found = language.with_language(docs, model, name, score)
-    return found.where(F.col(name) != language.UNKNOWN).drop(name, score)
+    """Documents in one of the learned languages: those without letters are rejected, and those that take as many bits per letter
+    in every language as foreign text does."""
+    return language.in_a_language(docs, language.train(table(spark, sf_dir, "documents")))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ the smaller name. Text is taken as lower-case letters, all between them as one s
 Texts are cut into segments of ``SEGMENT`` letters that are parsed side by side by numpy (a segment begins a new phrase,
 for every language alike), so a text of any length is read whole and in bounded memory.
 
-Training is bounded: whole rows, in the order of their ids' digests, up to ``BUDGET`` letters over all languages. Rows of
-the held-out fold are never learned from.
+Training is bounded: rows (of texts over ``training.MAX_BYTES`` characters a window), in the order of their ids' digests, up to
+``BUDGET`` letters over all languages. Rows of the held-out fold are never learned from.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; without training rows all texts are; letters
 that no language's sample has are phrases of their own; rows with a null id are never learned from and count as not held out; each row is scored by its text alone, so repeated rows
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackpulse.llm.common import free_name, pieces, shared_state, store, table, worker_cache
-from rackpulse.llm.training import MAX_BYTES, held_out, remainder
+from rackpulse.llm.training import MAX_BYTES, held_out, remainder, window_start
 
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
 #: Letters of training text over all languages, rows looked at per language, letters of a segment; and the number of frequent
@@ -206,20 +206,22 @@ class Parser:
 def train(docs: DataFrame, budget: int = BUDGET, rows: int = ROWS, max_bytes: int = MAX_BYTES) -> LanguageModel | None:
     """A model of the languages of the rows outside the held-out fold."""
     own = docs.select("doc_id", "lang", "text")
-    usable = own.where(F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT) & (F.octet_length("text") <= max_bytes))
+    usable = own.where(F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT) & (F.octet_length("text") > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     picked = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
     picked = store(picked.drop("place"), "language-sample")
     found = own.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select(
-        "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").toArrow().to_pylist()
+        "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring(
+            "text", window_start(F.length("text"), max_bytes) + 1, F.lit(max_bytes)).alias("text")).toArrow().to_pylist()
     by_name: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["text"] or "")):
         by_name.setdefault(r["lang"], []).append(plain(r["text"] or ""))
     samples = {}
     for name, texts in by_name.items():
-        text = ""
+        text, share = "", max(1, budget // len(by_name))
         for t in texts:
-            if text and len(text) + len(t) > budget // len(by_name):
+            t = t if text else t[:share]
+            if text and len(text) + len(t) > share:
                 continue
             text = f"{text} {t}" if text else t
         if text.strip():

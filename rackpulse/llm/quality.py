@@ -4,7 +4,7 @@ Learned filters look at every window of ``WIDTH`` bytes of a text. The text is c
 apart); in each, a filter's largest answer is kept. A chunk's answers go through a hidden layer, and the mean and the
 maximum over all chunks are combined into one probability. Scoring reads whole texts of any length in pieces.
 
-Training is bounded: at most ``SAMPLE`` labelled rows per label with texts of up to ``training.MAX_BYTES`` bytes, at most
+Training is bounded: at most ``SAMPLE`` labelled rows per label (of longer texts ``training.MAX_BYTES`` bytes), at most
 ``CHUNKS`` chunks of each per round, chosen anew each time; seeds are fixed, so reruns agree. Rows of the held-out fold are
 never learned from.
 

@@ -7,7 +7,7 @@ unlabelled toxic documents. Features are letter n-grams (``GRAM`` bytes of the l
 has once, or at least so often as a level of ``LEVELS`` says (a word stem that any text may have once can tell by its
 repetition); those that are clearly more frequent in confirmed documents than in unlabelled ones; f is linear in which a text has.
 
-Training is bounded: ``POSITIVE`` toxic and ``UNLABELLED`` other rows with texts of up to ``training.MAX_BYTES`` bytes. All n-grams
+Training is bounded: ``POSITIVE`` toxic and ``UNLABELLED`` other rows, of longer texts ``training.MAX_BYTES`` bytes. All n-grams
 that pass the tests are features. Scoring reads whole texts.
 
 Defined cases: null and empty texts have no n-gram and get the score of the intercept; rows with a null id are never

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text (bytes) of a training row; every text is scored whole, whatever its length.
+#: Bytes of a training row's text that are learned from: a longer text gives a window of so many, at a place that its id decides.
+#: Every text is scored whole, whatever its length.
 MAX_BYTES = 20_000
 
 
@@ -24,10 +25,15 @@ def sample_ids(rows: DataFrame, size: int) -> DataFrame:
         F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(size)
 
 
+def window_start(length, size: int):
+    """Where the window of ``size`` of a text of ``length`` starts, from 0."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.greatest(length - size + 1, F.lit(1)).cast("long")).cast("int")
+
+
 def sample_texts(docs: DataFrame, ids: DataFrame, max_bytes: int = MAX_BYTES) -> list[bytes]:
-    """The texts of the sampled ids, in the order of id and text. ``ids`` is bounded, so it is broadcast."""
-    found = (docs.join(F.broadcast(ids), "doc_id", "left_semi")
-             .select("doc_id", F.col("text").cast("binary").alias("text"))
-             .where(F.octet_length("text") <= max_bytes).toArrow())
+    """The texts (of long ones a window) of the sampled ids, in the order of id and text. ``ids`` is bounded, so it is broadcast."""
+    text = F.col("text").cast("binary")
+    cut = F.substring(text, window_start(F.octet_length("text"), max_bytes) + 1, F.lit(max_bytes))
+    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", cut.alias("text")).toArrow()
     rows = zip(found.column("doc_id").to_pylist(), found.column("text").to_pylist(), strict=True)
-    return [t for _, t in sorted(rows, key=lambda r: (r[0], r[1])) if t]
+    return [t for _, t in sorted(rows, key=lambda r: (r[0], r[1] or b"")) if t]

@@ -131,3 +131,17 @@ def test_odd_rows(spark, module):
     nothing = module.train(docs, labels.limit(0))
     again = (module.with_scores if module is quality else module.with_toxicity)(docs, nothing).collect()
     assert {r.score for r in again} == ({0.5} if module is quality else {0.0})
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_long_training_texts_are_learned_from(spark, module):
+    """Labelled texts that are all longer than what is learned from of one text still make a model: its scores differ (before, all
+    were the same for want of a training row), and the toxic words are found."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, ("good plain words stand here " if i % 2 else "rough lines && tokens ## fall ") * 1000) for i in range(60)]
+    docs = documents(spark, rows)
+    model = module.train(docs, labels)
+    found = (module.with_scores if module is quality else module.with_toxicity)(docs, model, "score").collect()
+    scores = {k: [r.score for r in found if r.doc_id % 2 == k] for k in (0, 1)}
+    assert not set(scores[0]) & set(scores[1])
+    assert module is quality or min(scores[1]) > max(scores[0])

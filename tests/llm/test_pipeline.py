@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rackpulse.llm import decontam, language, near, quality, registry
@@ -14,7 +15,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language identification", "near duplicates",
                                                       "benchmark decontamination", "source mixture"]
-    assert len(registry.QUERIES) == 11 and set(registry.ORACLE_SQL) < set(registry.QUERIES)
+    assert len(registry.QUERIES) == 14 and set(registry.ORACLE_SQL) < set(registry.QUERIES)
 
 
 def test_pipeline_equals_a_plain_version(spark):
@@ -29,7 +30,9 @@ def test_pipeline_equals_a_plain_version(spark):
             want = {i for i, t in rows.items() if net.scores([(t or "").encode()])[0] >= quality.THRESHOLD - 1e-6}
             assert got <= want and len(want) - len(got) <= 1
         elif name == "language identification":
-            assert got == {i for i, t in rows.items() if language.plain(t or "")}
+            parser = language.Parser(language.train(spark.read.parquet(f"{SF001}/documents.parquet")))
+            foreign = {i for i, t in rows.items() if parser.measure([t or ""])[2][0] > language.MOST_BITS}
+            assert got == {i for i, t in rows.items() if language.plain(t or "")} - foreign
         elif name == "near duplicates":
             ids = sorted(rows)
             found = components([rows[i] for i in ids])
@@ -71,6 +74,24 @@ def test_odd_documents_go_through_all_stages(spark):
         assert stage(spark, empty, SF001).count() == 0
 
 
+def test_repeated_rows_ties_and_clashing_columns_go_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    one = docs.where("lang = 'en' and length(text) between 600 and 3000").orderBy("doc_id").limit(3)
+    foreign = spark.createDataFrame([(900009, "qxzvkj wqpfxz " * 30, "en", "src0", 420)], docs.schema)
+    more = docs.unionByName(one).unionByName(one.selectExpr("doc_id + 800000 doc_id", "text", "lang", "source", "n_chars")).unionByName(foreign)
+    for clash in ("score", "quality_score", "predicted_language", "language_bits", "root", "n", "h", "item_id"):
+        more = more.withColumn(clash, F.lit(clash))
+    columns, kept = more.columns, more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF001)
+        assert kept.columns == columns, name
+        if name == "language identification":
+            assert kept.where("doc_id = 900009").isEmpty()
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and not any(800000 <= i < 900000 for i in ids) and len(ids) > 50
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF001).count() == len(ids)
+
+
 def test_near_module_keeps_documents_columns(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(5)
     assert near.keep_one(docs).schema == docs.schema

@@ -34,20 +34,20 @@ def rack_month_pivot(cat: Catalog, as_of: str, months=PIVOT_MONTHS, status: int
     place = F.coalesce(*[F.when(F.col("m") == mo, F.lit(i)) for i, mo in enumerate(months)])
     buyers = (o.select("machine_id", "user_id", "payday").join(cal.select("payday", bit(place).alias("_month")), "payday")
               .where(F.col("user_id").isNotNull()).groupBy("machine_id", "user_id").agg(F.bit_or("_month").alias("_months")))
-    buyers = buyers.groupBy(F.col("machine_id").alias("_rack")).agg(
-        *[F.count(F.when(has_bit(F.col("_months"), F.lit(i)), F.lit(1))).alias(f"user_qyt{mo}") for i, mo in enumerate(months)])
+    # amounts per day and bit sets per buyer meet in the last roll-up, both combined map-side
+    rows = days.drop("payday").unionByName(buyers.drop("user_id"), allowMissingColumns=True)
     aggs = []
-    for mo in months:
+    for i, mo in enumerate(months):
         hit = F.col("m") == mo
         aggs += [F.sum(F.when(hit, F.col("order_qyt")).otherwise(0)).alias(f"order_qyt{mo}"),
+                 F.count(F.when(has_bit(F.col("_months"), F.lit(i)), F.lit(1))).alias(f"user_qyt{mo}"),
                  F.sum(F.when(hit, F.col("ori")).otherwise(0)).alias(f"ori{mo}"),
                  F.sum(F.when(hit, F.col("act")).otherwise(0)).alias(f"act{mo}")]
-    g = days.groupBy("machine_id").agg(*aggs)
-    g = g.join(buyers, F.col("machine_id").eqNullSafe(F.col("_rack")), "left")
+    g = rows.groupBy("machine_id").agg(*aggs)
     cols = ["machine_id"]
     for mo in months:
-        cols += [f"order_qyt{mo}", F.coalesce(f"user_qyt{mo}", F.lit(0).cast("long")).alias(f"user_qyt{mo}"),
-                 money(f"ori{mo}").alias(f"ori{mo}"), money(f"act{mo}").alias(f"act{mo}")]
+        cols += [f"order_qyt{mo}", f"user_qyt{mo}", money(f"ori{mo}").alias(f"ori{mo}"),
+                 money(f"act{mo}").alias(f"act{mo}")]
     return g.select(*cols)
 
 

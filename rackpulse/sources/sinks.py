@@ -70,14 +70,19 @@ def publish(df: DataFrame, name: str, root: str | None = None, partition_by: str
     base = f"{(root or shared_dir(spark)).rstrip('/')}/{name}"
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     fs, _ = _fs(spark, base)
-    before = sorted((s.getModificationTime(), s.getPath().toString()) for s in _children(spark, fs, base))
+    before = sorted((s.getModificationTime(), s.getPath().toString()) for s in _children(spark, fs, base)
+                    if fs.exists(_path(spark, f"{s.getPath().toString()}/_SUCCESS")))  # complete ones
     path = f"{base}/v-{uuid.uuid4().hex[:12]}"
     writer = (balanced(df, keys) if keys else df).write
-    (writer.partitionBy(*keys) if keys else writer).parquet(path)
+    try:
+        (writer.partitionBy(*keys) if keys else writer).parquet(path)
+    except BaseException:
+        fs.delete(_path(spark, path), True)
+        raise
     # partition keys read back as other types are cast, so the view has the types that were written
     columns = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in df.schema.fields)
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM parquet.`{path}`")
-    for _, old in before[:len(before) - keep + 1] if keep > 1 else before:
+    for _, old in before[:max(0, len(before) - keep + 1)]:
         fs.delete(_path(spark, old), True)
     return path
 

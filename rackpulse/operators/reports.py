@@ -146,6 +146,9 @@ def order_detail(cat: Catalog, as_of: str, names, status: int = PAID) -> DataFra
         m = m.where(F.col("machine_name").isin(list(names)))
     m = m.select("machine_id", "machine_name", "customer_id")
     a = m.join(headcount_detail(cat, as_of), "customer_id").select("machine_id", "machine_name", "total_people")
+    if not isinstance(names, DataFrame):
+        # the racks of a list are few, which the planner can't tell: it would shuffle all order lines by rack to find out
+        a = F.broadcast(a)
     i = snapshot(cat.table("order_item"), as_of)
     o = paid_orders(cat, as_of, status).select("order_id", "origin_amount")
     j = i.join(a, "machine_id").join(o, "order_id")

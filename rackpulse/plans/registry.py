@@ -10,7 +10,7 @@ from rackpulse.operators import companies, inventory, marketing, racks, reports,
 from rackpulse.plans import kept
 from rackpulse.sources.catalog import Catalog
 from rackpulse.sources.fixtures import AS_OF, EARLIER, fixture_catalog
-from rackpulse.sources.storage import by_order
+from rackpulse.sources.storage import by_order, buckets_for
 
 # ---- fixed values: report parameters on the test tables ----
 SINCE = "1994-12-31 00:00:00"          # strict lower pay-time bound of the 'since' reports: the day before the first
@@ -30,11 +30,16 @@ SECOND_YEAR = 1996                     # year whose weeks the index form of the
 ONE_YEAR = 1997                        # year of the one-year cumulative buyers
 MORE_DAYS, MORE_TYPE = tuple(f"199706{d:02d}" for d in range(1, 6)), 10   # a longer day list, the common rack type
 VIEW_PERIOD = "yyyy-MM-dd"             # events cover one month: cumulate viewers per day
-BUCKETS = 8                            # buckets of the facts stored by order
+BUCKETS = 8                            # least buckets of the facts stored by order
 # ---- end of fixed values ----
 
 A = AS_OF
 
+
+def _by_order(cat: Catalog) -> Catalog:
+    return by_order(cat, buckets_for(cat, BUCKETS))
+
+
 REPORTS: dict[str, Callable[[Catalog], DataFrame]] = {
     # headcount chain
     "headcount_length": lambda c: companies.headcount_length(c),
@@ -125,10 +130,10 @@ KEPT: dict[str, tuple[str | None, Callable[[Catalog], DataFrame]]] = {
     "grade_counts_intervals": ("grade_counts", lambda c: kept.grade_counts(c, GRADE_DAYS)),
     "cumulative_buyers_first_seen": ("cumulative_buyers", lambda c: kept.cumulative_buyers(c, A)),
     "acquisition_cost_first_seen": ("acquisition_cost", lambda c: kept.acquisition_cost(c, A)),
-    "coupon_vs_gmv_by_order": ("coupon_vs_gmv", lambda c: marketing.coupon_vs_gmv(by_order(c, BUCKETS), A)),
-    "order_detail_by_order": ("order_detail", lambda c: reports.order_detail(by_order(c, BUCKETS), A, NAMED_RACKS)),
+    "coupon_vs_gmv_by_order": ("coupon_vs_gmv", lambda c: marketing.coupon_vs_gmv(_by_order(c), A)),
+    "order_detail_by_order": ("order_detail", lambda c: reports.order_detail(_by_order(c), A, NAMED_RACKS)),
     "discounted_order_items_by_order": ("discounted_order_items", lambda c: reports.discounted_order_items(
-        by_order(c, BUCKETS), A, DETAIL_MONTH)),
+        _by_order(c), A, DETAIL_MONTH)),
 }
 
 

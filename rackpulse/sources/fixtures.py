@@ -57,10 +57,13 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             frames[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return frames[name]
 
-    def supplier_city() -> DataFrame:
+    def with_city(rows: DataFrame, how: str = "inner") -> DataFrame:
+        """``rows`` with the city of their ``machine_id``. The two small tables are joined one by one: each is known to be small,
+        their join is not, and for that the rows would be shuffled by rack."""
         s, n = raw("supplier"), raw("nation")
-        return s.join(n, s.s_nationkey == n.n_nationkey).select(
-            F.col("s_suppkey").alias("machine_id"), F.col("n_name").alias("city_name"))
+        at = s.select(F.col("s_suppkey").alias("machine_id"), "s_nationkey")
+        city = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("city_name"))
+        return rows.join(at, "machine_id", how).join(city, "s_nationkey", how)
 
     def origin_price():
         return _money2("p_retailprice")
@@ -85,10 +88,10 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     def order_item() -> DataFrame:
         li, o, p = raw("lineitem"), raw("orders"), raw("part")
+        # the orders last: the finished rows lie by order then, as facts stored by order need them
+        lines = with_city(li.join(p, li.l_partkey == p.p_partkey).withColumnRenamed("l_suppkey", "machine_id"))
         return snapshots(
-            li.join(o, li.l_orderkey == o.o_orderkey)
-                .join(p, li.l_partkey == p.p_partkey)
-                .join(supplier_city(), li.l_suppkey == F.col("machine_id"))
+            lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
                 .select(F.col("l_orderkey").alias("order_id"), "machine_id",
                         buyer().alias("user_id"), F.col("l_partkey").alias("sku_id"),
                         "city_name", F.col("p_name").alias("commodity_name"),
@@ -105,8 +108,7 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             F.sum(amount(sale_price(), "decimal(18,4)")).cast("decimal(18,4)").alias("paid"))
         total = _money2("o_totalprice")
         return snapshots(
-            o.join(per_order, per_order.l_orderkey == o.o_orderkey, "left")
-                .join(supplier_city(), "machine_id", "left")
+            with_city(o.join(per_order, per_order.l_orderkey == o.o_orderkey, "left"), "left")
                 .select(F.col("o_orderkey").alias("order_id"), buyer().alias("user_id"),
                         "machine_id", "city_name", F.col("o_orderdate").alias("pay_complete_time"),
                         pay_status().alias("pay_status"), F.coalesce("list", total).alias("origin_amount"),

@@ -127,6 +127,13 @@ def _fs(spark: SparkSession, path: str):
     return fs, fs.makeQualified(_path(spark, path))  # as folders are listed
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` is read from, each counted once (0: none, as for rows that come from the driver)."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in files)
+
+
 def _children(spark: SparkSession, fs, path: str) -> list:
     at = _path(spark, path)
     return [s for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from rackpulse.functions.dates import day_key
 from rackpulse.session import shared_dir
 from rackpulse.sources.catalog import Catalog, snapshot
-from rackpulse.sources.sinks import materialise, read_materialised
+from rackpulse.sources.sinks import input_bytes, materialise, read_materialised
 
 FACTS = ("rack_order", "order_item")
 ORDER_KEYED = ("rack_order", "order_item", "coupon")
+#: Bytes of compressed input per bucket: some 100 MB of shuffled rows of the widest table, which a task sorts without a spill.
+BUCKET_BYTES = 16 << 20
 
 
 def _with(cat: Catalog, tables: dict[str, DataFrame]) -> Catalog:
@@ -42,15 +45,36 @@ def by_day(cat: Catalog, root: str | None = None, names: Iterable[str] = FACTS,
     return _with(cat, tables)
 
 
+def buckets_for(cat: Catalog, least: int, names: Iterable[str] = ORDER_KEYED) -> int:
+    """The number of buckets for ``by_order``: one per ``BUCKET_BYTES`` of the input of the largest of the tables, so that what a
+    task reads, sorts and writes stays the same as the tables grow; ``least`` on small ones, and no more than Spark allows."""
+    size = max(input_bytes(cat.table(n)) for n in names)
+    return min(max(least, -(-size // BUCKET_BYTES)), int(cat.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
+@contextmanager
+def _shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Shuffles into ``n`` partitions: rows that a join has dealt out by order are in their buckets then, and Spark leaves out the
+    shuffle of the finished, wider rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def by_order(cat: Catalog, buckets: int, root: str | None = None, names: Iterable[str] = ORDER_KEYED) -> Catalog:
     """The catalog with the order-keyed tables bucketed alike by ``order_id``: joins among them read bucket by bucket, without a
-    shuffle. Size ``buckets`` to the largest table's bytes / 256 MB or so."""
+    shuffle. ``buckets_for`` sizes ``buckets`` to the tables."""
     mark = uuid.uuid4().hex[:8]
     root = root or f"{shared_dir(cat.spark)}/by-order-{mark}"
     tables = {}
     for n in names:
         df = cat.table(n)
         stored = f"{n}_by_order_{mark}"
-        materialise(df.repartition(buckets, "order_id"), stored, root, "pt" if "pt" in df.columns else None, (buckets, ["order_id"]))
+        with _shuffle_partitions(cat.spark, buckets):
+            materialise(df.repartition(buckets, "order_id"), stored, root, "pt" if "pt" in df.columns else None,
+                        (buckets, ["order_id"]))
         tables[n] = cat.spark.table(stored)
     return _with(cat, tables)

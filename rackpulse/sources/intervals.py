@@ -5,7 +5,7 @@ consecutive snapshot days on which it had the same attributes: ``first_day`` and
 ``last_no`` their numbers (0, 1, .. in the order of the keys), so a snapshot day without the entity ends its run, and a calendar
 day without a snapshot doesn't. Counts of days are then overlaps of intervals, whatever the number of snapshots.
 
-``build`` makes the intervals of a snapshot table (gaps and islands), ``add_day`` those after one more day from the
+``build`` makes the intervals of a snapshot table (bit sets of days), ``add_day`` those after one more day from the
 intervals before and that day's snapshot alone; both give the same rows.
 """
 
@@ -16,6 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rackpulse.functions.bitset import WORD_BITS, bit, has_bit
+
+WORD_DAYS = 1 << WORD_BITS
 DAY_NO = "day_no"
 
 
@@ -29,15 +32,42 @@ def build(snapshots: DataFrame, attributes: Sequence[str], day: str = "pt", days
     """(*attributes, first_no, last_no, first_day, last_day) of all runs. Rows that repeat an entity's attributes on a day
     count once.
 
-    Runs are found per attribute row: day numbers less their rank are equal within a run. The window's groups are
-    one entity's days."""
+    An attribute row's days are words of 64 days, a bit each, merged map-side, so what is shuffled and sorted is words, never a row per
+    day. A run begins at a bit whose day before is not set and ends at one whose day after is not, both in the same
+    word or in a later one: a window sees an entity's words."""
     days = snapshot_days(snapshots, day) if days is None else days
-    rows = snapshots.select(*attributes, day).distinct().join(days, day)
-    rank = F.row_number().over(Window.partitionBy(*attributes).orderBy(DAY_NO))
-    runs = rows.withColumn("_run", F.col(DAY_NO) - rank)
-    return runs.groupBy(*attributes, "_run").agg(
-        F.min(DAY_NO).alias("first_no"), F.max(DAY_NO).alias("last_no"), F.min(day).alias("first_day"),
-        F.max(day).alias("last_day")).drop("_run")
+    number, low = F.col(DAY_NO), F.col("_word") * WORD_DAYS
+    words = (snapshots.select(*attributes, day).join(days, day)
+             .groupBy(*attributes, F.shiftright(number, WORD_BITS).alias("_word"))
+             .agg(F.bit_or(bit(number.bitwiseAND(F.lit(WORD_DAYS - 1)))).alias("_bits")))
+    by_word = Window.partitionBy(*attributes).orderBy("_word")
+    # the last day of the word before and the first of the word after, 1 if set
+    before = F.when(F.lag("_word").over(by_word) == F.col("_word") - 1, F.shiftrightunsigned(F.lag("_bits").over(by_word), WORD_DAYS - 1))
+    after = F.when(F.lead("_word").over(by_word) == F.col("_word") + 1, F.lead("_bits").over(by_word).bitwiseAND(F.lit(1).cast("long")))
+    bits, none = F.col("_bits"), F.lit(0).cast("long")
+    earlier = F.shiftleft(bits, 1).bitwiseOR(F.coalesce(before, none))
+    later = F.shiftrightunsigned(bits, 1).bitwiseOR(F.shiftleft(F.coalesce(after, none), WORD_DAYS - 1))
+    edges = words.select(*attributes, "_word", bits.bitwiseAND(F.bitwise_not(earlier)).alias("_first"),
+                         bits.bitwiseAND(F.bitwise_not(later)).alias("_last"))
+    edges = edges.where("_first <> 0 OR _last <> 0").select(
+        *attributes, "_word", *[F.transform(_set_bits(c), lambda i: i + low).alias(c) for c in ("_first", "_last")])
+    # a run that is open at its word's end: the next end of the entity
+    next_end = F.first(F.when(F.size("_last") > 0, F.col("_last")[0]), ignorenulls=True).over(
+        by_word.rowsBetween(1, Window.unboundedFollowing))
+    ends = F.filter("_last", lambda e: (F.size("_first") > 0) & (e >= F.col("_first")[0]))
+    ends = F.when(F.size(ends) < F.size("_first"), F.concat(ends, F.array("_next"))).otherwise(ends)
+    runs = edges.withColumn("_next", next_end).where(F.size("_first") > 0).select(
+        *attributes, F.explode(F.arrays_zip(F.col("_first").alias("first_no"), ends.alias("last_no"))).alias("_run"))
+    runs = runs.select(*attributes, F.col("_run.first_no").alias("first_no"), F.col("_run.last_no").alias("last_no"))
+    for end in ("first", "last"):
+        runs = runs.join(days.select(F.col(DAY_NO).alias(f"{end}_no"), F.col(day).alias(f"{end}_day")), f"{end}_no")
+    return runs.select(*attributes, "first_no", "last_no", "first_day", "last_day")
+
+
+def _set_bits(word: str) -> Column:
+    """The places of the bits that are set in a word, ascending."""
+    places = F.sequence(F.lit(0), F.lit(WORD_DAYS - 1))
+    return F.filter(places, lambda i: has_bit(F.col(word), i))
 
 
 def add_day(intervals: DataFrame, snapshot: DataFrame, attributes: Sequence[str], day_no: int, day: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Kept tables on larger inputs: what a task reads, sorts or keeps must not follow the size of the tables."""
 
+import random
 import re
 
-from rackpulse.operators import reports
+from rackpulse.operators import racks, reports
 from rackpulse.plans import registry
-from rackpulse.sources import storage
+from rackpulse.sources import intervals, storage
 from rackpulse.sources.sinks import input_bytes
 from rackpulse.sources.storage import ORDER_KEYED, by_order, buckets_for
 from tests.conftest import SF001, SF01
@@ -48,3 +49,43 @@ def test_facts_by_order_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # the racks of the list go to the lines, the lines to the orders of their bucket
     assert not re.search(r"Exchange hashpartitioning\(machine_id#\d+L?, \d+\)[^\n]*\n[^\n]*\n?[^\n]*FileScan parquet [^\n]*order_item", p), p
+
+
+def runs_of(days):
+    """(first, last) of the stretches of consecutive numbers."""
+    out = []
+    for d in sorted(set(days)):
+        if out and out[-1][1] == d - 1:
+            out[-1][1] = d
+        else:
+            out.append([d, d])
+    return [tuple(x) for x in out]
+
+
+def test_runs_cross_words_of_days(spark):
+    rng = random.Random(3)
+    held = {"always": range(330), "no day": (), "one": [64], "edges": [0, 63, 64, 127, 128, 191, 329], "whole words": range(64, 192),
+            "to a word's end": range(10, 64), "from a word's start": range(128, 200), "odd": range(1, 330, 2), None: range(60, 260),
+            "far apart": [5, 6, 310, 311], "over an edge": [62, 63, 64, 65, 70, 126, 127, 128]}
+    for i in range(60):
+        share = rng.random() ** 2
+        days, on = [], True
+        for d in range(330):
+            on = (not on) if rng.random() < share else on
+            days += [d] * on
+        held[f"random {i}"] = days
+    rows = [(k, f"d{d:04d}") for k, days in held.items() for d in days for _ in range(rng.choice([1, 1, 3]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, pt string")
+    got = intervals.build(df, ["name"])
+    want = [(k, a, b, f"d{a:04d}", f"d{b:04d}") for k, days in held.items() for a, b in runs_of(days)]
+    assert got.columns == ["name", "first_no", "last_no", "first_day", "last_day"]
+    assert rows_of(got) == sorted(want, key=repr)
+    assert intervals.build(df.limit(0), ["name"]).collect() == []
+
+
+def test_intervals_sort_words_not_a_row_per_day(spark):
+    cat = registry.catalog_for(spark, SF001)
+    p = plan(intervals.build(cat.table("rack"), racks.INTERVAL_COLUMNS))
+    window = p[p.index("Window"):]
+    assert "SortAggregate" not in p and "partial_bit_or" in window and "_word" in window.split("\n")[0], p

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from rackpulse.operators import marketing, racks, reports, users
 from rackpulse.operators.common import paid_orders
 from rackpulse.operators.derived import DERIVED, rebuild_derived_tables
-from rackpulse.session import shared_dir
+from rackpulse.session import conf_of, shared_dir
 from rackpulse.sources import intervals
 from rackpulse.sources.catalog import Catalog, snapshot
 from rackpulse.sources.firsts import FirstSeen
-from rackpulse.sources.sinks import counted, drop, read_materialised, stored
+from rackpulse.sources.sinks import counted, drop, input_bytes, read_materialised, stored
 
 #: Snapshot days that are added one by one to the intervals of the days before them.
 LATEST_DAYS = 2
+#: Bytes of compressed rows that a task of the interval jobs takes: a byte of daily snapshots becomes some 15 bytes in memory.
+TASK_BYTES = 16 << 20
 
 
 def _fresh_root(cat: Catalog, name: str) -> str:
@@ -54,15 +56,23 @@ def repeat_rate_stored(cat: Catalog, as_of: str) -> DataFrame:
 def kept_intervals(cat: Catalog, table: str, attributes: list[str]) -> tuple[DataFrame, DataFrame]:
     """The intervals of a daily snapshot table and its snapshot days: built from history, then continued day by day."""
     snapshots = cat.table(table)
-    days = stored(intervals.snapshot_days(snapshots), f"{table}_days")
-    latest = sorted((r[intervals.DAY_NO], r.pt) for r in days.orderBy(F.desc(intervals.DAY_NO)).limit(LATEST_DAYS).collect())
-    history = snapshots.where(F.col("pt") < latest[0][1]) if latest else snapshots
-    kept = stored(intervals.build(history, attributes, days=days), f"{table}_intervals")
-    for number, pt in latest:
-        kept = stored(intervals.add_day(kept, snapshot(snapshots, pt), attributes, number, pt), f"{table}_intervals")
+    with conf_of(cat.spark, _small_tasks(cat, snapshots)):
+        days = stored(intervals.snapshot_days(snapshots), f"{table}_days")
+        latest = sorted((r[intervals.DAY_NO], r.pt) for r in days.orderBy(F.desc(intervals.DAY_NO)).limit(LATEST_DAYS).collect())
+        history = snapshots.where(F.col("pt") < latest[0][1]) if latest else snapshots
+        kept = stored(intervals.build(history, attributes, days=days), f"{table}_intervals")
+        for number, pt in latest:
+            kept = stored(intervals.add_day(kept, snapshot(snapshots, pt), attributes, number, pt), f"{table}_intervals")
     return kept, days
 
 
+def _small_tasks(cat: Catalog, rows: DataFrame) -> dict[str, str]:
+    """Settings under which a task's share stays the same as the tables grow: partitions by the input's size, and put together only
+    up to ``TASK_BYTES``."""
+    parts = max(int(cat.spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(rows) // TASK_BYTES))
+    return {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{TASK_BYTES}b"}
+
+
 def top_racks_online_days(cat: Catalog, as_of: str, since_day: str, first_pt: str, last_pt: str, n: int) -> DataFrame:
     kept, days = kept_intervals(cat, "rack", racks.INTERVAL_COLUMNS)
     online = racks.online_days_from(kept, days, first_pt, last_pt)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +52,19 @@ def build_session(master: str | None = "local[*]", app: str = "rackpulse",
     return spark
 
 
+@contextmanager
+def conf_of(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """The session with other ``settings`` for the jobs that are run inside; those before return, also after an error."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder for checkpoints and materialised tables.
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from rackpulse.functions.dates import day_key
-from rackpulse.session import shared_dir
+from rackpulse.session import conf_of, shared_dir
 from rackpulse.sources.catalog import Catalog, snapshot
 from rackpulse.sources.sinks import input_bytes, materialise, read_materialised
 
@@ -52,18 +51,6 @@ def buckets_for(cat: Catalog, least: int, names: Iterable[str] = ORDER_KEYED) ->
     return min(max(least, -(-size // BUCKET_BYTES)), int(cat.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
 
 
-@contextmanager
-def _shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
-    """Shuffles into ``n`` partitions: rows that a join has dealt out by order are in their buckets then, and Spark leaves out the
-    shuffle of the finished, wider rows."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def by_order(cat: Catalog, buckets: int, root: str | None = None, names: Iterable[str] = ORDER_KEYED) -> Catalog:
     """The catalog with the order-keyed tables bucketed alike by ``order_id``: joins among them read bucket by bucket, without a
     shuffle. ``buckets_for`` sizes ``buckets`` to the tables."""
@@ -73,7 +60,9 @@ def by_order(cat: Catalog, buckets: int, root: str | None = None, names: Iterabl
     for n in names:
         df = cat.table(n)
         stored = f"{n}_by_order_{mark}"
-        with _shuffle_partitions(cat.spark, buckets):
+        # shuffled into as many partitions, rows that a join has dealt out by order are in their buckets, and Spark leaves out the
+        # shuffle of the finished, wider rows
+        with conf_of(cat.spark, {"spark.sql.shuffle.partitions": str(buckets)}):
             materialise(df.repartition(buckets, "order_id"), stored, root, "pt" if "pt" in df.columns else None,
                         (buckets, ["order_id"]))
         tables[n] = cat.spark.table(stored)

@@ -4,7 +4,8 @@ import random
 import re
 
 from rackpulse.operators import racks, reports
-from rackpulse.plans import registry
+from rackpulse.plans import kept, registry
+from rackpulse.session import conf_of
 from rackpulse.sources import intervals, storage
 from rackpulse.sources.sinks import input_bytes
 from rackpulse.sources.storage import ORDER_KEYED, by_order, buckets_for
@@ -89,3 +90,20 @@ def test_intervals_sort_words_not_a_row_per_day(spark):
     p = plan(intervals.build(cat.table("rack"), racks.INTERVAL_COLUMNS))
     window = p[p.index("Window"):]
     assert "SortAggregate" not in p and "partial_bit_or" in window and "_word" in window.split("\n")[0], p
+
+
+def test_tasks_of_the_interval_jobs_follow_the_input(spark, monkeypatch):
+    cat = registry.catalog_for(spark, SF01)
+    size = input_bytes(cat.table("rack_grade"))
+    monkeypatch.setattr(kept, "TASK_BYTES", 50_000)
+    seen, keys = [], ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    monkeypatch.setattr(kept, "stored", lambda df, name: seen.append([spark.conf.get(k) for k in keys]) or df)
+    before = [spark.conf.get(k) for k in keys]
+    kept.kept_intervals(cat, "rack_grade", ["machine_id", "machine_grading"])
+    assert len(seen) == 2 + kept.LATEST_DAYS and set(map(tuple, seen)) == {(str(-(-size // 50_000)), "50000b")} and size > 20 * 50_000
+    assert [spark.conf.get(k) for k in keys] == before
+    try:
+        with conf_of(spark, {keys[0]: "3"}):
+            raise KeyError
+    except KeyError:
+        assert [spark.conf.get(k) for k in keys] == before

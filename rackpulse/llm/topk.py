@@ -2,9 +2,10 @@
 
 Vectors become integers, ``floor(64 * x)`` per component. Candidates lie in blocks of bounded size in vertical layout (a row
 per dimension), queries in blocks of bounded size; each pair of blocks is one task's work, and a query's best of all
-blocks are merged. Inside a pair, a query takes the dimensions in blocks, those with most of its mass first. After
-each, a candidate's score can still grow by no more than the product of what is left of both norms; candidates whose
-bound is under the query's k-th best so far are dropped, and the rest moved together.
+blocks are merged. Inside a pair, queries take the dimensions in blocks, those with most of their mass first; queries that begin
+with the same block take them together. After each block, a candidate's score can still grow by no more than the product of what is
+left of both norms; candidates whose bound is under a query's bar, the k-th best of some exact scores, are dropped. Once few are left,
+a query goes on alone, and its survivors are moved together.
 
 Scores are exact: 64-bit floats while norms guarantee that all sums stay below 2^52, Python integers beyond that (held to
 the range of a 64-bit integer, where they may tie).
@@ -31,6 +32,9 @@ TOP, QUERY_EVERY, SCALE = 20, 20, 64
 CANDIDATE_BLOCK, QUERY_BLOCK, DIMS = 8192, 1024, 8
 #: Blocks of queries that meet a block of candidates in one group.
 QUERY_GROUP = 4
+#: Queries that take a block of dimensions together; one leaves them once no more than 1 / FEW of the candidates are left. Its bar is
+#: the k-th best of LIKELY * k exact scores.
+QUERY_TILE, FEW, LIKELY = 64, 16, 4
 _EXACT = float(1 << 52)
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -73,46 +77,80 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
     if peak * len(columns) >= _EXACT:
         yield from _search_integers(queries, query_ids, columns, ids, k)
         return
-    dims = len(columns)
-    starts = list(range(0, dims, DIMS))
+    starts = list(range(0, len(columns), DIMS))
     mass = np.add.reduceat(columns * columns, starts)  # per block of dimensions and candidate
-    # and what all other blocks hold; rests are added up, never taken off a sum, so that a small one is exact
-    others = np.stack([mass[:i].sum(0) + mass[i + 1:].sum(0) for i in range(len(starts))])
-    for number, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
-        q_mass = np.add.reduceat(q * q, starts)
-        order = np.argsort(-q_mass, kind="stable")
-        alive, score = np.arange(len(ids)), np.zeros(len(ids))
+    q_mass = np.add.reduceat(queries * queries, starts, axis=1)
+    first = q_mass.argmax(1)
+    for block in np.unique(first).tolist():  # queries that begin with the same block go together
+        alike = np.flatnonzero(first == block)
+        for tile in np.array_split(alike, -(-len(alike) // QUERY_TILE)):
+            yield from _search_tile(queries[tile], query_ids[tile], tile, q_mass[tile], columns, ids, mass, k)
+
+
+def _search_tile(queries, query_ids, numbers, q_mass, columns, ids, mass, k):
+    """``search_block`` for a few queries, whose common first block has most of the mass of each."""
+    size, n, last = len(columns), len(ids), len(mass)
+    share = (q_mass / np.maximum(q_mass.sum(1, keepdims=True), 1)).sum(0)
+    share[q_mass[0].argmax()] = np.inf
+    order = np.argsort(-share, kind="stable")
+    at = [slice(b * DIMS, b * DIMS + DIMS) for b in order.tolist()]
+    dims = np.concatenate([np.arange(size)[x] for x in at])
+    # what is left of the norms after each block; rests are added up from the last block, never taken off a sum, so that a small one is exact
+    left = np.zeros((last, n))
+    np.cumsum(mass[order[:0:-1]], axis=0, out=left[1:])
+    left = np.sqrt(left)[::-1]
+    q_left = np.zeros((len(queries), last))
+    np.cumsum(q_mass[:, order[:0:-1]], axis=1, out=q_left[:, 1:])
+    q_left = np.sqrt(q_left)[:, ::-1] * (1 + 1e-9)  # the bound is rounded up by more than rounding can take off
+    score, bar = np.zeros((len(queries), n)), np.full(len(queries), -np.inf)
+    for i, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
         out = _own_row(q, own, columns, ids)
         if out is not None:
-            alive, score = np.delete(alive, out), score[:-1]
-        if not len(alive):
-            continue
-        rest, floor = None, -np.inf
-        q_rest = np.concatenate([[0.0], np.cumsum(q_mass[order[::-1]])])  # from the last block
-        if len(alive) > k:  # exact scores of those that look best after the first block set the bar
-            first = order[0] * DIMS
-            rough = q[first:first + DIMS] @ columns[first:first + DIMS, alive]
-            likely = alive[np.argpartition(-rough, k - 1)[:k]]
-            floor = float((q @ columns[:, likely]).min())
-        for step, block in enumerate(order.tolist(), 1):
-            at = slice(block * DIMS, block * DIMS + DIMS)
-            whole = len(alive) == columns.shape[1]
-            score = score + q[at] @ (columns[at] if whole else columns[at, alive])
-            if len(alive) > k:  # the bound is rounded up by more than rounding can take off
-                if step == 1:
-                    left = others[block] if whole else others[block, alive]
-                else:
-                    left = rest[-step]
-                bound = score + np.sqrt(left) * (np.sqrt(q_rest[-1 - step]) * (1 + 1e-9)) + 1e-6
-                keep = np.flatnonzero(bound >= floor)
-                alive, score = alive[keep], score[keep]
-                if step == 1:  # of the survivors, what is left after each further block
-                    rest = np.zeros((len(order), len(alive)))
-                    np.cumsum(mass[order[:0:-1]][:, alive], axis=0, out=rest[1:])
-                else:
-                    rest = rest[:, keep]
-        best = np.lexsort((alive, -score))[:k]
-        yield number, ids[alive[best]], score[best].astype(np.int64)
+            score[i, out] = -np.inf
+    done = 0  # dimensions
+    for step, block in enumerate(at):
+        score += queries[:, block] @ columns[block]
+        done += len(columns[block])
+        if n > k and step in (0, last // 2):
+            bar = np.maximum(bar, _bars(queries, score, columns, dims[done:], k))
+        bound = np.multiply.outer(q_left[:, step], left[step])
+        bound += score
+        keep = bound >= (bar - 1e-6)[:, None]
+        leaves = np.count_nonzero(keep, axis=1) * FEW <= n
+        if step == last - 1:
+            leaves[:] = True
+        for i in np.flatnonzero(leaves).tolist():
+            alive = np.flatnonzero(keep[i])
+            alive, found = _finish(queries[i], alive, score[i, alive], bar[i], step + 1, at, columns, left, q_left[i])
+            some = found > -np.inf
+            alive, found = alive[some], found[some]
+            best = np.lexsort((alive, -found))[:k]
+            if len(best):
+                yield int(numbers[i]), ids[alive[best]], found[best].astype(np.int64)
+        if leaves.all():
+            return
+        if leaves.any():
+            queries, numbers, q_left, score, bar = (x[~leaves] for x in (queries, numbers, q_left, score, bar))
+
+
+def _bars(queries, score, columns, rest, k):
+    """Per query the k-th best of the exact scores of those candidates that look best so far; ``rest``: dimensions to come."""
+    n = score.shape[1]
+    likely = np.argpartition(score, n - min(n, LIKELY * k), axis=1)[:, -LIKELY * k:]
+    exact = np.take_along_axis(score, likely, 1)
+    for i, q in enumerate(queries):
+        exact[i] += q[rest] @ columns[rest[:, None], likely[i]]
+    return np.partition(exact, exact.shape[1] - k, axis=1)[:, -k]
+
+
+def _finish(q, alive, score, bar, step, at, columns, left, q_left):
+    """(alive, their scores): a query's survivors through the blocks from ``step`` on."""
+    while step < len(at) and len(alive):
+        score = score + q[at[step]] @ columns[at[step], alive]
+        keep = score + left[step, alive] * q_left[step] >= bar - 1e-6
+        alive, score = alive[keep], score[keep]
+        step += 1
+    return alive, score
 
 
 def _own_row(q: np.ndarray, own: int, columns: np.ndarray, ids: np.ndarray) -> int | None:

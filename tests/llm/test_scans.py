@@ -219,7 +219,8 @@ def test_tiles_of_queries_change_nothing(monkeypatch, dims, n, k, tile, few):
 
 
 def test_top_k_of_random_directions_costs_little_more_than_their_products():
-    """No order of dimensions helps here: a query costs about 1.7 times its plain products (12 times when queries went one by one)."""
+    """No order of dimensions helps here: a query costs about twice its plain products (10 times when queries went one by one).
+    Both run in this thread: einsum has no threads of its own, unlike a product by BLAS."""
     rng = np.random.default_rng(1)
     v = rng.normal(0, 1, (8192, 64))
     v = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True))
@@ -230,9 +231,9 @@ def test_top_k_of_random_directions_costs_little_more_than_their_products():
         work()
         return time.thread_time() - began
 
-    plain = min(seconds(lambda: [np.argpartition(-(q @ columns), 20) for q in v[:256]]) for _ in range(3))
+    plain = min(seconds(lambda: [np.argpartition(-np.einsum("i,ij->j", q, columns), 20) for q in v[:256]]) for _ in range(3))
     search = min(seconds(lambda: list(topk.search_block(v[:256], ids[:256], columns, ids, 20))) for _ in range(3))
-    assert search < 6 * plain
+    assert search < 5 * plain
 
 
 def test_top_k_rows_that_repeat_an_id(spark):
